@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from . import token_files
 from .exact_dedup import exact_dedup
+from .token_count import token_counts
+
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("EVLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_token_files": op7_token_files,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
