@@ -12,6 +12,7 @@ from . import quality_rules as rules
 from . import token_files
 from .exact_dedup import exact_dedup
 from .quality_qda import quality
+from .secrets import secrets
 from .token_count import token_counts
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -26,6 +27,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
