@@ -11,6 +11,7 @@ from ..session import table
 from . import quality_rules as rules
 from . import token_files
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .quality_qda import quality
 from .secrets import secrets
 from .token_count import token_counts
@@ -23,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
     "op8_secret_scan": op8_secret_scan,
