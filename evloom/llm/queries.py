@@ -11,6 +11,7 @@ from ..session import table
 from . import quality_rules as rules
 from . import token_files
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .packing import pack
 from .quality_qda import quality
 from .secrets import secrets
@@ -24,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0)
 
@@ -50,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
