@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from . import mixture as mix
 from . import quality_rules as rules
 from . import token_files
 from .exact_dedup import exact_dedup
@@ -21,6 +22,10 @@ from .token_count import token_counts
 TOKENIZERS = os.environ.get("EVLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixture(table(spark, sf_dir, "documents"), mix.document_levels(), weights=mix.WEIGHTS, max_epochs=4, seed=7)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixture": op1_source_mixture,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_packing": op5_packing,
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_source_mixture": mix.ORACLE,
     "op2_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
