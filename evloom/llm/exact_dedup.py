@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_of
+from .common import checked, durable, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["digest", "n_bytes", "check"]
@@ -83,12 +83,12 @@ def exact_dedup(docs: DataFrame, *, runs: int = 64, fan_in: int = 8, id_col: str
 def keep_distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`docs` without the rows that exact_dedup() drops, all columns as they were."""
     verdict = durable(exact_dedup(docs, id_col=id_col, text_col=text_col, **how), "verdict")
-    same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    repeats = verdict.where(same_id & ~F.col("kept")).limit(1).count()
-    kept = verdict.where("kept").select("doc_id", "text_sha256")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    repeats = verdict.where(stays & ~F.col("kept")).limit(1).count()
+    gone = durable(verdict.where(~stays).select("doc_id", F.unhex("text_sha256").alias("digest")).distinct(), "gone")
     doc_id = F.col(f"d.`{id_col}`")
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.sha2(normalised(text_col), 256).alias("h"))
-    out = tagged.join(kept.alias("k"), doc_id.eqNullSafe(F.col("k.doc_id")) & (F.col("h") == F.col("k.text_sha256")), "left_semi")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.unhex(F.sha2(normalised(text_col), 256)).alias("h"))
+    out = tagged.join(checked(gone, 64).alias("g"), doc_id.eqNullSafe(F.col("g.doc_id")) & (F.col("h") == F.col("g.digest")), "left_anti")
     if repeats:  # rows that share both id and text: one of them stays
         out = out.groupBy(doc_id.alias("i"), "h").agg(F.first("d").alias("d"))
-    return out.select([F.col(f"d.`{c}`") for c in docs.columns])
+    return out.select([F.col(f"d.`{c}`").alias(c) for c in docs.columns])

@@ -233,3 +233,20 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
         classes = classes.withColumnRenamed("doc_id", "component_id")
     out = sets.select("doc_id", "n", "cid").join(classes, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """`docs` with one row of each component, that of the least id; all columns as they were.
+
+    Rows with a null id stay. Rows that repeat an id stay or go together, but of those with equal
+    texts one stays.
+    """
+    found = durable(jaccard_join(docs, id_col=id_col, text_col=text_col, **how), "near")
+    gone = durable(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    out = docs.join(checked(gone, 16), docs[id_col] == gone["gone"], "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        tagged = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
+        rest = tagged.where(F.col(f"d.`{id_col}`").isNull()).select("d")
+        once = tagged.where(F.col(f"d.`{id_col}`").isNotNull()).groupBy(F.col(f"d.`{id_col}`").alias("i"), "h").agg(F.first("d").alias("d")).select("d")
+        out = once.unionByName(rest).select([F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    return out

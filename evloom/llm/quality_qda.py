@@ -157,6 +157,12 @@ def platt(seen: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def fitted(rows: DataFrame, labels: DataFrame) -> Model:
+    """The model from `rows` (FEATURES) and `labels` (doc_id, quality)."""
+    y = durable(labels.where("quality in (0, 1)").selectExpr("cast(doc_id as long) as doc_id", "cast(quality as long) as y"), "labels")
+    return fit(rows.where("not held_out").join(checked(y, 16), "doc_id").select("x", "y"))
+
+
 def quality(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`.
 
@@ -166,9 +172,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str
     score is 0.5. Columns other than the id, the text and quality are not read.
     """
     rows = durable(featured(docs, id_col, text_col), "features")
-    y = durable(labels.where("quality in (0, 1)").selectExpr("cast(doc_id as long) as doc_id", "cast(quality as long) as y"), "labels")
-    model = fit(rows.where("not held_out").join(checked(y, 16), "doc_id").select("x", "y"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,3 +180,17 @@ def quality(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows scored under `cut`, all columns as they were; no text is shuffled."""
+    rows = durable(featured(docs, id_col, text_col), "features")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                x = np.array([features(t) for t in texts_of(part, text_col)]).reshape(-1, DIM)
+                yield part.filter(pa.array(shared.value.score(x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

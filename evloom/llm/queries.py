@@ -13,6 +13,7 @@ from . import quality_rules as rules
 from . import token_files
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .licenses import licenses
 from .packing import pack
 from .quality_qda import quality
 from .secrets import secrets
@@ -34,6 +35,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_license_scan": op4_license_scan,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
