@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ WORD_PIECES = re.compile(rf"{APOSTROPHES}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
 UNITS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space other than ASCII's, or control characters that only some libraries take as such.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-NOT_LONGER, INF, CACHE = 40, np.int32(2**31 - 1), 300_000
+NOT_LONGER, INF, CACHE = 40, np.int32(2**31 - 1), 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -100,7 +102,7 @@ class Encoder:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.pieces = WORD_PIECES if self.words else BYTE_PIECES
         self.by_piece: dict[str, bytes] = {}
-        self.by_unit: dict[str, bytes] = {}
+        self.memory = Memory(self.learn)
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
@@ -153,38 +155,62 @@ class Encoder:
                 right = np.nonzero(best < width - 2)[0]
                 ranks[right, best[right]] = self.pairs(ids[right, best[right]], ids[right, best[right] + 1])
 
-    def learn(self, units: Iterable[str]) -> dict[str, bytes]:
-        """Ids of every unit: from the memory, by merging its pre-tokens, or from the library."""
-        if len(self.by_unit) > CACHE:
-            self.by_unit.clear()
-        if len(self.by_piece) > CACHE:
-            self.by_piece.clear()
-        known, piece = self.by_unit, self.by_piece
-        new = [u for u in units if u not in known]
-        odd = [u for u in new if not PLAIN.fullmatch(u)]
-        known.update(zip(odd, self.library_ids(odd), strict=True))
-        split = [(u, self.pieces.findall(u.lower() if self.words else u)) for u in new if u not in known]
-        lack = list({p for _, ps in split for p in ps if p not in piece})
-        piece.update(zip(lack, self.merge(lack), strict=True))
-        known.update((u, piece[ps[0]] if len(ps) == 1 else b"".join([piece[p] for p in ps])) for u, ps in split)
-        return known
-
-    def units(self, text: str) -> list[str] | None:
-        """`text` as units that the library would encode each for itself; None: ask the library."""
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of each of these different units: by merging its pre-tokens, or from the library."""
+        odd = [u for u in units if not PLAIN.fullmatch(u)]
+        whole = dict(zip(odd, self.library_ids(odd), strict=True))
+        pieces, find = self.by_piece, self.pieces.findall
+        split = [() if u in whole else find(u.lower() if self.words else u) for u in units]
+        lack = list(set(chain.from_iterable(split)).difference(pieces))
+        pieces.update(zip(lack, self.merge(lack), strict=True))
+        out = [pieces[ps[0]] if len(ps) == 1 else whole[u] if u in whole else b"".join([pieces[p] for p in ps]) for u, ps in zip(units, split, strict=True)]
+        if len(pieces) > CACHE:
+            for p in lack:
+                del pieces[p]
+        return out
+
+    def cut(self, text: str) -> tuple[list[str], list[str]] | None:
+        """Units that the library would encode each for itself: those as they are, and then those
+        that a space precedes; None: ask the library."""
         if any(m in text for m in self.marks) or ODD_SPACE.search(text):
             return None
         if self.words:
-            return text.split()
+            return text.split(), []
         if "  " in text or "\n " in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
-            return UNITS.findall(text)
+            return UNITS.findall(text), []
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        return [first] if first else [], rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units(t) for t in texts]
-        table = self.learn({u for us in cut if us for u in us})
-        whole = iter(self.library_ids([t for t, us in zip(texts, cut, strict=True) if us is None]))
-        return [next(whole) if us is None else b"".join([table[u] for u in us]) for us in cut]
+        cuts = [self.cut(t) for t in texts]
+        with self.memory.of(cuts) as (raw, spaced):
+            whole = iter(self.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
+            return [next(whole) if c is None else b"".join(chain(map(raw.__getitem__, c[0]), map(spaced.__getitem__, c[1]))) for c in cuts]
+
+
+class Memory:
+    """What is known of units. Once it is full, what a batch adds is forgotten with the batch: the
+    common units came first."""
+
+    def __init__(self, learn: Callable[[list[str]], list]):
+        self.learn = learn
+        self.raw: dict[str, object] = {}
+        self.spaced: dict[str, object] = {}
+
+    @contextmanager
+    def of(self, cuts: list) -> Iterator[tuple[dict, dict]]:
+        new = [set(chain.from_iterable([c[k] for c in cuts if c])).difference((self.raw, self.spaced)[k]) for k in (0, 1)]
+        raw, spaced = map(list, new)
+        found = self.learn(raw + [" " + u for u in spaced])
+        self.raw.update(zip(raw, found, strict=False))
+        self.spaced.update(zip(spaced, found[len(raw) :], strict=True))
+        try:
+            yield self.raw, self.spaced
+        finally:
+            for known, added in ((self.raw, raw), (self.spaced, spaced)):
+                if len(known) > CACHE:
+                    for u in added:
+                        del known[u]
 
 
 _ENCODERS: dict[str, Encoder] = {}

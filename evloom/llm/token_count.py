@@ -9,12 +9,13 @@ for the rest, and each distinct one once per batch memory. A text outside the pl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe import CACHE, PLAIN, Encoder, byte_symbols, encoder, slices, texts_of
+from .bpe import CACHE, PLAIN, Encoder, Memory, byte_symbols, encoder, slices, texts_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -38,32 +39,29 @@ class Counter:
     def __init__(self, path: str):
         self.enc = encoder(path)
         self.whole = whole_tokens(self.enc)
-        self.by_unit: dict[str, int] = {}
         self.by_piece: dict[str, int] = {}
-
-    def learn(self, units: set[str]) -> dict[str, int]:
-        if len(self.by_unit) > CACHE:
-            self.by_unit.clear()
-        if len(self.by_piece) > CACHE:
-            self.by_piece.clear()
-        enc, known, piece, whole = self.enc, self.by_unit, self.by_piece, self.whole
-        new = [u for u in units if u not in known]
-        known.update((u, 1) for u in new if u in whole)
-        new = [u for u in new if u not in whole]
-        odd = [u for u in new if not PLAIN.fullmatch(u)]
-        size = enc.dtype.itemsize
-        known.update((u, len(ids) // size) for u, ids in zip(odd, enc.library_ids(odd), strict=True))
-        split = [(u, enc.pieces.findall(u.lower() if enc.words else u)) for u in new if u not in known]
-        lack = list({p for _, ps in split for p in ps if p not in whole and p not in piece})
-        piece.update((p, len(ids) // size) for p, ids in zip(lack, enc.merge(lack), strict=True))
-        known.update((u, sum(1 if p in whole else piece[p] for p in ps)) for u, ps in split)
-        return known
+        self.memory = Memory(self.learn)
+
+    def learn(self, units: list[str]) -> list[int]:
+        """The token count of each of these different units."""
+        enc, pieces, whole, size = self.enc, self.by_piece, self.whole, self.enc.dtype.itemsize
+        rest = [u for u in units if u not in whole]
+        odd = [u for u in rest if not PLAIN.fullmatch(u)]
+        known = {u: len(ids) // size for u, ids in zip(odd, enc.library_ids(odd), strict=True)}
+        split = {u: enc.pieces.findall(u.lower() if enc.words else u) for u in rest if u not in known}
+        lack = list(set(chain.from_iterable(split.values())).difference(pieces, whole))
+        pieces.update((p, len(ids) // size) for p, ids in zip(lack, enc.merge(lack), strict=True))
+        known.update((u, sum([1 if p in whole else pieces[p] for p in ps])) for u, ps in split.items())
+        if len(pieces) > CACHE:
+            for p in lack:
+                del pieces[p]
+        return [known.get(u, 1) for u in units]
 
     def count(self, texts: list[str]) -> list[int]:
-        cut = [self.enc.units(t) for t in texts]
-        table = self.learn({u for us in cut if us for u in us})
-        whole = iter(self.enc.library_ids([t for t, us in zip(texts, cut, strict=True) if us is None]))
-        return [len(next(whole)) // self.enc.dtype.itemsize if us is None else sum([table[u] for u in us]) for us in cut]
+        cuts = [self.enc.cut(t) for t in texts]
+        with self.memory.of(cuts) as (raw, spaced):
+            whole = iter(self.enc.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
+            return [len(next(whole)) // self.enc.dtype.itemsize if c is None else sum(map(raw.__getitem__, c[0])) + sum(map(spaced.__getitem__, c[1])) for c in cuts]
 
 
 _COUNTERS: dict[str, Counter] = {}
