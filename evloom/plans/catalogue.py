@@ -309,11 +309,13 @@ def r2_alpha_ablation(spark, sf_dir):
 
 
 @query(f"""
-WITH {COS}, m AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM c WHERE item_id % 50 <> 0)
+WITH {COS}, m AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM c WHERE item_id <> query_id)
 SELECT item_id, count(*) AS n_queries, round(max(score), 6) AS best FROM m WHERE r = 1 GROUP BY item_id""")
 def contributing_items(spark, sf_dir):
-    """Items that are the nearest of some query; queries themselves are no items here."""
-    near = rt.topk(vectors(spark, sf_dir).where("id % 50 <> 0"), asked(spark, sf_dir), 1, dim_of(spark, sf_dir))
+    """Items that are the nearest of some query other than themselves."""
+    q = asked(spark, sf_dir)
+    own = q.select(F.col("id").alias("query_id"), F.col("id").alias("item_id"))
+    near = rt.topk(vectors(spark, sf_dir), q, 1, dim_of(spark, sf_dir), own)
     return near.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.max("score"), 6).alias("best"))
 
 

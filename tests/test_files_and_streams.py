@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evloom.functions import model_json
 from evloom.operators import evaluation as ev
-from evloom.plans import catalogue
+from evloom.plans import catalogue, reports  # noqa: F401
 from evloom.sources import files
 from evloom.streaming import windows
 
@@ -81,4 +81,4 @@ def test_null_text_is_no_answer(spark):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_queries_without_sql_run(name, spark, sf_dir):
-    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+    assert (catalogue.QUERIES[name](spark, sf_dir).count() > 0) is (name != "replacement_violations")
