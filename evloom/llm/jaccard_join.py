@@ -7,14 +7,18 @@ read little of it:
 * Equal sets are one class; only its representative is indexed.
 * Lists are cut into blocks by set size, entries carry their position in their set. A block is
   skipped where the sizes cannot meet the threshold, an entry where no more than its position
-  leaves could be shared.
-* In each block, the entry of least hash leads. Followers are compared with leaders first. A
-  follower that is highly similar takes over its leader's answer, the component reached so far,
-  and what both have in common needs no comparison again: a list whose entries lie in one
-  component is done. Followers that are left elect leaders anew.
+  leaves could be shared, and a whole list where no two of its entries are left.
+* In each block, the entries of least hash lead. Followers are compared with leaders first. A
+  follower that is highly similar takes over its leader's answer, the component reached so far, and
+  what both have in common needs no comparison again: a list whose entries lie in one component is
+  done. In later rounds those outside of a list's largest component are compared with some leaders
+  inside of it.
 * What is left of a list after the rounds is compared in full: entries outside of its largest
   component with all entries of other components. So no link that matters is lost, and a group of
   n near copies costs about n comparisons a round, not n squared.
+
+Two sets that link share a known number of prefix shingles; a pair that is compared is first held
+against its prefixes, and only what passes against whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices, texts_of
@@ -37,8 +41,8 @@ SETS = "doc_id long, n long, cid long, prefix array<long>"
 HOT, HOT_FROM = 1 << 19, 16
 #: Shingles counted at a time in a task.
 COUNTED = 1 << 21
-#: Rounds of leaders before what is left is compared in full.
-ROUNDS = 3
+#: Leaders of a list in each round, before what is left is compared in full.
+LEADERS = (1, 6, 12)
 #: With so few comparisons for each entry left, there are no further rounds.
 FULL = 4
 
@@ -129,6 +133,20 @@ def pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
 
 
+def hopeful(todo: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of `todo` whose prefixes share as many shingles as those of linked sets must.
+
+    Of `needed` common shingles all but the last ceil(percent * n / 100) - 1 of a set lie in its
+    prefix; in the common order the first of them lie in both prefixes.
+    """
+    ids = durable(todo.select(F.col("a").alias("cid")).union(todo.select(F.col("b").alias("cid"))).distinct(), "paired")
+    own = prefixes.join(checked(ids, 48), "cid", "left_semi")
+    side = lambda k: own.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}"))
+    both = todo.join(side("a"), "a").join(side("b"), "b")
+    least = needed("na", "nb", percent) + 1 - F.greatest(*[F.ceil(F.col(n) * percent / F.lit(100.0) - F.lit(1e-9)) for n in ("na", "nb")])
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
+
+
 def linked(todo: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs of `todo` (durable) that link, by their whole sets: built again from the texts, once a set."""
     ids = durable(todo.select(F.col("a").alias("cid")).union(todo.select(F.col("b").alias("cid"))).distinct().join(reps, "cid").select("doc_id", "cid"), "wanted")
@@ -140,22 +158,39 @@ def linked(todo: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: i
                 own = [(c, s.view(np.int64)) for c, s in zip(cids, shingle_sets(texts_of(part), k), strict=True) if len(s) and class_of(s) == c]
                 yield pa.record_batch([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.list_(pa.int64()))], ["cid", "s"])
 
-    there = docs.join(checked(ids, 16), docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text")
+    there = docs.join(checked(ids, 64), docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text")
     sets = durable(there.mapInArrow(run, "cid long, s array<long>"), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("x"), batch.column("y")
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     left = todo.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    same = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
+
+
+def block(n: str, percent: int) -> Column:
+    """The block of a set's size: linked sets lie in the same block or in neighbours."""
+    return F.col(n) if percent >= 100 else F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent)))
+
+
+def promising(entries: DataFrame, percent: int) -> DataFrame:
+    """The shingles of lists in which some two entries may belong to linked sets: of two, the smaller
+    set must hold the shingle early enough to share all that is needed with an equally large one, and
+    a list of two must have sets of near sizes."""
+    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * percent) / F.lit(100.0 + percent) - F.lit(1e-9))
+    lists = entries.select("token", F.struct("n", (~early).alias("late")).alias("e")).groupBy("token")
+    lists = lists.agg(F.count(F.lit(1)).alias("m"), F.min("e").alias("lo"), F.max("e.n").alias("hi"))
+    good = (F.col("m") > 2) | (~F.col("lo.late") & (F.col("lo.n") * 100 >= F.col("hi") * percent))
+    return durable(lists.where((F.col("m") > 1) & good).select("token"), "shared")
+
+
+def mixed_lists(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The entries of lists that still hold several components, with the components reached so far. A
+    list of two is done: its entries have been compared."""
+    comp = live
+    if labels is not None:
+        found = live.select("cid").distinct().join(labels, F.col("cid") == F.col("node")).select(F.col("cid").alias("c"), "label")
+        comp = live.join(checked(durable(found, "found"), 64), F.col("cid") == F.col("c"), "left").select("token", "cid", "n", "pos", "blk", F.coalesce("label", "cid").alias("comp"))
+    some = comp.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo != hi").select("token")
+    return comp.join(some, "token")
 
 
 def cheap(live: DataFrame) -> bool:
@@ -181,48 +216,41 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     sets = durable(sets_of(docs, frequent(docs, k), k, percent), "prefixes")
     some = sets.where("cid is not null")
     reps = durable(some.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    tested = None
 
     # One entry a class: several rows with the id of a class's representative have the same set.
     if reps.where("doc_id is null").limit(1).count():
         first = some.dropDuplicates(["cid"])
     else:
-        first = sets.join(checked(reps.select("doc_id", "cid"), 16), ["doc_id", "cid"])
+        first = sets.join(checked(reps.select("doc_id", "cid"), 64), ["doc_id", "cid"])
     entries = first.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    often = durable(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "shared")
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("blk")
-    index = durable(entries.join(checked(often, 8), "token").select("token", "cid", "n", "pos", block), "index")
+    index = durable(entries.join(checked(promising(entries, percent), 48), "token").select("token", "cid", "n", "pos", block("n", percent).alias("blk")), "index")
+    prefixes = first.join(durable(index.select("cid").distinct(), "indexed"), "cid", "left_semi").select("cid", "n", "prefix")
 
-    labels = None
+    tested = links = labels = None
     live = index.withColumn("comp", F.col("cid"))
-    links = None
-    for turn in range(ROUNDS + 1):
-        full = turn == ROUNDS or turn > 0 and cheap(live)
-        if full:
+    for turn in range(len(LEADERS) + 1):
+        full = turn == len(LEADERS) or turn > 0 and cheap(live)
+        if turn:
             size = live.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"))
             outside = live.join(size, "token").where("comp != top.comp").drop("top")
+        if full:
             todo = pairs(outside, live, percent)
         else:
-            order = F.xxhash64("comp" if turn else "cid", F.lit(turn))
-            lead = live.groupBy("token", "blk").agg(F.min(F.struct(order.alias("o"), "cid", "n", "pos", "comp")).alias("p"))
-            lead = lead.select("token", "blk", "p.cid", "p.n", "p.pos", "p.comp")
-            todo = pairs(lead, live, percent)
+            inside = live.join(size, "token").where("comp = top.comp").drop("top") if turn else live
+            order = Window.partitionBy("token", "blk").orderBy(F.xxhash64("cid", F.lit(turn)), "cid")
+            lead = inside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS[turn]).drop("r")
+            todo = pairs(lead, outside if turn else live, percent)
         if tested is not None:
             todo = todo.join(tested, ["a", "b"], "left_anti")
         todo = durable(todo, "pairs")
-        if not todo.limit(1).count():
-            if full:
-                break
-            continue
-        new = durable(linked(todo, reps.select("cid", "doc_id"), docs, k, percent), "linked")
-        tested = todo if tested is None else tested.unionByName(todo)
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if todo.limit(1).count():
+            new = durable(linked(durable(hopeful(todo, prefixes, percent), "hopeful"), reps.select("cid", "doc_id"), docs, k, percent), "linked")
+            tested = todo if tested is None else tested.unionByName(todo)
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
         if full:
             break
-        comp = index.join(checked(labels, 16), F.col("cid") == F.col("node"), "left").select("token", "cid", "n", "pos", "blk", F.coalesce("label", "cid").alias("comp"))
-        mixed = comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-        live = durable(comp.join(mixed, "token"), "live")
+        live = durable(mixed_lists(live, labels), "live")
 
     classes = reps.select("cid", "doc_id")
     if labels is not None:
