@@ -41,6 +41,8 @@ SETS = "doc_id long, n long, cid long, prefix array<long>"
 HOT, HOT_FROM = 1 << 19, 16
 #: Shingles counted at a time in a task.
 COUNTED = 1 << 21
+#: Tables of one or two numbers a row are broadcast up to so many bytes, counted at 48 bytes a row and more.
+SMALL = 64 << 20
 #: Leaders of a list in each round, before what is left is compared in full.
 LEADERS = (1, 6, 12)
 #: With so few comparisons for each entry left, there are no further rounds.
@@ -140,7 +142,7 @@ def hopeful(todo: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     prefix; in the common order the first of them lie in both prefixes.
     """
     ids = durable(todo.select(F.col("a").alias("cid")).union(todo.select(F.col("b").alias("cid"))).distinct(), "paired")
-    own = prefixes.join(checked(ids, 48), "cid", "left_semi")
+    own = prefixes.join(checked(ids, 48, SMALL), "cid", "left_semi")
     side = lambda k: own.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}"))
     both = todo.join(side("a"), "a").join(side("b"), "b")
     least = needed("na", "nb", percent) + 1 - F.greatest(*[F.ceil(F.col(n) * percent / F.lit(100.0) - F.lit(1e-9)) for n in ("na", "nb")])
@@ -158,7 +160,7 @@ def linked(todo: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: i
                 own = [(c, s.view(np.int64)) for c, s in zip(cids, shingle_sets(texts_of(part), k), strict=True) if len(s) and class_of(s) == c]
                 yield pa.record_batch([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.list_(pa.int64()))], ["cid", "s"])
 
-    there = docs.join(checked(ids, 64), docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text")
+    there = docs.join(checked(ids, 64, SMALL), docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text")
     sets = durable(there.mapInArrow(run, "cid long, s array<long>"), "sets")
     left = todo.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
@@ -188,7 +190,7 @@ def mixed_lists(live: DataFrame, labels: DataFrame | None) -> DataFrame:
     comp = live
     if labels is not None:
         found = live.select("cid").distinct().join(labels, F.col("cid") == F.col("node")).select(F.col("cid").alias("c"), "label")
-        comp = live.join(checked(durable(found, "found"), 64), F.col("cid") == F.col("c"), "left").select("token", "cid", "n", "pos", "blk", F.coalesce("label", "cid").alias("comp"))
+        comp = live.join(checked(durable(found, "found"), 64, SMALL), F.col("cid") == F.col("c"), "left").select("token", "cid", "n", "pos", "blk", F.coalesce("label", "cid").alias("comp"))
     some = comp.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo != hi").select("token")
     return comp.join(some, "token")
 
@@ -221,10 +223,10 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     if reps.where("doc_id is null").limit(1).count():
         first = some.dropDuplicates(["cid"])
     else:
-        first = sets.join(checked(reps.select("doc_id", "cid"), 64), ["doc_id", "cid"])
+        first = sets.join(checked(reps.select("doc_id", "cid"), 64, SMALL), ["doc_id", "cid"])
     entries = first.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    index = durable(entries.join(checked(promising(entries, percent), 48), "token").select("token", "cid", "n", "pos", block("n", percent).alias("blk")), "index")
-    prefixes = first.join(durable(index.select("cid").distinct(), "indexed"), "cid", "left_semi").select("cid", "n", "prefix")
+    index = durable(entries.join(checked(promising(entries, percent), 48, SMALL), "token").select("token", "cid", "n", "pos", block("n", percent).alias("blk")), "index")
+    prefixes = first.join(checked(durable(index.select("cid").distinct(), "indexed"), 48, SMALL), "cid", "left_semi").select("cid", "n", "prefix")
 
     tested = links = labels = None
     live = index.withColumn("comp", F.col("cid"))
