@@ -2,8 +2,9 @@
 
 Candidate blocks (lines with a license's cue, and lines close by) are compressed by zstandard with
 each template as raw dictionary. How much smaller a block gets than without a dictionary ranks the
-templates; of the best few, one is confirmed only by its exact wording: words are aligned, and the
-words of the template that lack and the words put in between are counted. Numbers must agree.
+templates. In that order, every template whose words the block holds is tried, and confirmed only by
+its exact wording: words are aligned, and the words of the template that lack and the words put in
+between are counted. Numbers must agree.
 """
 
 from __future__ import annotations
@@ -44,9 +45,8 @@ STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "public d
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
 #: Lines between two cues that still are one block, and a block's most characters on either side of its cues.
 NEAR, REACH = 2, 1200
-#: The least part of a block's or template's compressed size that the dictionary must save, the templates tried by wording, and the
-#: percentage of a template's words that may differ.
-SAVED, TRIED, DIFFER = 0.25, 4, 5
+#: The percentage of a template's words that may differ.
+DIFFER = 5
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -66,10 +66,10 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 @cache
-def compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor], dict[str, list[str]], dict[str, int]]:
+def compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor], dict[str, list[str]]]:
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
     own = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in TEMPLATES.items()}
-    return plain, own, {k: WORD.findall(v.lower()) for k, v in TEMPLATES.items()}, {k: len(plain.compress(v.lower().encode())) for k, v in TEMPLATES.items()}
+    return plain, own, {k: WORD.findall(v.lower()) for k, v in TEMPLATES.items()}
 
 
 def wording(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
@@ -85,19 +85,26 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, int] | Non
     return a, b, len(template) - same + (b - a) - same
 
 
+def holds(own: set[str], template: list[str]) -> bool:
+    """Whether words `own` may confirm the template: no more than may differ lack, and no number does."""
+    lack = [w for w in template if w not in own]
+    return len(lack) <= DIFFER * len(template) // 100 and not any(c.isdigit() for w in lack for c in w)
+
+
 def scan_block(block: str) -> list[tuple[str, int, int, int]]:
     """(license, start, end, differences) in a block, found one by one, each the best by compression."""
-    plain, own, words, alone = compressors()
+    plain, own, words = compressors()
+    places = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(block)]
+    seen = [p[0] for p in places]
+    there = set(seen)
+    able = [k for k in own if holds(there, words[k])]
+    if not able:
+        return []
     raw = block.lower().encode()
     base = len(plain.compress(raw))
-    saved = sorted(((base - len(c.compress(raw)), k) for k, c in own.items()), key=lambda x: (-x[0], x[1]))
-    places = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(block)]
+    saved = sorted((len(own[k].compress(raw)) - base, -len(words[k]), k) for k in able)
     taken, out = [False] * len(places), []
-    tried = 0
-    for less, k in saved:
-        if less < SAVED * min(base, alone[k]) or tried >= TRIED and not out:
-            break
-        tried += 1
+    for _, _, k in saved:
         free, start = [], 0
         for i in range(len(places) + 1):  # the stretches that no other template has
             if i == len(places) or taken[i]:
@@ -105,21 +112,23 @@ def scan_block(block: str) -> list[tuple[str, int, int, int]]:
                     free.append((start, i))
                 start = i + 1
         for lo, hi in free:
-            while hi > lo and (hit := exact([p[0] for p in places[lo:hi]], words[k])):
+            while hi > lo and (hit := exact(seen, words[k], lo, hi)):
                 a, b, differ = hit
-                out.append((k, places[lo + a][1], places[lo + b - 1][2], differ))
-                for i in range(lo + a, lo + b):
+                out.append((k, places[a][1], places[b - 1][2], differ))
+                for i in range(a, b):
                     taken[i] = True
-                lo += b
+                lo = b
     return out
 
 
-def exact(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
-    """The template's first place in the block with few enough differences."""
+def exact(block: list[str], template: list[str], lo: int, hi: int) -> tuple[int, int, int] | None:
+    """The template's first place in block[lo:hi] with few enough differences."""
     most = DIFFER * len(template) // 100
-    for i in range(len(block)):
-        if block[i] in template[: most + 1]:
-            hit = wording(block[i : i + len(template) + most], template)
+    first = set(template[: most + 1])
+    for i in range(lo, hi):
+        if block[i] in first:
+            part = block[i : min(hi, i + len(template) + most)]
+            hit = wording(part, template) if holds(set(part), template) else None
             if hit and hit[2] <= most and hit[0] == 0:
                 return i, i + hit[1], hit[2]
     return None

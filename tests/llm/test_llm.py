@@ -506,6 +506,14 @@ def test_licenses(spark, edge, none):
     assert lic.licenses(none).count() == 0
 
 
+def test_every_license_of_a_block_is_tried():
+    later = "This work is licensed under the GNU General Public License, version 2, or (at your option) any later version."
+    for name, text in lic.TEMPLATES.items():
+        for more in (later, later + " Licensed under the Apache License, Version 3.0. Licensed under CC BY 5.0."):
+            got = [k for k, *_ in lic.scan(f"{more} {text}")[1]]
+            assert got == ["GPL-2.0", name]
+
+
 # Pipeline
 
 
