@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-Candidate blocks (lines with a license's cue, and lines close by) are compressed by zstandard with
-each template as raw dictionary. How much smaller a block gets than without a dictionary ranks the
-templates. In that order, every template whose words the block holds is tried, and confirmed only by
-its exact wording: words are aligned, and the words of the template that lack and the words put in
-between are counted. Numbers must agree.
+Candidate blocks (a license's cues, and around each as many words as the longest template may take,
+across line breaks and comment marks) are compressed by zstandard with each template as raw
+dictionary, both as words and single spaces. How much smaller a block gets than without a dictionary
+ranks the templates. In that order, every template whose words the block holds is tried, and
+confirmed only by its exact wording: words are aligned, and the words of the template that lack and
+the words put in between are counted. Numbers must agree.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
@@ -40,36 +43,43 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = re.compile(r"licen[sc]e|copyright|permission|redistribut|warrant|public domain|free software", re.I)
-STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "public domain", "free software")
+#: Each template holds more cues than words of it may differ, so that no confirmed notice is without one.
+CUE = re.compile(r"licen[sc]e|copyright|permission|redistribut|warrant|public[^a-z0-9]+domain|free[^a-z0-9]+(?:software|of[^a-z0-9]+charge)|permitted[^a-z0-9]+provided|associated[^a-z0-9]+documentation|unencumbered", re.I)
+STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "domain", "software", "charge", "permitted", "documentation", "unencumbered")
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
-#: Lines between two cues that still are one block, and a block's most characters on either side of its cues.
-NEAR, REACH = 2, 1200
 #: The percentage of a template's words that may differ.
 DIFFER = 5
+#: Words of a block on either side of its cues: a notice with a cue in it lies inside, whatever its lines.
+REACH = max(n + DIFFER * n // 100 for n in (len(WORD.findall(t)) for t in TEMPLATES.values()))
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidate blocks, in code points: cues that lie close together, with what is around them."""
+    """(start, end) of candidate blocks, in code points: cues with REACH words on either side; those that meet are one."""
     low = text.lower()
-    if not any(s in low for s in STEMS):
+    if not any(s in low for s in STEMS) or not CUE.search(text):
         return []
+    starts, ends = array("q"), array("q")
+    for m in WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
     out: list[list[int]] = []
     for m in CUE.finditer(text):
-        lo, hi = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        lo, hi = max(lo, m.start() - REACH), min(len(text) if hi < 0 else hi, m.end() + REACH)
-        if out and (lo <= out[-1][1] or text.count("\n", out[-1][1], lo) <= NEAR) and hi - out[-1][0] <= 4 * REACH:
-            out[-1][1] = max(hi, out[-1][1])
+        lo = max(0, bisect_right(starts, m.start()) - 1 - REACH)
+        hi = min(len(starts), bisect_left(starts, m.end()) + REACH)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
         else:
-            out.append([max(lo, out[-1][1] if out else 0), hi])
-    return [(a, b) for a, b in out if b > a]
+            out.append([lo, hi])
+    return [(starts[a], ends[b - 1]) for a, b in out if b > a]
 
 
 @cache
 def compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor], dict[str, list[str]]]:
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-    own = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in TEMPLATES.items()}
-    return plain, own, {k: WORD.findall(v.lower()) for k, v in TEMPLATES.items()}
+    words = {k: WORD.findall(v.lower()) for k, v in TEMPLATES.items()}
+    raw = {k: " ".join(v).encode() for k, v in words.items()}
+    own = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in raw.items()}
+    return plain, own, words
 
 
 def wording(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
@@ -100,7 +110,7 @@ def scan_block(block: str) -> list[tuple[str, int, int, int]]:
     able = [k for k in own if holds(there, words[k])]
     if not able:
         return []
-    raw = block.lower().encode()
+    raw = " ".join(seen).encode()
     base = len(plain.compress(raw))
     saved = sorted((len(own[k].compress(raw)) - base, -len(words[k]), k) for k in able)
     taken, out = [False] * len(places), []

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -30,6 +31,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h
 CLASH = ("h", "d", 1, 2, 3, "x", 4, "d", "q", 5, 6, 7, 8, "b", True)
 
 
+WORDED = re.compile("[A-Za-z0-9]+")
+
+
 def words(rng, n, vocab=400):
     return " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
 
@@ -495,6 +499,17 @@ def test_each_license_is_found_by_its_wording(name):
     assert (n, [(k, d) for k, _, _, d in hits]) == (1, [(name, 0)])
 
 
+@pytest.mark.parametrize("name", sorted(lic.TEMPLATES))
+@pytest.mark.parametrize("how", ["{}\n", "# {}\n", " * {}\n", "// {}\n\n", "{}\n\n\n\n"])
+def test_each_license_is_found_in_wrapped_lines(name, how):
+    for width in (72, 12):
+        notice = "".join(how.format(x) for x in textwrap.wrap(lic.TEMPLATES[name], width, break_long_words=False, break_on_hyphens=False))
+        text = f"{words(random.Random(1), 300)}\n{notice}\n{words(random.Random(2), 300)}"
+        hits = lic.scan(text)[1]
+        assert [(k, d) for k, _, _, d in hits] == [(name, 0)]
+        assert WORDED.findall(text[hits[0][1] : hits[0][2]]) == WORDED.findall(lic.TEMPLATES[name])
+
+
 def test_licenses(spark, edge, none):
     assert lic.scan("This work is licensed under the GNU General Public License, version 4.")[1] == []
     assert lic.scan("The license was lost and the warranty void.")[1] == []
@@ -506,6 +521,14 @@ def test_licenses(spark, edge, none):
     assert lic.licenses(none).count() == 0
 
 
+def test_no_edge_cuts_a_license():
+    for name in ("MIT-notice", "Apache-2.0-notice"):
+        for n in (300, 420, 440, 460, 500, 700):  # cues without a gap over more than any block's former length
+            text = f"{'license ' * n}{lic.TEMPLATES[name]}{' warranty' * n}"
+            n_blocks, hits = lic.scan(text)
+            assert (n_blocks, [(k, d) for k, _, _, d in hits]) == (1, [(name, 0)])
+
+
 def test_every_license_of_a_block_is_tried():
     later = "This work is licensed under the GNU General Public License, version 2, or (at your option) any later version."
     for name, text in lic.TEMPLATES.items():
