@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-One pass over whole texts finds the pattern spans and the candidates (long runs of key characters
-with a digit), each candidate with its surroundings. The network is trained on labelled findings: a
+One pass over whole texts finds the pattern spans and the candidates outside of them: runs of SHORT or
+more key characters with a digit or with letters of mixed case, of LONG or more letters, or with a key
+word before them. (A run of fewer letters of one case with no key word near is taken for a word.) The
+network slides over a whole candidate, in steps of STEP, and its largest score counts. The network is trained on labelled findings: a
 bounded sample of windows, pattern spans as positives (also with foreign surroundings, so that the
 value itself must be recognised) and candidates outside them as negatives, or findings that are
 given. Its threshold is the highest that keeps the asked recall on windows it wasn't trained on.
@@ -29,11 +31,18 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # whole runs, as [0-9a-f]+ gives them, of 24 or more
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: The least characters of a candidate, and of one that is neither mixed nor behind a key word.
+SHORT, LONG = 6, 16
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % SHORT)
+#: A digit, letters of mixed case (more than a capital in front), or many letters.
+MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][A-Z]+[a-z]|[A-Za-z]{%d}" % LONG)
+KEY = re.compile(r"pass|pwd|secret|token|key|auth|cred|login|bearer", re.I)
 #: Characters of a window: before the candidate, of the candidate, behind it.
 BEFORE, OWN, BEHIND = 24, 40, 8
 WIDTH = BEFORE + OWN + BEHIND
-FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base string, starts array<long>, ends array<long>, windows array<string>, positive array<string>"
+#: Characters between two windows of a candidate of more than OWN characters, and the windows scored at a time.
+STEP, SCORED = 8, 1 << 12
+FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base string, starts array<long>, ends array<long>, stretches array<string>, positive array<string>"
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -52,10 +61,21 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def window(text: str, start: int, end: int) -> str:
-    """The candidate in its surroundings; parts that are too short are filled with NUL."""
+def stretch(text: str, start: int, end: int) -> str:
+    """The whole candidate in its surroundings; parts that are too short are filled with NUL."""
     before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
-    return before + text[start : min(end, start + OWN)].ljust(OWN, "\0") + text[end : end + BEHIND].ljust(BEHIND, "\0")
+    return before + text[start:end].ljust(OWN, "\0") + text[end : end + BEHIND].ljust(BEHIND, "\0")
+
+
+def places(n: int) -> list[int]:
+    """Where the windows of a stretch of n characters start; the last one ends with it."""
+    last = n - WIDTH
+    return [*range(0, last, STEP), last]
+
+
+def window(text: str, start: int, end: int) -> str:
+    """The first window of a candidate."""
+    return stretch(text, start, end)[:WIDTH]
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -63,7 +83,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     out, k = [], 0
     by_end = sorted(spans, key=lambda x: x[2])
     for m in CANDIDATE.finditer(text):
-        if any(c.isdigit() for c in m[0]):
+        if MIXED.search(m[0]) or KEY.search(text, max(0, m.start() - BEFORE), m.start()):
             while k < len(by_end) and by_end[k][2] <= m.start():
                 k += 1
             if not any(s < m.end() and e > m.start() for s, _, e in by_end[k:]):
@@ -86,7 +106,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         at = ASSIGN.match(text, s).start(2) if k == 0 else s
                         positive.append(window(text, at, e))
                     n = [sum(k == j for _, k, _ in spans) for j in range(3)]
-                    rows.append((i, *n, written(spans), [s for s, _ in more], [e for _, e in more], [window(text, s, e) for s, e in more], positive))
+                    rows.append((i, *n, written(spans), [s for s, _ in more], [e for _, e in more], [stretch(text, s, e) for s, e in more], positive))
                 kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.string())] * 2
                 names = [x.split()[0] for x in FOUND.split(", ")]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -100,6 +120,11 @@ def codes(windows: list[str]) -> np.ndarray:
     return np.where(out < 128, out, 1)
 
 
+def codes_of(x: str) -> np.ndarray:
+    out = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.where(out < 128, out, 1)
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, maxima over the three parts of the window, one logistic unit."""
@@ -136,6 +161,25 @@ class Network:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.shift, -35, 35)))
 
+    def scores(self, stretches: list[str]) -> np.ndarray:
+        """The largest probability of each stretch's windows."""
+        out = np.zeros(len(stretches))
+        held, owner, n = [], [], 0
+        for i, x in enumerate(stretches):
+            row = codes_of(x)
+            at = np.array(places(len(row)))
+            for lo in range(0, len(at), SCORED):
+                part = at[lo : lo + SCORED]
+                held.append(np.lib.stride_tricks.sliding_window_view(row, WIDTH)[part])
+                owner.append(np.full(len(part), i))
+                n += len(part)
+                if n >= SCORED:
+                    np.maximum.at(out, np.concatenate(owner), self.probability(np.concatenate(held)))
+                    held, owner, n = [], [], 0
+        if n:
+            np.maximum.at(out, np.concatenate(owner), self.probability(np.concatenate(held)))
+        return out
+
     def gradients(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
         cols, h, best, pooled, z = self.forward(x)
         dz = w * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / w.sum()
@@ -207,13 +251,13 @@ def secrets(docs: DataFrame, *, sample: int = 4000, recall: float = 0.98, id_col
     columns are not read.
     """
     rows = durable(found(docs, id_col, text_col), "secrets")
-    net = train(sampled(rows, "positive", sample), sampled(rows, "windows", sample), recall=recall)
+    net = train(sampled(rows, "positive", sample), [x[:WIDTH] for x in sampled(rows, "stretches", sample)], recall=recall)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            p = iter(shared.value.probability(codes([w for r in rows for w in r["windows"]])))
+            p = iter(shared.value.scores([x for r in rows for x in r["stretches"]]))
             spans = []
             for r in rows:
                 more = [(s, 3, e) for s, e in zip(r["starts"], r["ends"], strict=True) if next(p) >= shared.value.threshold]
@@ -223,4 +267,4 @@ def secrets(docs: DataFrame, *, sample: int = 4000, recall: float = 0.98, id_col
             n = [pa.array([r[k] for r in rows], pa.int64()) for k in ("doc_id", "n_assign", "n_access", "n_hex")]
             yield pa.record_batch([*n, pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base", "starts", "ends", "windows").mapInArrow(run, RESULT)
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base", "starts", "ends", "stretches").mapInArrow(run, RESULT)

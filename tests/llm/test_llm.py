@@ -467,6 +467,28 @@ def test_secrets(spark, edge, none):
     assert secrets.secrets(none).count() == 0
 
 
+def test_candidates_reach_short_and_letter_only_runs():
+    def own(t):
+        return [t[a:b] for a, b in secrets.candidates(t, secrets.base_spans(t))]
+
+    assert own("pwd: Sup3rS3cr3t") == ["Sup3rS3cr3t"]
+    assert "Passw0rd9" in own("postgres://u:Passw0rd9@host")
+    assert own("a qXbTrYwLpZcVnMdK b") == ["qXbTrYwLpZcVnMdK"]
+    assert own("pwd: letmein here") == ["letmein"]
+    assert own("An ordinary sentence follows letters.") == []
+
+
+def test_windows_slide_over_whole_candidates():
+    rng = random.Random(1)
+    net = secrets.Network.new(2)
+    for n in (1, 40, 41, 47, 48, 300):
+        x = secrets.stretch(f"before {'k' * n} behind", 7, 7 + n)
+        at = secrets.places(len(x))
+        assert {j for i in at for j in range(i, i + secrets.WIDTH)} == set(range(len(x)))
+        y = "".join(rng.choice("abc123/") for _ in range(len(x)))
+        assert net.scores([y, x])[0] == pytest.approx(net.probability(secrets.codes([y[i : i + secrets.WIDTH] for i in at])).max())
+
+
 def test_network_learns_and_keeps_recall():
     rng = random.Random(2)
     pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
