@@ -3,16 +3,18 @@
 One pass over whole texts finds the pattern spans and the candidates outside of them: runs of SHORT or
 more key characters with a digit or with letters of mixed case, of LONG or more letters, or with a key
 word before them. (A run of fewer letters of one case with no key word near is taken for a word.) The
-network slides over a whole candidate, in steps of STEP, and its largest score counts. The network is trained on labelled findings: a
-bounded sample of windows, pattern spans as positives (also with foreign surroundings, so that the
-value itself must be recognised) and candidates outside them as negatives, or findings that are
-given. Its threshold is the highest that keeps the asked recall on windows it wasn't trained on.
-Pattern spans always stay; the network adds spans of kind `cnn`.
+network slides over a whole candidate, in steps of STEP, and its largest score counts. It is trained
+on labels that don't come from what it scores: pattern spans as positives, also with foreign
+surroundings, so that the value itself must be recognised, and synthetic findings of both kinds. Its
+threshold is the highest that keeps the asked recall over all pattern spans of the data that are
+held back from training. Pattern spans always stay; the network adds spans of kind `cnn`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,6 +44,10 @@ BEFORE, OWN, BEHIND = 24, 40, 8
 WIDTH = BEFORE + OWN + BEHIND
 #: Characters between two windows of a candidate of more than OWN characters, and the windows scored at a time.
 STEP, SCORED = 8, 1 << 12
+#: Synthetic findings of either label.
+SYNTHETIC = 1500
+#: Bins of the threshold's histogram, over log odds from -35 to 35.
+BINS = 7000
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base string, starts array<long>, ends array<long>, stretches array<string>, positive array<string>"
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -137,6 +143,7 @@ class Network:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 2.0  # over 1: adds nothing
+    precision: float = 0.0  # at the threshold, of the held-out windows of training
 
     KERNEL = 5
     PARTS = ((0, BEFORE), (BEFORE, BEFORE + OWN), (BEFORE + OWN, WIDTH))
@@ -199,15 +206,83 @@ class Network:
         return [dembed, np.tensordot(cols, dh, ([0, 1], [0, 1])), dh.sum((0, 1)), pooled.T @ dz, np.array([dz.sum()])]
 
 
+def synthetic(n: int = SYNTHETIC, seed: int = 5) -> tuple[list[str], list[str]]:
+    """Windows of made-up secrets and of made-up names, numbers, dates, paths and words, n or more each."""
+    rng = random.Random(seed)
+    pick = lambda k, a: "".join(rng.choice(a) for _ in range(k))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    onset = [*"bcdfghjklmnprstvwz", "", "", *"ch sch st sp tr br gr cl pl th wh qu pf tz kn".split()]
+    vowel, coda = [*"aeiou" * 3, "y", *"ei ie ai ou au ea eu io".split()], ["", "", "", *"n r s t l ng nt st ch cht tz rt ss ll ment tion".split()]
+    word = lambda least=1, most=4: "".join(rng.choice(onset) + rng.choice(vowel) + rng.choice(coda) for _ in range(rng.randint(least, most)))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(0, 6)))
+    number = lambda most: str(rng.randrange(10 ** rng.randint(1, most)))
+
+    def leet() -> str:
+        x = list(word(2, 5).title() + word(1, 2).title())
+        for j in range(1, len(x)):
+            x[j] = {"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(x[j], x[j]) if rng.random() < 0.7 else x[j]
+        return "".join(x) + number(3)
+
+    def secret() -> str:
+        return rng.choice([
+            lambda: pick(rng.choice([16, 18, 20, 32, 40, 64]), digits + "abcdef"), lambda: pick(rng.randint(14, 48), lower + upper + digits),
+            lambda: pick(rng.randint(20, 64), lower + upper + digits + "+/"), lambda: pick(rng.randint(16, 40), lower + upper),
+            lambda: pick(rng.randint(20, 40), rng.choice([lower, upper])), lambda: pick(rng.randint(16, 32), upper + digits),
+            lambda: pick(rng.randint(8, 14), lower + upper + digits), leet, leet,
+        ])()
+
+    def path() -> str:
+        return "/".join(word() + rng.choice(["", "", number(3), "-" + word(), "_" + word()]) for _ in range(rng.randint(1, 8)))
+
+    def other() -> str:
+        return rng.choice([
+            lambda: pick(rng.randint(6, 19), digits), lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+            lambda: f"{number(3)}.{number(3)}.{number(6)}", lambda: f"{word()}{number(2)}.{word()}.{rng.choice(['com', 'org', 'net', 'de'])}",
+            lambda: f"www.{word()}.{word()}.com/{path()}", lambda: f"/{path()}.{word(1, 1)}", path, lambda: word(2).title() + word().title() + rng.choice(["", number(2)]),
+            lambda: word(3, 8), lambda: word(4, 7), lambda: word(4, 7).title() + rng.choice(["", ".", "-"]), lambda: word(3, 5).upper(), lambda: f"{word()}{number(2)}.{word(2)}.com", lambda: f"{word()}_{word()}_{number(3)}", lambda: f"{word(2)}-{number(4)}", lambda: word(2) + number(4), lambda: word(2).title() + rng.choice([".", "", "="]),
+        ])()
+
+    named = ["pwd: ", "pass=", "pw ", "key = ", "key: '", "passphrase is ", "Bearer ", "auth ", "://u:", "://admin:", "login ", "cred: ", "private_key \"", "", "", "", "", ""]
+    usual = ["the key ", "a password is ", "login at ", "keys to ", "see ", "on ", "://", "@", "id ", "no. ", "(", "", "", "", ""]
+    behind = ["", " ", "\n", "@", "'", "\"", ", ", ". ", "&", ")"]
+    out: tuple[list[str], list[str]] = ([], [])
+    while min(map(len, out)) < n:
+        own, lead, tail = secret(), "", ""
+        if rng.random() < 0.3:  # inside of a longer run
+            lead, tail = path() + rng.choice("/=_."), rng.choice(["", "/" + path()])
+        for label, value, head in ((0, lead + own + tail, rng.choice(named)), (1, other(), rng.choice(usual))):
+            front = f"{prose()}{rng.choice([' ', chr(10), ''])}{head}"
+            if rng.random() < 0.3:  # what the texts before and behind are must not matter either
+                front = "" if rng.random() < 0.5 else front[-rng.randint(0, 8) :]
+            whole = stretch(f"{front}{value}{rng.choice(behind)}{prose()}", len(front), len(front) + len(value))
+            at = places(len(whole))
+            if not label:
+                at = [i for i in at if i <= len(lead) and len(lead) + len(own) <= i + OWN] or [i for i in at if len(lead) <= i < len(lead) + len(own) - 8]
+            if at:
+                i = rng.choice(at)
+                out[label].append(whole[i : i + WIDTH])
+    return out
+
+
+def held_out(w: str) -> bool:
+    """Whether a window is for calibration and threshold, never for fitting."""
+    return zlib.crc32(w.encode("utf-8", "replace")) % 5 == 0
+
+
+def elsewhere(positive: list[str], others: list[str]) -> list[str]:
+    """The values in the surroundings of other windows, which a window's own hash chooses."""
+    of = [others[zlib.crc32(p.encode("utf-8", "replace")) // 5 % len(others)] for p in positive]
+    return [n[:BEFORE] + p[BEFORE : BEFORE + OWN] + n[-BEHIND:] for p, n in zip(positive, of, strict=True)]
+
+
 def train(positive: list[str], negative: list[str], *, recall: float = 0.98, epochs: int = 12, seed: int = 11) -> Network:
     """A network from labelled windows. A fifth of them (by crc32) sets calibration and threshold."""
     net = Network.new(seed)
     if len(positive) < 10 or len(negative) < 10:
         return net  # nothing to learn from: adds nothing
     rng = np.random.default_rng(seed)
-    held = lambda w: zlib.crc32(w.encode("utf-8", "replace")) % 5 == 0
-    foreign = [p[:0] + n[:BEFORE] + p[BEFORE : BEFORE + OWN] + n[-BEHIND:] for p, n in zip(positive, rng.choice(negative, len(positive)), strict=True)]
-    every = [(w, 1, held(w)) for w in positive] + [(f, 1, held(w)) for f, w in zip(foreign, positive, strict=True)] + [(w, 0, held(w)) for w in negative]
+    foreign = elsewhere(positive, negative)
+    every = [(w, 1, held_out(w)) for w in positive] + [(f, 1, held_out(w)) for f, w in zip(foreign, positive, strict=True)] + [(w, 0, held_out(w)) for w in negative]
     x, y, out = codes([w for w, _, _ in every]), np.array([k for _, k, _ in every], float), np.array([h for _, _, h in every])
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     fitted = np.nonzero(~out)[0]
@@ -231,11 +306,45 @@ def train(positive: list[str], negative: list[str], *, recall: float = 0.98, epo
         step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2), design.T @ (yy - p) - 0.1 * (w - [1.0, 0.0]))
         w = w + step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-9))
     net.slope, net.shift = float(max(w[0], 1e-3)), float(w[1])
-    own = np.sort(net.probability(x[out][yy == 1]))
-    net.threshold = max(float(own[int((1 - recall) * len(own))]), 0.5)
+    p = net.probability(x[out])
+    own = np.sort(p[yy == 1])
+    net.threshold = float(own[int((1 - recall) * len(own))])
+    net.precision = float(yy[p >= net.threshold].mean())
     return net
 
 
+def log_odds_bin(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-15, 1 - 1e-15)
+    return np.clip(np.floor((np.log(p / (1 - p)) + 35) * (BINS / 70)), 0, BINS - 1).astype(np.int64)
+
+
+def threshold(rows: DataFrame, net: Network, more: list[str], others: list[str], recall: float) -> float:
+    """The highest lower edge of a bin that keeps `recall` of all held-out positives: the table's, in
+    their own and in other surroundings, and `more`."""
+    shared = rows.sparkSession.sparkContext.broadcast((net, others))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, others = shared.value
+        n = np.zeros(BINS, np.int64)
+        for batch in batches:
+            own = [w for ws in batch.column("positive").to_pylist() for w in ws if held_out(w)]
+            for lo in range(0, len(own), SCORED):
+                part = own[lo : lo + SCORED]
+                n += np.bincount(log_odds_bin(net.probability(codes(part + elsewhere(part, others)))), minlength=BINS)
+        at = np.nonzero(n)[0]
+        yield pa.record_batch([pa.array(at), pa.array(n[at])], ["bin", "n"])
+
+    n = np.zeros(BINS, np.int64)
+    for r in rows.select("positive").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+        n[r.bin] = r.n
+    own = [w for w in more if held_out(w)]
+    if own:
+        n += np.bincount(log_odds_bin(net.probability(codes(own))), minlength=BINS)
+    kept = np.cumsum(n[::-1])[::-1]
+    at = int(np.nonzero(kept >= recall * n.sum())[0].max()) if n.any() else BINS
+    return float(1 / (1 + np.exp(-(at * 70 / BINS - 35)))) if n.any() else 2.0
+
+
 def sampled(windows: DataFrame, col: str, most: int) -> list[str]:
     """At most `most` different windows, by the order of their hashes."""
     one = windows.select(F.explode(col).alias("w")).distinct()
@@ -245,13 +354,18 @@ def sampled(windows: DataFrame, col: str, most: int) -> list[str]:
 def secrets(docs: DataFrame, *, sample: int = 4000, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT's columns for every row of `docs`.
 
-    sample: the most windows of either label that the network is fitted on (of about 100 bytes each);
-    all candidates are scored. Null or empty text: no spans (base_sha256 of the empty string). Null
+    sample: the most pattern spans that the network is fitted on (of about 100 bytes each); all
+    held-out ones set the threshold, and all candidates are scored, over their whole length. The
+    threshold keeps `recall` whatever that costs in precision, which is logged. Null or empty text: no spans (base_sha256 of the empty string). Null
     id: passed on. Repeated rows: each scanned. Very long texts: whole. Empty table: no rows. Other
     columns are not read.
     """
     rows = durable(found(docs, id_col, text_col), "secrets")
-    net = train(sampled(rows, "positive", sample), [x[:WIDTH] for x in sampled(rows, "stretches", sample)], recall=recall)
+    positive, negative = synthetic()
+    net = train(sampled(rows, "positive", sample) + positive, negative, recall=recall)
+    net.threshold = threshold(rows, net, positive, negative, recall)
+    test = [w for w in negative if held_out(w)]
+    logging.getLogger(__name__).info("secrets: threshold %.4f, precision of held-out training windows %.4f at %.4f, synthetic clean ones over the threshold %.4f", net.threshold, net.precision, recall, (net.probability(codes(test)) >= net.threshold).mean())
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -489,6 +489,39 @@ def test_windows_slide_over_whole_candidates():
         assert net.scores([y, x])[0] == pytest.approx(net.probability(secrets.codes([y[i : i + secrets.WIDTH] for i in at])).max())
 
 
+def secret_spans(spark, texts):
+    rows = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [[tuple(map(int, x.split(":")[1:])) for x in rows[i].spans.split(",") if x.startswith("cnn")] for i in range(len(texts))]
+
+
+def test_network_finds_what_patterns_do_not(spark):
+    rng = random.Random(21)
+    pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    both = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    own = ["pwd: Sup3rS3cr3t", "postgres://u:Passw0rd9@host", f"see {pick(24, both)} there", "GET /static/assets/images/banners/large/home/" + pick(32, both + "0123456789") + "/x", f"id {pick(18, '0123456789abcdef')} end"]
+    clean = [f"{words(rng, 8)} on 2024-05-{d:02} at www.example.com/docs/page" for d in range(1, 21)]
+    for texts in (own + clean, secret_texts() + own + clean):  # without and with spans of the patterns
+        got = secret_spans(spark, texts)
+        at = len(texts) - len(own + clean)
+        assert all(got[at : at + len(own)])
+        assert sum(map(bool, got[at + len(own) :])) <= 5
+
+
+def test_threshold_covers_all_held_out_spans(spark):
+    rng = random.Random(5)
+    texts = [f"token={''.join(rng.choice('abcdefgh') for _ in range(8))} {words(rng, 3)}" for _ in range(400)]
+    rows = secrets.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    _, clean = secrets.synthetic(50)
+    net = secrets.Network.new(4)
+    net.shift = -6.0  # every probability far under a half
+    own = [w for r in rows.collect() for w in r.positive if secrets.held_out(w)]
+    p = net.probability(secrets.codes(own + secrets.elsewhere(own, clean)))
+    for recall in (0.9, 0.98, 1.0):
+        t = secrets.threshold(rows, net, [], clean, recall)
+        assert (p >= t).mean() >= recall > (p >= t * 1.011).mean() - 1e-9 or recall == 1.0
+        assert t < 0.5
+
+
 def test_network_learns_and_keeps_recall():
     rng = random.Random(2)
     pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
