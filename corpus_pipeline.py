@@ -8,7 +8,7 @@ from evloom.llm import mixture
 from evloom.llm.common import durable
 from evloom.llm.exact_dedup import keep_distinct
 from evloom.llm.jaccard_join import keep_one
-from evloom.llm.packing import pack
+from evloom.llm.packing import sequences
 from evloom.llm.quality_qda import keep_good
 from evloom.llm.queries import TOKENIZERS
 from evloom.session import table
@@ -35,8 +35,8 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, each source in proportion throughout."""
-    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0)
+    """Sequences of 1024 tokens in pieces, with their ids and source rows, each source in proportion throughout."""
+    return sequences(docs, f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0)
 
 
 STAGES = [

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .bpe import encoder, slices, texts_of
 from .common import checked, durable
 
-TOKENS = "task int, queue string, before long, doc_id long, n long, ids binary"
+TOKENS = "task int, queue string, before long, row_id long, doc_id long, n long, ids binary"
+#: What sequences() gives: the ids of each piece, and the row that they are from.
+SEQUENCES = "row_id long, doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sources beyond so many share queues, by crc32 of their name.
 QUEUES = 4096
@@ -39,12 +41,13 @@ BLOCKS = 1 << 16
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, queues: int) -> DataFrame:
-    """A row for each document: its task, queue, the tokens before it in this task's part of the queue."""
+    """A row for each document: its number, task, queue, the tokens before it in this task's part of the queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end, task = np.array([end_id], enc.dtype).tobytes(), TaskContext.get().partitionId()
         before: dict[str, int] = defaultdict(int)
+        row = task << 33
         for batch in batches:
             for part in slices(batch):
                 ids = [x + end for x in enc.encode(texts_of(part))]
@@ -56,8 +59,10 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, queues: int) -> Data
                 for q, k in zip(queue, n, strict=True):
                     at.append(before[q])
                     before[q] += k
+                row_ids = np.arange(row, row + len(n))
+                row += len(n)
                 yield pa.record_batch(
-                    [pa.array([task] * len(n), pa.int32()), pa.array(queue, pa.string()), pa.array(at, pa.int64()), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array([task] * len(n), pa.int32()), pa.array(queue, pa.string()), pa.array(at, pa.int64()), pa.array(row_ids), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     [x.split()[0] for x in TOKENS.split(", ")],
                 )
 
@@ -122,8 +127,12 @@ def windows_of(n: np.ndarray, size: int, grain: int) -> Iterator[tuple[int, int,
             yield w, q, got[q]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 512, grain: int = 256, end_id: int = 0, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
-    """PIECES' columns: where each stretch of each document's tokens lies.
+def sequences(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 512, grain: int = 256, end_id: int = 0, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source") -> DataFrame:
+    """SEQUENCES' columns: each stretch of each document's tokens, with its ids, and where it lies.
+
+    ids: little-endian unsigned integers, of as many bytes each as the tokenizer's largest id takes
+    (2 or 4). A sequence is its pieces' ids by offset. row_id: a number of its own for every row of
+    `docs` (rows may repeat a doc_id, such as epochs); a row's tokens are its pieces' ids by start.
 
     weights: target proportions by source (default: each source's share of all tokens; a source not
     named: 0, served when the others are dry). A document is its ids, then end_id. Every sequence
@@ -156,22 +165,22 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 51
         at, ends, _ = shared.value
         for batch in batches:
             rows = []
-            for queue, start, doc_id, n, ids in zip(*[batch.column(c).to_pylist() for c in ("queue", "start", "doc_id", "n", "ids")], strict=True):
+            for queue, start, row_id, doc_id, n, ids in zip(*[batch.column(c).to_pylist() for c in ("queue", "start", "row_id", "doc_id", "n", "ids")], strict=True):
                 q, p = at[queue], start
                 b = int(np.searchsorted(ends[:, q], p, "right"))
                 while p < start + n:
                     to = min(start + n, int(ends[b, q]))
                     if to > p:
-                        rows.append((b, q, p, doc_id, p - start, n, ids[(p - start) * width : (to - start) * width]))
+                        rows.append((b, q, p, row_id, doc_id, p - start, n, ids[(p - start) * width : (to - start) * width]))
                     p, b = to, b + 1
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "q", "p", "doc_id", "start", "doc_tokens", "ids"])
+            kinds = [pa.int64()] * 7 + [pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "q", "p", "row_id", "doc_id", "start", "doc_tokens", "ids"])
 
     def lay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(key[0])
         dealt = shared.value[2][b]
         pdf = pdf.sort_values(["q", "p"], kind="stable")
-        rows = list(pdf[["q", "doc_id", "start", "doc_tokens", "ids"]].itertuples(index=False, name=None))
+        rows = list(pdf[["row_id", "doc_id", "start", "doc_tokens", "ids"]].itertuples(index=False, name=None))
         nth = {q: k for k, q in reversed(list(enumerate(pdf["q"])))}
         used = dict.fromkeys(nth, 0)
         out, offset, last = [], 0, -1
@@ -179,19 +188,37 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 51
             offset = offset if w == last else 0
             last = w
             while need:
-                _, doc_id, start, doc_tokens, ids = rows[nth[q]]
+                row_id, doc_id, start, doc_tokens, ids = rows[nth[q]]
                 have = len(ids) // width - used[q]
                 k = min(need, have)
-                piece = np.frombuffer(ids, f"<u{width}", k, used[q] * width).astype("<u4")
-                out.append((doc_id, start + used[q], k, zlib.crc32(piece.tobytes()), doc_tokens, b * per_block + w, offset))
+                piece = ids[used[q] * width : (used[q] + k) * width]
+                out.append((row_id, doc_id, start + used[q], k, piece, doc_tokens, b * per_block + w, offset))
                 offset, need = offset + k, need - k
                 if k == have:
                     nth[q], used[q] = nth[q] + 1, 0
                 else:
                     used[q] += k
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in SEQUENCES.split(", ")])
         return frame.astype({"doc_id": "Int64"})
 
-    placed = tokens.join(checked(offset, 40), ["task", "queue"]).select("queue", (F.col("before") + F.col("base")).alias("start"), "doc_id", "n", "ids")
-    segments = placed.mapInArrow(cut, "block long, q long, p long, doc_id long, start long, doc_tokens long, ids binary")
-    return segments.groupBy("block").applyInPandas(lay, PIECES)
+    placed = tokens.join(checked(offset, 40), ["task", "queue"]).select("queue", (F.col("before") + F.col("base")).alias("start"), "row_id", "doc_id", "n", "ids")
+    segments = placed.mapInArrow(cut, "block long, q long, p long, row_id long, doc_id long, start long, doc_tokens long, ids binary")
+    return segments.groupBy("block").applyInPandas(lay, SEQUENCES)
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """PIECES' columns of SEQUENCES' rows: the crc32 of each piece's ids as 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        for batch in batches:
+            n, ids = batch.column("length").to_pylist(), batch.column("ids").to_pylist()
+            crc = pa.array([zlib.crc32(np.frombuffer(x, f"<u{len(x) // k}").astype("<u4").tobytes()) for k, x in zip(n, ids, strict=True)], pa.int64())
+            yield pa.record_batch([crc if c == "ids_crc32" else batch.column(c) for c in names], names)
+
+    return pieces.mapInArrow(run, PIECES)
+
+
+def pack(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
+    """PIECES' columns, derived from the sequences as written; `how` as sequences() takes it."""
+    return digests(durable(sequences(docs, tokenizer, **how), "sequences"))

@@ -21,7 +21,7 @@ from evloom.llm import quality_rules as rules
 from evloom.llm.bpe import encoder
 from evloom.llm.exact_dedup import exact_dedup, keep_distinct
 from evloom.llm.jaccard_join import jaccard_join, keep_one
-from evloom.llm.packing import deal, pack, windows_of
+from evloom.llm.packing import deal, pack, sequences, windows_of
 from evloom.llm.quality_qda import DIM, features, fold, keep_good, quality
 from evloom.llm.token_count import counter, token_counts, whole_tokens
 
@@ -324,6 +324,32 @@ def test_packing_cuts_each_id_into_one_piece(edge, none):
     assert pack(none, BYTE).count() == 0
 
 
+def test_sequences_hold_their_ids(spark):
+    rng = random.Random(12)
+    rows = [(i % 9, words(rng, rng.randrange(1, 90)), rng.choice("ab")) for i in range(60)]  # ids stand in several rows
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for path, width in ((BYTE, 2), (WORDS, 2)):
+        got = sequences(df, path, size=64, windows=3, grain=16).collect()
+        assert all(len(p.ids) == width * p.length for p in got)
+        whole, seq = collections.defaultdict(list), collections.defaultdict(list)
+        for p in got:
+            whole[p.row_id, p.doc_id].append(p)
+            seq[p.sequence_id].append(p)
+        join = lambda ps, k: np.frombuffer(b"".join(p.ids for p in sorted(ps, key=lambda p: p[k])), "<u2").tolist()
+        assert len(whole) == len(rows)
+        assert sorted((i, join(ps, "start")) for (_, i), ps in whole.items()) == sorted((i, library_ids(path, t, [0]).tolist()) for i, t, _ in rows)
+        assert sorted(len(join(ps, "offset")) for ps in seq.values())[1:] == [64] * (len(seq) - 1)
+
+
+def test_pipeline_packs_ids(spark):
+    import corpus_pipeline as P
+
+    df = spark.createDataFrame([(1, "one two three", "a"), (1, "one two three", "a"), (1, "one", "a")], "doc_id long, text string, source string")
+    got = dict(P.STAGES)["packing"](spark, df, "").collect()
+    assert len({p.row_id for p in got}) == 3
+    assert sum(len(p.ids) for p in got) == 2 * sum(p.length for p in got)
+
+
 def test_packing_holds_proportions_throughout(spark):
     rng = random.Random(8)
     rows = [(i, words(rng, rng.randrange(5, 60)), rng.choice("aaaaaabbc")) for i in range(1500)]
