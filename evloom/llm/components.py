@@ -12,7 +12,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label for every node of `links` (a long, b long); label is the least node reachable.
 
     A round gives each node the least label among its neighbours, then the label of its label.
-    Rounds end when nothing changes; every round is written, so none is lost with an executor.
+    Rounds end when nothing changes; every round is written, so none is lost with an executor. Raises
+    where `rounds` are not enough, which takes chains of 2**rounds links or so.
     """
     both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")

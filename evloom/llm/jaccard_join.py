@@ -1,24 +1,20 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
 Sets of word shingles are joined through an index of their prefixes (rare shingles first, so that a
-frequent passage is indexed only by sets made of little else). Relations between sets are used to
-read little of it:
-
-* Equal sets are one class; only its representative is indexed.
-* Lists are cut into blocks by set size, entries carry their position in their set. A block is
-  skipped where the sizes cannot meet the threshold, an entry where no more than its position
-  leaves could be shared, and a whole list where no two of its entries are left.
-* In each block, the entries of least hash lead. Followers are compared with leaders first. A
-  follower that is highly similar takes over its leader's answer, the component reached so far, and
-  what both have in common needs no comparison again: a list whose entries lie in one component is
-  done. In later rounds those outside of a list's largest component are compared with some leaders
-  inside of it.
-* What is left of a list after the rounds is compared in full: entries outside of its largest
-  component with all entries of other components. So no link that matters is lost, and a group of
-  n near copies costs about n comparisons a round, not n squared.
-
-Two sets that link share a known number of prefix shingles; a pair that is compared is first held
-against its prefixes, and only what passes against whole sets.
+frequent passage is indexed only by sets made of little else). Equal sets are one class, and only
+classes are indexed. Relations between sets are used twice:
+
+* Index skipping. A list of the index is laid out in blocks of entries of one size and one position.
+  Whether two entries may belong to linked sets depends on both alone, so blocks are compared, never
+  entries; blocks of sizes that cannot meet are passed over by binary search, blocks whose position
+  leaves too little by one comparison. A block that has been reached needs no comparison again, so a
+  list gives a forest of its connections (at most two links an entry), not its pairs.
+* Answer skipping. What the forests connect is a group; links lie within groups only. In a group one
+  set leads: its intersections are computed, and those of all other pairs are derived from them by
+  what each set lacks of the leader and has besides (sums over small differences).
+
+So a group of n near copies costs n links and differences, in tiles of a bounded size; pairs are
+counted in a task and never emitted. The answer is exact whatever the filters let through.
 """
 
 from __future__ import annotations
@@ -28,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices, texts_of
@@ -40,18 +36,26 @@ SETS = "doc_id long, n long, cid long, prefix array<long>"
 #: Frequent shingles: the most that are told apart (8 bytes each to every task), and from how many sets on.
 HOT, HOT_FROM = 1 << 19, 16
 #: Shingles counted at a time in a task.
-COUNTED = 1 << 21
-#: Tables of one or two numbers a row are broadcast up to so many bytes, counted at 48 bytes a row and more.
-SMALL = 64 << 20
-#: Leaders of a list in each round, before what is left is compared in full.
-LEADERS = (1, 6, 12)
-#: With so few comparisons for each entry left, there are no further rounds.
-FULL = 4
+COUNTED = 1 << 20
+#: Entries of a list, and sets and shingles of a group, that a task takes at a time; longer ones are
+#: cut into parts by hash, and every two parts meet in a task.
+LIST, TILE, TILE_SHINGLES = 1 << 12, 1 << 10, 1 << 19
+#: Lists of up to so many entries are compared entry by entry, all lists of a batch at once.
+SHORT = 6
+#: Columns of a matrix of differences at a time; shingles in up to so many differences are counted in pairs.
+COLUMNS, FEW = 2048, 24
 
 
-def needed(n_a: Column | str, n_b: Column | str, percent: int) -> Column:
+def needed(n_a, n_b, percent: int):
     """The least intersection with which 100 * intersection >= percent * union."""
-    return F.ceil((F.col(n_a) + F.col(n_b)) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
+    return -(-(n_a + n_b) * percent // (100 + percent))
+
+
+def meets(n_a, rest_a, n_b, rest_b, percent: int):
+    """Whether two entries of a list can belong to linked sets: by size, and by what is left of each
+    set from the shingle on."""
+    sizes = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+    return sizes & (np.minimum(rest_a, rest_b) >= needed(n_a, n_b, percent))
 
 
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -119,150 +123,272 @@ def sets_of(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame
     return docs.mapInArrow(run, SETS)
 
 
-def fits(percent: int) -> Column:
-    """Whether entries l and r can belong to linked sets, by size and by position."""
-    most = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
-    sizes = (F.col("l.n") * 100 >= F.col("r.n") * percent) & (F.col("r.n") * 100 >= F.col("l.n") * percent)
-    return sizes & (most >= needed("l.n", "r.n", percent))
-
+def promising(entries: DataFrame, percent: int) -> DataFrame:
+    """token, m (entries) of the lists in which some two entries may belong to linked sets: of two, the
+    smaller set must hold the shingle early enough to share all that is needed with an equally large
+    one, and a list of two must have sets of near sizes."""
+    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * percent) / F.lit(100.0 + percent) - F.lit(1e-9))
+    lists = entries.select("token", F.struct("n", (~early).alias("late")).alias("e")).groupBy("token")
+    lists = lists.agg(F.count(F.lit(1)).alias("m"), F.min("e").alias("lo"), F.max("e.n").alias("hi"))
+    good = (F.col("m") > 2) | (~F.col("lo.late") & (F.col("lo.n") * 100 >= F.col("hi") * percent))
+    return lists.where((F.col("m") > 1) & good).select("token", "m")
+
+
+def dealt(rows: DataFrame, parts: Column) -> DataFrame:
+    """`rows` with part (of `parts`, by cid's hash), i and j: a row stands in every pair of parts that
+    holds its own, so that every two rows of a key meet in a task, and none takes more than two parts."""
+    rows = rows.withColumn("parts", parts.cast("long")).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    pair = lambda x: F.struct(F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j"))
+    pairs = F.when(F.col("parts") == 1, F.array(pair(F.lit(0).cast("long")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), pair))
+    return rows.withColumn("at", F.explode(pairs)).select("*", "at.i", "at.j").drop("at")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each begins; rows come sorted by `keys`."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        new = np.zeros(rows.num_rows, bool)
+        for k in keys:
+            x = rows.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        begin = np.concatenate([[0], np.nonzero(new)[0]])
+        if len(begin) > 1:
+            yield rows.slice(0, begin[-1]), begin[:-1]
+        held = rows.slice(begin[-1])
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def forest(cid: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between entries of a list that connect all that may belong to linked sets, two an entry at most."""
+    order = np.lexsort((rest, n))
+    cid, n, rest = cid[order], n[order], rest[order]
+    begin = np.nonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (rest[1:] != rest[:-1])]))[0]
+    size = np.diff(np.append(begin, len(n)))
+    bn, br, lead = n[begin], rest[begin], cid[begin]
+    own = meets(bn, br, bn, br, percent)  # the entries of such a block meet each other
+    inner = np.repeat(own, size)
+    a, b = [np.repeat(lead, size)[inner]], [cid[inner]]
+    one = own | (size == 1)
+    left, stack = np.arange(len(begin)), []
+    while len(left):
+        if stack:
+            p = stack.pop()
+        else:
+            p, left = left[0], left[1:]
+        lo = np.searchsorted(bn[left], -(-bn[p] * percent // 100))
+        hi = np.searchsorted(bn[left], bn[p] * 100 // percent, "right")
+        near = left[lo:hi]
+        hit = meets(bn[p], br[p], bn[near], br[near], percent)
+        if not hit.any():
+            continue
+        got = near[hit]
+        left = np.concatenate([left[:lo], near[~hit], left[hi:]])
+        stack.extend(got.tolist())
+        if not one[p]:
+            own_rows = cid[begin[p] : begin[p] + size[p]]
+            a.append(np.full(len(own_rows), lead[got[0]]))
+            b.append(own_rows)
+            one[p] = True
+        for g in got:
+            rows = cid[begin[g] : begin[g] + (1 if one[g] else size[g])]
+            a.append(np.full(len(rows), lead[p]))
+            b.append(rows)
+        one[got] = True
+    return np.concatenate(a), np.concatenate(b)
+
+
+def connections(index: DataFrame, percent: int) -> DataFrame:
+    """a, b: distinct links between classes that connect all that may be linked."""
 
-def pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of entries of both that share a shingle, lie in blocks that can meet and in
-    different components, and fit."""
-    near = left.withColumn("blk", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)))
-    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.blk") == F.col("r.blk")) & (F.col("l.comp") != F.col("r.comp")) & fits(percent)
-    met = near.alias("l").join(right.alias("r"), on)
-    return met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in groups(batches, ["token", "i", "j"]):
+            cid, n, pos = (rows.column(c).to_numpy() for c in ("cid", "n", "pos"))
+            rest, size = n - pos, np.diff(np.append(begin, len(n)))
+            short = np.repeat(size <= SHORT, size)
+            of = np.repeat(np.arange(len(size)), size)[short]
+            c, m, r = cid[short], n[short], rest[short]
+            a, b = [], []
+            for lag in range(1, SHORT):
+                hit = (of[lag:] == of[:-lag]) & meets(m[lag:], r[lag:], m[:-lag], r[:-lag], percent)
+                a.append(c[lag:][hit])
+                b.append(c[:-lag][hit])
+            for k in np.nonzero(size > SHORT)[0]:
+                at = slice(begin[k], begin[k] + size[k])
+                x, y = forest(cid[at], n[at], rest[at], percent)
+                a.append(x)
+                b.append(y)
+            x, y = np.concatenate(a), np.concatenate(b)
+            both = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
+            both = np.unique(both, axis=0) if len(both) else both
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    keys = ["token", "i", "j"]
+    lists = dealt(index, F.ceil(F.col("m") / LIST)).select(*keys, "cid", "n", F.col("pos").cast("long"))
+    return lists.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def together(token: np.ndarray, member: np.ndarray, m: int) -> np.ndarray:
+    """How many tokens every two of m members have in common (the diagonal doesn't count)."""
+    order = np.lexsort((member, token))
+    token, member = token[order], member[order]
+    begin = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0] if len(token) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(token)))
+    of, own = np.repeat(np.arange(len(begin)), count), np.repeat(count, count)
+    out = np.zeros(m * m, np.int64)
+    few = (own > 1) & (own <= FEW)
+    t, x = of[few], member[few]
+    for lag in range(1, FEW):
+        same = t[lag:] == t[:-lag]
+        if not same.any():
+            break
+        out += np.bincount(x[:-lag][same] * m + x[lag:][same], minlength=m * m)
+    out = out.reshape(m, m)
+    out = out + out.T
+    many = np.nonzero(count > FEW)[0]
+    for lo in range(0, len(many), COLUMNS):
+        cols = many[lo : lo + COLUMNS]
+        d = np.zeros((m, len(cols)), np.float32)
+        for k, c in enumerate(cols):
+            d[member[begin[c] : begin[c] + count[c]], k] = 1
+        out += (d @ d.T).astype(np.int64)
+    return out
 
 
-def hopeful(todo: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of `todo` whose prefixes share as many shingles as those of linked sets must.
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two of `sets` (ascending), each derived from those with the
+    leader by the differences of both (the diagonal doesn't count)."""
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(m), sizes)
+    every, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # The set whose shingles most of the others hold leads.
+    leader = int((np.bincount(owner, weights=count[token], minlength=m) / sizes).argmax())
+    place = np.full(len(every), -1)
+    mine = token[owner == leader]
+    place[mine] = np.arange(len(mine))
+    at = place[token]
+    kept = np.bincount(owner[at >= 0], minlength=m)  # the leader's answers
+    lacks = len(mine) - kept
+    out = len(mine) - lacks[:, None] - lacks[None, :]
+    touched = np.nonzero(np.bincount(at[at >= 0], minlength=len(mine)) < m - 1)[0]  # lacked by two sets or more
+    column = np.full(len(mine) + 1, -1)
+    for lo in range(0, len(touched), COLUMNS):
+        cols = touched[lo : lo + COLUMNS]
+        column[:] = -1
+        column[cols] = np.arange(len(cols))
+        has = column[at] >= 0  # at is -1 outside of the leader, and the last column is none
+        d = np.ones((m, len(cols)), np.float32)
+        d[owner[has], column[at[has]]] = 0
+        out += (d @ d.T).astype(np.int64)
+    added = (at < 0) & (count[token] > 1)
+    return out + together(token[added], owner[added], m)
+
+
+def least_reached(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric matrix, the least name that it reaches."""
+    out, done = names.copy(), np.zeros(len(names), bool)
+    for i in range(len(names)):
+        if not done[i]:
+            reach = np.zeros(len(names), bool)
+            reach[i] = True
+            front = np.array([i])
+            while len(front):
+                new = linked[front].any(0) & ~reach
+                reach |= new
+                front = np.nonzero(new)[0]
+            out[reach] = names[reach].min()
+            done |= reach
+    return out
 
-    Of `needed` common shingles all but the last ceil(percent * n / 100) - 1 of a set lie in its
-    prefix; in the common order the first of them lie in both prefixes.
-    """
-    ids = durable(todo.select(F.col("a").alias("cid")).union(todo.select(F.col("b").alias("cid"))).distinct(), "paired")
-    own = prefixes.join(checked(ids, 48, SMALL), "cid", "left_semi")
-    side = lambda k: own.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}"))
-    both = todo.join(side("a"), "a").join(side("b"), "b")
-    least = needed("na", "nb", percent) + 1 - F.greatest(*[F.ceil(F.col(n) * percent / F.lit(100.0) - F.lit(1e-9)) for n in ("na", "nb")])
-    return both.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
 
+def answers(members: DataFrame, percent: int) -> DataFrame:
+    """cid, parts, links (rows of other classes that link, of this pair of parts), peer (the least class
+    reached in it) for the sets of each group: comp, cid, n_rows, s, parts, part, i, j."""
+    names = ["cid", "parts", "links", "peer"]
 
-def linked(todo: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of `todo` (durable) that link, by their whole sets: built again from the texts, once a set."""
-    ids = durable(todo.select(F.col("a").alias("cid")).union(todo.select(F.col("b").alias("cid"))).distinct().join(reps, "cid").select("doc_id", "cid"), "wanted")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in groups(batches, ["comp", "i", "j"]):
+            cid, n_rows, parts, part, i, j = (rows.column(c).to_numpy() for c in ("cid", "n_rows", "parts", "part", "i", "j"))
+            s = rows.column("s")
+            links, peer = np.zeros(len(cid), np.int64), cid.copy()
+            for lo, hi in zip(begin, np.append(begin[1:], len(cid)), strict=True):
+                sets = [np.frombuffer(x.as_buffer(), "<u8") for x in s.slice(lo, hi - lo)]
+                n = np.array([len(x) for x in sets])
+                same = intersections(sets)
+                linked = 100 * same >= percent * (n[:, None] + n[None, :] - same)
+                np.fill_diagonal(linked, False)
+                peer[lo:hi] = least_reached(linked, cid[lo:hi])
+                if i[lo] != j[lo]:  # links within a part count where it meets itself
+                    linked &= part[lo:hi, None] != part[None, lo:hi]
+                links[lo:hi] = linked @ n_rows[lo:hi]
+            yield pa.record_batch([pa.array(x) for x in (cid, parts, links, peer)], names)
+
+    keys = ["comp", "i", "j"]
+    return members.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(run, "cid long, parts long, links long, peer long")
+
+
+def rebuilt(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """cid, s: the sets of `members` (cid, doc_id), built again from the texts, one a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=1 << 20):
-                cids = part.column("cid").to_pylist()  # another text under the same id is left out
-                own = [(c, s.view(np.int64)) for c, s in zip(cids, shingle_sets(texts_of(part), k), strict=True) if len(s) and class_of(s) == c]
-                yield pa.record_batch([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.list_(pa.int64()))], ["cid", "s"])
+                sets = [s for s in shingle_sets(texts_of(part), k) if len(s)]
+                yield pa.record_batch([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "s"])
 
-    there = docs.join(checked(ids, 64, SMALL), docs["doc_id"].eqNullSafe(ids["doc_id"])).select("cid", "text")
-    sets = durable(there.mapInArrow(run, "cid long, s array<long>"), "sets")
-    left = todo.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b").distinct()
-
-
-def block(n: str, percent: int) -> Column:
-    """The block of a set's size: linked sets lie in the same block or in neighbours."""
-    return F.col(n) if percent >= 100 else F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent)))
-
-
-def promising(entries: DataFrame, percent: int) -> DataFrame:
-    """The shingles of lists in which some two entries may belong to linked sets: of two, the smaller
-    set must hold the shingle early enough to share all that is needed with an equally large one, and
-    a list of two must have sets of near sizes."""
-    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * percent) / F.lit(100.0 + percent) - F.lit(1e-9))
-    lists = entries.select("token", F.struct("n", (~early).alias("late")).alias("e")).groupBy("token")
-    lists = lists.agg(F.count(F.lit(1)).alias("m"), F.min("e").alias("lo"), F.max("e.n").alias("hi"))
-    good = (F.col("m") > 2) | (~F.col("lo.late") & (F.col("lo.n") * 100 >= F.col("hi") * percent))
-    return durable(lists.where((F.col("m") > 1) & good).select("token"), "shared")
-
-
-def mixed_lists(live: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The entries of lists that still hold several components, with the components reached so far. A
-    list of two is done: its entries have been compared."""
-    comp = live
-    if labels is not None:
-        found = live.select("cid").distinct().join(labels, F.col("cid") == F.col("node")).select(F.col("cid").alias("c"), "label")
-        comp = live.join(checked(durable(found, "found"), 64, SMALL), F.col("cid") == F.col("c"), "left").select("token", "cid", "n", "pos", "blk", F.coalesce("label", "cid").alias("comp"))
-    some = comp.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo != hi").select("token")
-    return comp.join(some, "token")
-
-
-def cheap(live: DataFrame) -> bool:
-    """Whether comparing what is left in full takes no more comparisons than FULL times its entries."""
-    m = live.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.max("m").alias("top"))
-    r = m.agg(F.sum("m").alias("n"), F.sum((F.col("m") - F.col("top")) * F.col("m").cast("double")).alias("c")).first()
-    return (r.c or 0) <= FULL * (r.n or 0)
+    ids = durable(members.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    there = docs.join(checked(ids, 80), docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi").select("text")
+    # Other texts under a wanted id are left out by the join with members.
+    return there.mapInArrow(run, "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s"))
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
+    """doc_id, n_shingles, component_id, n_links for every row of `docs`.
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a set has the distinct k-word shingles, or
     the whole sequence as one where there are fewer words. Sets link when 100 * intersection >=
-    percent * union. component_id: the least id reachable by links, the row's own included.
+    percent * union. component_id: the least id reachable by links, the row's own included. n_links:
+    the other rows that the row links with, copies among them.
 
     Null or empty text, or no words: an empty set, linked with nothing. Null id: not a least id (a
-    component of null ids only has a null one). Repeated rows: equal sets, one component. Very long
-    texts: whole. Empty table: no rows. Other columns are not read. Shingles are told apart by 64-bit
-    hashes.
+    component of null ids only has a null one). Repeated rows: equal sets, linked with each other.
+    Ties in size, position or frequency: nothing hangs on them. Very long texts: whole. Empty table:
+    no rows. Other columns, whatever their names, are not read. Shingles and sets are told apart by
+    64-bit hashes. Raises where components need more than 60 rounds (components.py).
     """
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     sets = durable(sets_of(docs, frequent(docs, k), k, percent), "prefixes")
-    some = sets.where("cid is not null")
-    reps = durable(some.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-
-    # One entry a class: several rows with the id of a class's representative have the same set.
-    if reps.where("doc_id is null").limit(1).count():
-        first = some.dropDuplicates(["cid"])
-    else:
-        first = sets.join(checked(reps.select("doc_id", "cid"), 64, SMALL), ["doc_id", "cid"])
-    entries = first.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    index = durable(entries.join(checked(promising(entries, percent), 48, SMALL), "token").select("token", "cid", "n", "pos", block("n", percent).alias("blk")), "index")
-    prefixes = first.join(checked(durable(index.select("cid").distinct(), "indexed"), 48, SMALL), "cid", "left_semi").select("cid", "n", "prefix")
-
-    tested = links = labels = None
-    live = index.withColumn("comp", F.col("cid"))
-    for turn in range(len(LEADERS) + 1):
-        full = turn == len(LEADERS) or turn > 0 and cheap(live)
-        if turn:
-            size = live.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"))
-            outside = live.join(size, "token").where("comp != top.comp").drop("top")
-        if full:
-            todo = pairs(outside, live, percent)
-        else:
-            inside = live.join(size, "token").where("comp = top.comp").drop("top") if turn else live
-            order = Window.partitionBy("token", "blk").orderBy(F.xxhash64("cid", F.lit(turn)), "cid")
-            lead = inside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS[turn]).drop("r")
-            todo = pairs(lead, outside if turn else live, percent)
-        if tested is not None:
-            todo = todo.join(tested, ["a", "b"], "left_anti")
-        todo = durable(todo, "pairs")
-        if todo.limit(1).count():
-            new = durable(linked(durable(hopeful(todo, prefixes, percent), "hopeful"), reps.select("cid", "doc_id"), docs, k, percent), "linked")
-            tested = todo if tested is None else tested.unionByName(todo)
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        if full:
-            break
-        live = durable(mixed_lists(live, labels), "live")
-
-    classes = reps.select("cid", "doc_id")
-    if labels is not None:
-        roots = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("root"))
-        least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        classes = durable(roots.join(least, "root").select("cid", "component_id"), "answers")
-    else:
-        classes = classes.withColumnRenamed("doc_id", "component_id")
-    out = sets.select("doc_id", "n", "cid").join(classes, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = sets.where("cid is not null").groupBy("cid")
+    classes = durable(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.first("prefix").alias("prefix")), "classes")
+    entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    edges = durable(connections(entries.join(promising(entries, percent), "token"), percent), "connections")
+    slim = classes.select("cid", "doc_id", "n", "n_rows")
+    group = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
+    members = durable(group.join(slim, "cid"), "members")
+
+    size = members.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("c"))
+    placed = members.join(size, "comp").join(rebuilt(docs, members, k), "cid").select("comp", "cid", "n_rows", "s", "c")
+    tiles = dealt(placed, F.col("c")).select("comp", "i", "j", "cid", "n_rows", "parts", "part", "s")
+    found = durable(answers(tiles, percent), "answers")
+    # Groups of one tile are settled in it; those of several are put together by their tiles' links.
+    across = durable(found.where("parts > 1 and cid != peer").select(F.col("cid").alias("a"), F.col("peer").alias("b")).distinct(), "across")
+    own = found.groupBy("cid").agg(F.sum("links").alias("links"), F.max("parts").alias("parts"), F.min("peer").alias("peer"))
+    if across.limit(1).count():
+        label = components(across).select(F.col("node").alias("cid"), "label")
+        own = own.join(label, "cid", "left").withColumn("peer", F.when(F.col("parts") > 1, F.coalesce("label", "cid")).otherwise(F.col("peer")))
+    own = durable(own.join(members.select("cid", "doc_id"), "cid").select("cid", "doc_id", "links", "peer"), "own")
+    least = own.groupBy("peer").agg(F.min("doc_id").alias("component_id"))
+    own = own.join(least, "peer").select("cid", "links", "component_id")
+
+    # Classes of one row without links need no answer.
+    told = slim.join(own, "cid", "left").where("n_rows > 1 or links is not null")
+    told = durable(told.select("cid", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("least"), (F.coalesce("links", F.lit(0)) + F.col("n_rows") - 1).alias("n_links")), "told")
+    out = sets.select("doc_id", "n", "cid").join(told, "cid", "left")
+    alone = F.col("n_links").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

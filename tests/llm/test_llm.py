@@ -100,8 +100,9 @@ def shingles(text, k):
 
 
 def brute_components(rows, k, percent):
+    """Id, set size, least id reachable and number of linked rows of every row."""
     sets = [shingles(t, k) for _, t in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while root[i] != i:
@@ -113,11 +114,12 @@ def brute_components(rows, k, percent):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[max(find(i), find(j))] = min(find(i), find(j))
+                links[i], links[j] = links[i] + 1, links[j] + 1
     least = {}
     for i, (d, _) in enumerate(rows):
         r = find(i)
         least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
-    return sorted(((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)), key=key)
+    return sorted(((d, len(sets[i]), least[find(i)], links[i]) for i, (d, _) in enumerate(rows)), key=key)
 
 
 def near_copies(rng, n, size, edits):
@@ -131,33 +133,91 @@ def near_copies(rng, n, size, edits):
     return out
 
 
+def joined(df, k, percent):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join(df, k=k, percent=percent).collect()), key=key)
+
+
+def mixed_rows(seed):
+    """Near copies of long and short texts, texts of little but a common passage, and exact copies."""
+    rng = random.Random(seed)
+    common = words(rng, 60, 10_000)
+    texts = near_copies(rng, 60, 90, 9) + near_copies(rng, 25, 12, 3) + [common + " " + words(rng, 12, 10**6) for _ in range(60)] + [common] * 3
+    return [(1000 + i, t) for i, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_join(spark, edge, k, percent):
-    rng = random.Random(k)
+    rows = [(r.doc_id, r.text) for r in edge.collect()] + mixed_rows(k)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert joined(df, k, percent) == brute_components(rows, k, percent)
+
+
+def test_jaccard_join_takes_clashing_columns(edge):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
-    common = words(rng, 60, 10_000)
-    texts = near_copies(rng, 60, 90, 9) + near_copies(rng, 25, 12, 3) + [common + " " + words(rng, 12, 10**6) for _ in range(60)] + [common] * 3
-    rows += [(1000 + i, t) for i, t in enumerate(texts)]
-    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=k, percent=percent).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == brute_components(rows, k, percent)
+    assert joined(edge, 4, 85) == brute_components(rows, 4, 85)
+
+
+def test_long_lists_and_large_groups_are_taken_in_parts(spark, monkeypatch):
+    from evloom.llm import jaccard_join as J
+
+    for name, most in (("LIST", 16), ("TILE", 12), ("TILE_SHINGLES", 600)):
+        monkeypatch.setattr(J, name, most)
+    rows = mixed_rows(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert joined(df, 4, 85) == brute_components(rows, 4, 85)
 
 
-def test_jaccard_rounds_compare_few_of_a_large_group(spark, monkeypatch):
+def test_connections_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     from evloom.llm import jaccard_join as J
 
-    seen, linked = [], J.linked
-    monkeypatch.setattr(J, "linked", lambda todo, *a: (seen.append(todo.count()), linked(todo, *a))[1])
+    seen, connections = [], J.connections
+    monkeypatch.setattr(J, "connections", lambda *a: (seen.append((out := connections(*a)).count()), out)[1])
     texts = near_copies(random.Random(3), 300, 120, 6)
-    got = jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=4, percent=85).collect()
+    rows = list(enumerate(texts))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute_components(rows, 4, 85)
     assert sum(seen) < 300 * 299 / 2 / 5
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(list(enumerate(texts)), 4, 85)
+
+
+def test_a_list_gives_a_forest_of_its_connections():
+    from evloom.llm.jaccard_join import forest, meets
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        m = int(rng.integers(2, 60))
+        n = rng.integers(1, 60, m) if rng.random() < 0.5 else rng.integers(40, 48, m)
+        rest = np.maximum(n - rng.integers(0, 9, m), 1)
+        a, b = forest(np.arange(m), n, rest, 85)
+        assert len(a) <= 2 * m + m
+        label = {}
+        for links in (zip(a.tolist(), b.tolist(), strict=True), [(i, j) for i in range(m) for j in range(i) if meets(n[i], rest[i], n[j], rest[j], 85)]):
+            root = list(range(m))
+
+            def find(i, root=root):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for i, j in links:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+            label[len(label)] = [find(i) for i in range(m)]
+        assert label[0] == label[1]
+
+
+def test_intersections_derived_from_a_leader_are_exact():
+    from evloom.llm.jaccard_join import intersections
+
+    rng = np.random.default_rng(6)
+    for m, n, pool in ((1, 5, 9), (2, 40, 60), (40, 30, 40), (70, 200, 230), (50, 60, 5000)):
+        sets = [np.unique(rng.integers(0, pool, rng.integers(1, n + 1)).astype(np.uint64)) for _ in range(m)]
+        got = intersections(sets)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(m) for j in range(m) if i != j)
 
 
 def test_keep_one(edge, none):
     out = keep_one(edge, k=4, percent=85)
     assert out.columns == edge.columns
     rows = [(r.doc_id, r.text) for r in edge.collect()]
-    want = {d for d, _, c in brute_components(rows, 4, 85) if d == c and d is not None}
+    want = {d for d, _, c, _ in brute_components(rows, 4, 85) if d == c and d is not None}
     got = [r.doc_id for r in out.collect()]
     assert {d for d in got if d is not None} == want
     assert len([d for d in got if d is None]) == 2
@@ -639,7 +699,7 @@ def test_pipeline_stages_equal_brute_force(spark, sf_dir):
     assert {r.doc_id for r in two.collect()} == set(best.values())
     left = sorted((i, rows[i].text) for i in best.values())
     three = durable(stages["n-gram jaccard join"](spark, two, sf_dir))
-    assert {r.doc_id for r in three.collect()} == {d for d, _, c in brute_components(left, 5, 80) if d == c}
+    assert {r.doc_id for r in three.collect()} == {d for d, _, c, _ in brute_components(left, 5, 80) if d == c}
     con = duckdb.connect()
     con.register("documents", three.toPandas())
     names = ["doc_id", "epochs", "n_tokens", "prefix_tokens"]
