@@ -1,8 +1,9 @@
 """Quality classifier: regularised quadratic discriminant analysis.
 
 Statistics of the whole text, transformed towards normality, are the inputs. Class means and scatter
-come from one distributed pass over all labelled training rows (sums of x and of x x', added up a
-task), so nothing of a document reaches the driver. Each class covariance is shrunk towards the
+come from one distributed pass over the labelled training rows (sums of x and of x x', added up a
+task), so nothing of a document reaches the driver. Only texts with labels are read for it, SAMPLE of
+them at most; then each text is scored once, without keeping its statistics. Each class covariance is shrunk towards the
 pooled one, and both towards a sphere; Cholesky factors are computed once and kept with the model.
 A score is the logistic of a calibrated difference of the two Mahalanobis log densities.
 """
@@ -24,7 +25,9 @@ from .bpe import slices, texts_of
 from .common import checked, durable
 
 DIM = 20
-FEATURES = "doc_id long, held_out boolean, x array<double>"
+FEATURES = "held_out boolean, x array<double>, y long"
+#: Labelled rows that the model is fitted on, at most.
+SAMPLE = 200_000
 #: Bins of the log-odds histogram that calibration is fitted on, and the range they cover.
 BINS, REACH = 2000, 200.0
 LETTERS = np.r_[65:91, 97:123]
@@ -61,15 +64,17 @@ def fold(doc_id: int | None) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def featured(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """FEATURES' columns of labelled rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
                 x = pa.array([features(t) for t in texts_of(part)], pa.list_(pa.float64()))
-                yield pa.record_batch([part.column("doc_id"), pa.array([fold(i) == 0 for i in ids]), x], ["doc_id", "held_out", "x"])
+                yield pa.record_batch([pa.array([fold(i) == 0 for i in ids]), x, part.column("y")], ["held_out", "x", "y"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, FEATURES)
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text", f"`{label_col}` as y").mapInArrow(run, FEATURES)
 
 
 @dataclass
@@ -87,6 +92,10 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(x) + self.shift, -35, 35)))
 
+    def of(self, texts: list[str]) -> np.ndarray:
+        """The scores of whole texts."""
+        return self.score(np.array([features(t) for t in texts]).reshape(-1, DIM))
+
 
 def shrunk(n: np.ndarray, s: np.ndarray, ss: np.ndarray, pooled: float, sphere: float) -> Model:
     """The model of counts, sums and sums of squares by class."""
@@ -157,40 +166,48 @@ def platt(seen: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fitted(rows: DataFrame, labels: DataFrame) -> Model:
-    """The model from `rows` (FEATURES) and `labels` (doc_id, quality)."""
-    y = durable(labels.where("quality in (0, 1)").selectExpr("cast(doc_id as long) as doc_id", "cast(quality as long) as y"), "labels")
-    return fit(rows.where("not held_out").join(checked(y, 16), "doc_id").select("x", "y"))
+def fitted(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> Model:
+    """The model from the texts of at most `sample` labelled rows, by the order of their ids' hashes."""
+    y = labels.where("quality in (0, 1)").selectExpr("cast(doc_id as long) as y_id", "cast(quality as long) as y")
+    y = durable(y.where("y_id is not null").orderBy(F.xxhash64("y_id"), "y_id", "y").limit(sample), "labels")
+    found = docs.join(checked(y, 80), F.col(id_col).cast("long") == F.col("y_id"))  # SAMPLE rows are always sent
+    return fit(durable(featured(found, "y_id", text_col, "y").where("not held_out").select("x", "y"), "labelled"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`.
 
-    Learns from rows of `labels` (doc_id, quality) whose fold is not 0. Null or empty text: a row of
-    zeros, scored like any. Null id: held out. Null or other labels: not learned from. Labels that
-    repeat an id: each counts. Repeated rows: each scored. Empty documents: no rows; no labels: every
-    score is 0.5. Columns other than the id, the text and quality are not read.
+    Learns from rows of `labels` (doc_id, quality) whose fold is not 0, at most `sample` of all
+    labelled ones. Null or empty text: a row of zeros, scored like any; very long texts: whole. Null
+    id: held out. Null or other labels: not learned from. Labels that repeat an id: each counts.
+    Repeated rows: each scored. A score of `cut` counts as 1. Empty documents: no rows; no labels:
+    every score is 0.5. Columns other than the id, the text and quality, whatever their names, are not
+    read.
     """
-    rows = durable(featured(docs, id_col, text_col), "features")
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels))
+    docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample, "doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.score(np.array(batch.column("x").to_pylist(), float).reshape(-1, DIM))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            for part in slices(batch):
+                score = shared.value.of(texts_of(part))
+                held = pa.array([fold(i) == 0 for i in part.column("doc_id").to_pylist()])
+                yield pa.record_batch([part.column("doc_id"), held, pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows scored under `cut`, all columns as they were; no text is shuffled."""
-    rows = durable(featured(docs, id_col, text_col), "features")
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, labels))
+def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows scored under `cut`, all columns as they were, whatever their names.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                x = np.array([features(t) for t in texts_of(part, text_col)]).reshape(-1, DIM)
-                yield part.filter(pa.array(shared.value.score(x) >= cut))
+    Only texts go to Python, and only scores come back; nothing is shuffled. Nulls, repeated rows,
+    long texts, empty tables and ties: as in quality().
+    """
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(slim, labels, sample, "doc_id", "text"))
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.of([t or "" for t in text.to_pylist()]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col(f"`{text_col}`")) >= cut)
