@@ -12,7 +12,6 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -183,9 +182,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
-        with self.memory.of(cuts) as (raw, spaced):
-            whole = iter(self.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
-            return [next(whole) if c is None else b"".join(chain(map(raw.__getitem__, c[0]), map(spaced.__getitem__, c[1]))) for c in cuts]
+        whole = iter(self.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
+        return [next(whole) if x is None else b"".join(x) for x in self.memory.find(cuts)]
+
+
+class Known(dict):
+    """What is known of units; those that aren't are listed as they are met."""
+
+    def __init__(self):
+        self.lack: list[str] = []
+
+    def __missing__(self, unit: str) -> None:
+        self.lack.append(unit)
 
 
 class Memory:
@@ -194,23 +202,30 @@ class Memory:
 
     def __init__(self, learn: Callable[[list[str]], list]):
         self.learn = learn
-        self.raw: dict[str, object] = {}
-        self.spaced: dict[str, object] = {}
-
-    @contextmanager
-    def of(self, cuts: list) -> Iterator[tuple[dict, dict]]:
-        new = [set(chain.from_iterable([c[k] for c in cuts if c])).difference((self.raw, self.spaced)[k]) for k in (0, 1)]
-        raw, spaced = map(list, new)
-        found = self.learn(raw + [" " + u for u in spaced])
-        self.raw.update(zip(raw, found, strict=False))
-        self.spaced.update(zip(spaced, found[len(raw) :], strict=True))
-        try:
-            yield self.raw, self.spaced
-        finally:
-            for known, added in ((self.raw, raw), (self.spaced, spaced)):
+        self.raw, self.spaced = Known(), Known()
+
+    def find(self, cuts: list[tuple[list[str], list[str]] | None]) -> list[list | None]:
+        """What is known of every unit of each cut, learnt first where need be."""
+        raw, spaced = self.raw, self.spaced
+        out, again = [], []
+        for i, c in enumerate(cuts):
+            met = len(raw.lack) + len(spaced.lack)
+            out.append(c and [*map(raw.__getitem__, c[0]), *map(spaced.__getitem__, c[1])])
+            if len(raw.lack) + len(spaced.lack) > met:
+                again.append(i)
+        if again:
+            new, behind = list(dict.fromkeys(raw.lack)), list(dict.fromkeys(spaced.lack))
+            raw.lack, spaced.lack = [], []
+            found = self.learn(new + [" " + u for u in behind])
+            raw.update(zip(new, found, strict=False))
+            spaced.update(zip(behind, found[len(new) :], strict=True))
+            for i in again:
+                out[i] = [*map(raw.__getitem__, cuts[i][0]), *map(spaced.__getitem__, cuts[i][1])]
+            for known, added in ((raw, new), (spaced, behind)):
                 if len(known) > CACHE:
                     for u in added:
                         del known[u]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

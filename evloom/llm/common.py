@@ -1,10 +1,15 @@
-"""What the operators of this subpackage share: durable intermediate tables and size-checked joins."""
+"""What the operators of this subpackage share: durable intermediate tables, size-checked joins and
+Arrow batches by groups."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +18,99 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is
+    unset and one machine runs all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def durable(df: DataFrame, what: str = "t") -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows an Arrow batch where the session has Spark's default: texts and sets are long rows, and
+    both ends hold a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "4000")
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_dir(spark)}/evloom/{spark.sparkContext.applicationId}"
+
+
+def durable(df: DataFrame, what: str = "t", codec: str | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again: lineage ends there, and
-    losing an executor loses none of it."""
-    path = f"{shared_dir(df.sparkSession)}/evloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    losing an executor loses none of it. discard() removes what an application has written."""
+    path = f"{own_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Removes all tables that durable() wrote for this application; results not yet written are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checked(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` (already durable) with a broadcast hint if its rows fit `most` bytes, else as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
+    """`df` (already durable) with a broadcast hint if its rows fit `most` bytes, else as it is.
+    row_bytes: what a row takes in a join's hash table, 80 at least."""
+    return F.broadcast(df) if df.count() * max(row_bytes, 80) <= most else df
 
 
 def text_of(col: str = "text"):
     """The text column; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups, and where each group begins; rows come sorted by `keys` (integers)."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def begins(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            x = rows.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.nonzero(new)[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = begins(batch)
+        follows = held and all(held[-1].column(k)[-1] == batch.column(k)[0] for k in keys)
+        if held and not follows:
+            rows, held = whole(), []
+            yield rows, np.zeros(1, np.int64)
+        if len(at) > 1:
+            cut = at[1] if held else 0
+            if held:
+                held.append(batch.slice(0, cut))
+                rows, held = whole(), []
+                yield rows, np.zeros(1, np.int64)
+            if at[-1] > cut:
+                yield batch.slice(cut, at[-1] - cut), at[(at >= cut) & (at < at[-1])] - cut
+            batch = batch.slice(at[-1])
+        held.append(batch)
+    if held:
+        yield whole(), np.zeros(1, np.int64)
+
+
+def bytes_of(values: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The buffer of a binary array without nulls, and where in it each value begins and the last ends."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32, len(values) + 1, values.offset * 4).astype(np.int64)
+    return data if data is not None else pa.py_buffer(b""), at
+
+
+def sliced(data: pa.Buffer, cuts: np.ndarray) -> pa.Array:
+    """The binary array of a buffer's stretches between cuts; nothing is copied."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), data])

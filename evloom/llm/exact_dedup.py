@@ -1,12 +1,13 @@
 """Exact dedup as a tree-merge of digest runs, in DataFrame operations only.
 
 Every scan partition yields a run: its distinct digests in order, each with the best identifier and
-the row count (Spark's map-side combine does the local part). Runs meet in rounds of `fan_in`:
-round k merges the runs whose numbers agree after k divisions, so each round's exchange is keyed by
-(digest, run) and a digest held by a third of all rows arrives as at most `fan_in` rows a key, never
-as its rows. The last round leaves one run. The verdict goes down the same way: to the first-level
-runs (at most `runs` rows a digest) and from them to the rows, joined by (digest, run), so that the
-rows of a hot digest stay dealt over all runs.
+the row count (sorted and combined before anything is exchanged). Runs meet in rounds of `fan_in`:
+round k merges the runs whose numbers agree after k divisions. A round's exchange is keyed by
+(digest, run), and the sorted aggregate behind it merges the parts of the runs that arrive, so a
+digest held by a third of all rows arrives as at most `fan_in` rows a key, never as its rows. The last
+round leaves one run. The verdict goes down the same way: to the first-level runs (a row a digest and
+scan partition) and from them to the rows, joined by (digest, run), so that the rows of a hot digest
+stay dealt over all partitions.
 
 A digest is verified at every level: runs are merged by SHA-256 together with the byte length and a
 second, independent 64-bit hash, so two texts would have to agree in all three to be taken as one.
@@ -43,28 +44,31 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def tree_merge(rows: DataFrame, runs: int, fan_in: int) -> tuple[DataFrame, DataFrame]:
     """The first level's runs and the last run: KEY, run, best (struct of id and uid), size."""
     level = rows.groupBy(*KEY, "run").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("size"))
-    first = level = level.sortWithinPartitions("run", "digest")
-    left = runs
+    first, left = level, runs
     while left > 1:
         left = -(-left // fan_in)
         level = level.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy(*KEY, "run")
-        level = level.agg(F.max("best").alias("best"), F.sum("size").alias("size")).sortWithinPartitions("run", "digest")
+        level = level.agg(F.max("best").alias("best"), F.sum("size").alias("size"))
     return first, level.drop("run")
 
 
 def exact_dedup(docs: DataFrame, *, runs: int = 64, fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`.
 
+    runs: the runs that the rounds are for, at least; as many as there are scan partitions, if more.
+
     Texts are equal when identical after lower-casing A-Z only. Of equal texts the row with the
     largest id stays. Null text: empty. Null id: smaller than any id (a group of null ids only has
     a null keep_id). Repeated rows: exactly one row of a group has kept = true, whichever of the
-    identical ones. Empty table: no rows. Other columns, whatever their names, are not read.
+    identical ones. Very long texts: whole. Empty table: no rows. Other columns, whatever their
+    names, are not read.
     """
     slim = digests(docs, id_col, text_col).select(
-        "*", F.monotonically_increasing_id().alias("uid"), F.pmod(F.spark_partition_id(), F.lit(runs)).cast("long").alias("run")
+        "*", F.monotonically_increasing_id().alias("uid"), F.spark_partition_id().cast("long").alias("run")
     )
     slim = durable(slim, "digests")
-    first, last = tree_merge(slim, runs, fan_in)
+    scanned = slim.agg(F.max("run")).first()[0] or 0
+    first, last = tree_merge(slim, max(runs, scanned + 1), fan_in)
     verdict = first.select(*KEY, "run").join(last, KEY)
     same = reduce(lambda a, b: a & b, [F.col(f"s.{k}") == F.col(f"v.{k}") for k in [*KEY, "run"]])
     return (
@@ -81,7 +85,10 @@ def exact_dedup(docs: DataFrame, *, runs: int = 64, fan_in: int = 8, id_col: str
 
 
 def keep_distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` without the rows that exact_dedup() drops, all columns as they were."""
+    """`docs` without the rows that exact_dedup() drops, all columns as they were, whatever their names.
+
+    Nulls, ties, repeated rows, long texts and empty tables: as in exact_dedup().
+    """
     verdict = durable(exact_dedup(docs, id_col=id_col, text_col=text_col, **how), "verdict")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     repeats = verdict.where(stays & ~F.col("kept")).limit(1).count()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices, texts_of
-from .common import checked, durable
+from .common import bytes_of, checked, durable, groups, small_batches
 from .components import components
 from .shingles import shingle_sets
 
@@ -39,7 +39,7 @@ HOT, HOT_FROM = 1 << 19, 16
 COUNTED = 1 << 20
 #: Entries of a list, and sets and shingles of a group, that a task takes at a time; longer ones are
 #: cut into parts by hash, and every two parts meet in a task.
-LIST, TILE, TILE_SHINGLES = 1 << 12, 1 << 10, 1 << 19
+LIST, TILE, TILE_SHINGLES = 1 << 16, 1 << 10, 1 << 20
 #: Lists of up to so many entries are compared entry by entry, all lists of a batch at once.
 SHORT = 6
 #: Columns of a matrix of differences at a time; shingles in up to so many differences are counted in pairs.
@@ -58,9 +58,9 @@ def meets(n_a, rest_a, n_b, rest_b, percent: int):
     return sizes & (np.minimum(rest_a, rest_b) >= needed(n_a, n_b, percent))
 
 
-def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of frequent shingles, the most frequent last. They order the index and nothing else:
-    what isn't found here costs time, never a link."""
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles and the rows found to hold them, the most frequent last. They order
+    the index and tell which lists to cut: what isn't found here costs time, never a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -84,7 +84,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
     top = counts.orderBy(F.desc("n"), "h").limit(HOT).toPandas()
-    return top["h"].to_numpy(np.int64)[::-1].copy()
+    return top["h"].to_numpy(np.int64)[::-1].copy(), top["n"].to_numpy(np.int64)[::-1].copy()
 
 
 def class_of(s: np.ndarray) -> int:
@@ -123,15 +123,14 @@ def sets_of(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame
     return docs.mapInArrow(run, SETS)
 
 
-def promising(entries: DataFrame, percent: int) -> DataFrame:
-    """token, m (entries) of the lists in which some two entries may belong to linked sets: of two, the
-    smaller set must hold the shingle early enough to share all that is needed with an equally large
-    one, and a list of two must have sets of near sizes."""
-    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * percent) / F.lit(100.0 + percent) - F.lit(1e-9))
-    lists = entries.select("token", F.struct("n", (~early).alias("late")).alias("e")).groupBy("token")
-    lists = lists.agg(F.count(F.lit(1)).alias("m"), F.min("e").alias("lo"), F.max("e.n").alias("hi"))
-    good = (F.col("m") > 2) | (~F.col("lo.late") & (F.col("lo.n") * 100 >= F.col("hi") * percent))
-    return lists.where((F.col("m") > 1) & good).select("token", "m")
+def long_lists(entries: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame | None:
+    """token, m of the lists of over LIST entries, which are among the shingles found in so many rows;
+    None, if none is."""
+    most = hot[counts > LIST].tolist()
+    if not most:
+        return None
+    some = durable(entries.sparkSession.createDataFrame([(x,) for x in most], "token long"), "frequent")
+    return durable(entries.join(checked(some, 80), "token").groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LIST), "long")
 
 
 def dealt(rows: DataFrame, parts: Column) -> DataFrame:
@@ -143,25 +142,6 @@ def dealt(rows: DataFrame, parts: Column) -> DataFrame:
     return rows.withColumn("at", F.explode(pairs)).select("*", "at.i", "at.j").drop("at")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, and where each begins; rows come sorted by `keys`."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        new = np.zeros(rows.num_rows, bool)
-        for k in keys:
-            x = rows.column(k).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        begin = np.concatenate([[0], np.nonzero(new)[0]])
-        if len(begin) > 1:
-            yield rows.slice(0, begin[-1]), begin[:-1]
-        held = rows.slice(begin[-1])
-    if held is not None:
-        yield held, np.zeros(1, np.int64)
-
-
 def forest(cid: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between entries of a list that connect all that may belong to linked sets, two an entry at most."""
     order = np.lexsort((rest, n))
@@ -201,13 +181,19 @@ def forest(cid: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> tu
     return np.concatenate(a), np.concatenate(b)
 
 
-def connections(index: DataFrame, percent: int) -> DataFrame:
-    """a, b: distinct links between classes that connect all that may be linked."""
+def connections(entries: DataFrame, long: DataFrame | None, percent: int) -> DataFrame:
+    """a, b: distinct links between classes that connect all that may be linked. entries: token, cid, n,
+    pos; they cross the network once, to their list (or to the pairs of its parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, begin in groups(batches, ["token", "i", "j"]):
-            cid, n, pos = (rows.column(c).to_numpy() for c in ("cid", "n", "pos"))
-            rest, size = n - pos, np.diff(np.append(begin, len(n)))
+        for rows, begin in groups(batches, ["token", "at"]):
+            size = np.diff(np.append(begin, rows.num_rows))
+            several = np.repeat(size > 1, size)
+            cid, both = (rows.column(c).to_numpy()[several] for c in ("cid", "both"))
+            n, size = both >> 32, size[size > 1]
+            rest, begin = n - (both & 0xFFFFFFFF), np.cumsum(size) - size
+            if not len(size):
+                continue
             short = np.repeat(size <= SHORT, size)
             of = np.repeat(np.arange(len(size)), size)[short]
             c, m, r = cid[short], n[short], rest[short]
@@ -222,13 +208,18 @@ def connections(index: DataFrame, percent: int) -> DataFrame:
                 a.append(x)
                 b.append(y)
             x, y = np.concatenate(a), np.concatenate(b)
-            both = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
-            both = np.unique(both, axis=0) if len(both) else both
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            ends = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
+            ends = np.unique(ends, axis=0) if len(ends) else ends
+            yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    keys = ["token", "i", "j"]
-    lists = dealt(index, F.ceil(F.col("m") / LIST)).select(*keys, "cid", "n", F.col("pos").cast("long"))
-    return lists.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    both = (F.shiftleft("n", 32) + F.col("pos")).alias("both")
+    if long is None:
+        lists = entries.select("token", F.lit(0).cast("long").alias("at"), "cid", both)
+    else:
+        cut = dealt(entries.join(checked(long, 80), "token"), F.ceil(F.col("m") / LIST))
+        rest = entries.join(checked(long, 80), "token", "left_anti")
+        lists = rest.select("token", F.lit(0).cast("long").alias("at"), "cid", both).unionByName(cut.select("token", (F.shiftleft("i", 32) + F.col("j")).alias("at"), "cid", both))
+    return lists.repartition("token", "at").sortWithinPartitions("token", "at").mapInArrow(run, "a long, b long").distinct()
 
 
 def together(token: np.ndarray, member: np.ndarray, m: int) -> np.ndarray:
@@ -312,10 +303,12 @@ def answers(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begin in groups(batches, ["comp", "i", "j"]):
             cid, n_rows, parts, part, i, j = (rows.column(c).to_numpy() for c in ("cid", "n_rows", "parts", "part", "i", "j"))
-            s = rows.column("s")
+            data, at = bytes_of(rows.column("s"))
+            every = np.frombuffer(data, "<u8", (at[-1] - at[0]) // 8, at[0])
+            at = (at - at[0]) // 8
             links, peer = np.zeros(len(cid), np.int64), cid.copy()
             for lo, hi in zip(begin, np.append(begin[1:], len(cid)), strict=True):
-                sets = [np.frombuffer(x.as_buffer(), "<u8") for x in s.slice(lo, hi - lo)]
+                sets = [every[at[r] : at[r + 1]] for r in range(lo, hi)]
                 n = np.array([len(x) for x in sets])
                 same = intersections(sets)
                 linked = 100 * same >= percent * (n[:, None] + n[None, :] - same)
@@ -359,13 +352,14 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     no rows. Other columns, whatever their names, are not read. Shingles and sets are told apart by
     64-bit hashes. Raises where components need more than 60 rounds (components.py).
     """
+    small_batches(docs.sparkSession)
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    sets = durable(sets_of(docs, frequent(docs, k), k, percent), "prefixes")
+    hot, counts = frequent(docs, k)
+    sets = durable(sets_of(docs, hot, k, percent), "prefixes")
     classes = sets.where("cid is not null").groupBy("cid")
-    classes = durable(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.first("prefix").alias("prefix")), "classes")
-    entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    edges = durable(connections(entries.join(promising(entries, percent), "token"), percent), "connections")
-    slim = classes.select("cid", "doc_id", "n", "n_rows")
+    slim = durable(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("n_rows")), "classes")
+    entries = classes.agg(F.min("n").alias("n"), F.first("prefix").alias("prefix")).select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    edges = durable(connections(entries, long_lists(entries, hot, counts), percent), "connections")
     group = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
     members = durable(group.join(slim, "cid"), "members")
 
@@ -395,7 +389,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """`docs` with one row of each component, that of the least id; all columns as they were.
 
     Rows with a null id stay. Rows that repeat an id stay or go together, but of those with equal
-    texts one stays.
+    texts one stays. Null texts, ties, long texts and empty tables: as in jaccard_join(). Columns may
+    have any names.
     """
     found = durable(jaccard_join(docs, id_col=id_col, text_col=text_col, **how), "near")
     gone = durable(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from .bpe import slices, texts_of
+from .common import small_batches
 
 SCHEMA = "doc_id long, n_blocks long, n_found long, licenses string, spans string"
 
@@ -169,4 +170,5 @@ def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                     pa.array([",".join(f"{k}:{a}:{b}:{d}" for k, a, b, d in h) for _, h in rows], pa.string()),
                 ], names)
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)

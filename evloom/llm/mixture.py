@@ -44,7 +44,7 @@ def weight_of(path: Column, weights: dict[str, int]) -> Column:
 def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """`nodes` (parent columns, name, cap, weight, have: the parent's budget) with each one's budget."""
     group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = group.orderBy(F.col("cap") / F.col("weight"), name)
+    order = group.orderBy(F.try_divide(F.col("cap"), F.col("weight")), name)  # weight 0: no capacity, and first
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     weight_from = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     out = nodes.withColumn("own", F.col("cap") * weight_from <= F.col("weight") * (F.col("have") - before))
@@ -61,7 +61,10 @@ def fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, levels: list[str], total: int | None, weights: dict[str, int], max_epochs: int) -> DataFrame:
     """leaves (levels, tokens) with budget; total: None for as many tokens as there are."""
-    leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("a weight is negative")
+    least = F.least(*[weight_of(F.concat_ws("/", *levels[:n]), weights) for n in range(1, len(levels) + 1)], F.lit(1).cast("long"))
+    leaves = leaves.withColumn("cap", F.when(least > 0, F.col("tokens") * max_epochs).otherwise(0))
     above = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("have")) if total is None else leaves.sparkSession.range(1).select(F.lit(total).cast("long").alias("have"))
     for depth in range(1, len(levels) + 1):
         keys = levels[:depth]
@@ -108,9 +111,11 @@ def mixture(docs: DataFrame, levels: dict[str, Column], *, total: int | None = N
     more) for every row of `docs`. A token is a word [^\\x20\\x09-\\x0D]+.
 
     total: the tokens of the mixture (None: as many as `docs` has). weights: whole numbers by node
-    path or name, 1 where none is given. Null text: no tokens. Null level: a node "(none)". Null id:
-    ordered as "(none)". Repeated rows: rows of one id stand together, and the last one's cut holds for
-    each of them. Empty table: no rows. Other columns are not read.
+    path or name, 1 where none is given; 0 leaves out all below; a negative one is an error. What all
+    that are not left out can't take stays undealt. Null text: no tokens. Null level: a node "(none)".
+    Null id: ordered as "(none)". Ties in the order of hashes: by id. Repeated rows: rows of one id
+    stand together, and the last one's cut holds for each of them. Very long texts: counted whole.
+    Empty table: no rows. Other columns, whatever their names, are not read.
     """
     names = list(levels)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(k) for k, c in levels.items()], n_words(text_col).alias("n_tokens"))
@@ -129,7 +134,11 @@ def applied(slim: DataFrame, decided: DataFrame, names: list[str], seed: int) ->
 
 def mixed(docs: DataFrame, levels: dict[str, Column], *, total: int | None = None, weights: dict[str, int] | None = None, max_epochs: int = 4, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixture itself: the columns of `docs`, a row for each epoch that a document is in; the last
-    document of a leaf's prefix has only its words up to the budget (and n_chars, if there, to match)."""
+    document of a leaf's prefix has only its words up to the budget (and n_chars, if there, to match).
+
+    Nulls, ties, repeated rows, long texts, weights and empty tables: as in mixture(). All columns are
+    kept as they are, whatever their names.
+    """
     names = list(levels)
     inner = {f"_l{k}": c for k, c in enumerate(levels.values())}
     slim = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(k) for k, c in levels.items()], n_words(text_col).alias("n_tokens")), "mixture")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices, texts_of
-from .common import checked, durable
+from .common import checked, durable, small_batches
 
 DIM = 20
 FEATURES = "held_out boolean, x array<double>, y long"
@@ -184,6 +184,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, sample: int
     every score is 0.5. Columns other than the id, the text and quality, whatever their names, are not
     read.
     """
+    small_batches(docs.sparkSession)
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample, "doc_id", "text"))
 
@@ -203,11 +204,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, sample: i
     Only texts go to Python, and only scores come back; nothing is shuffled. Nulls, repeated rows,
     long texts, empty tables and ties: as in quality().
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(fitted(slim, labels, sample, "doc_id", "text"))
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.of([t or "" for t in text.to_pylist()]))
+        parts = [shared.value.of([t or "" for t in text.slice(lo, 512).to_pylist()]) for lo in range(0, len(text), 512)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.where(score(F.col(f"`{text_col}`")) >= cut)

@@ -22,6 +22,9 @@ from .token_count import token_counts
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("EVLOOM_TOKENIZERS", "/opt/tokenizers")
 
+#: Target proportions of the packed windows, by source.
+PACKED = {"src0": 8.0} | {f"src{k}": 1.0 for k in range(1, 20)}
+
 
 def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixture(table(spark, sf_dir, "documents"), mix.document_levels(), weights=mix.WEIGHTS, max_epochs=4, seed=7)
@@ -40,7 +43,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0)
+    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0, weights=PACKED)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1))
+    return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

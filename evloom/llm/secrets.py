@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices, texts_of
-from .common import durable
+from .common import durable, small_batches
 
 KINDS = ("assign", "access", "hex", "cnn")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -85,14 +85,14 @@ def window(text: str, start: int, end: int) -> str:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of candidates that overlap no pattern span."""
-    out, k = [], 0
-    by_end = sorted(spans, key=lambda x: x[2])
+    """Spans of candidates that overlap no pattern span (these in order)."""
+    out, k, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         if MIXED.search(m[0]) or KEY.search(text, max(0, m.start() - BEFORE), m.start()):
-            while k < len(by_end) and by_end[k][2] <= m.start():
+            while k < len(spans) and spans[k][0] < m.end():
+                reach = max(reach, spans[k][2])
                 k += 1
-            if not any(s < m.end() and e > m.start() for s, _, e in by_end[k:]):
+            if reach <= m.start():
                 out.append(m.span())
     return out
 
@@ -356,10 +356,13 @@ def secrets(docs: DataFrame, *, sample: int = 4000, recall: float = 0.98, id_col
 
     sample: the most pattern spans that the network is fitted on (of about 100 bytes each); all
     held-out ones set the threshold, and all candidates are scored, over their whole length. The
-    threshold keeps `recall` whatever that costs in precision, which is logged. Null or empty text: no spans (base_sha256 of the empty string). Null
-    id: passed on. Repeated rows: each scanned. Very long texts: whole. Empty table: no rows. Other
-    columns are not read.
+    threshold keeps `recall` whatever that costs in precision, which is logged. Null or empty text: no
+    spans (base_sha256 of the empty string). Null id: passed on. Repeated rows: each scanned. Spans that
+    start together: in the order of KINDS. A score equal to the threshold counts. Very long texts:
+    whole, in time that grows with their length. Empty table: no rows. Other columns, whatever their
+    names, are not read.
     """
+    small_batches(docs.sparkSession)
     rows = durable(found(docs, id_col, text_col), "secrets")
     positive, negative = synthetic()
     net = train(sampled(rows, "positive", sample) + positive, negative, recall=recall)

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import CACHE, PLAIN, Encoder, Memory, byte_symbols, encoder, slices, texts_of
+from .common import small_batches
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -59,9 +60,8 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         cuts = [self.enc.cut(t) for t in texts]
-        with self.memory.of(cuts) as (raw, spaced):
-            whole = iter(self.enc.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
-            return [len(next(whole)) // self.enc.dtype.itemsize if c is None else sum(map(raw.__getitem__, c[0])) + sum(map(spaced.__getitem__, c[1])) for c in cuts]
+        whole = iter(self.enc.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
+        return [len(next(whole)) // self.enc.dtype.itemsize if x is None else sum(x) for x in self.memory.find(cuts)]
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -89,4 +89,5 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col:
                 n_bytes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.record_batch([part.column("doc_id"), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)

@@ -2,11 +2,16 @@
 nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import textwrap
+import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -21,7 +26,7 @@ from evloom.llm import quality_rules as rules
 from evloom.llm.bpe import encoder
 from evloom.llm.exact_dedup import exact_dedup, keep_distinct
 from evloom.llm.jaccard_join import jaccard_join, keep_one
-from evloom.llm.packing import deal, pack, sequences, windows_of
+from evloom.llm.packing import Deal, pack, sequences, stretches
 from evloom.llm.quality_qda import DIM, features, fold, keep_good, quality
 from evloom.llm.token_count import counter, token_counts, whole_tokens
 
@@ -160,11 +165,14 @@ def test_jaccard_join_takes_clashing_columns(edge):
 def test_long_lists_and_large_groups_are_taken_in_parts(spark, monkeypatch):
     from evloom.llm import jaccard_join as J
 
-    for name, most in (("LIST", 16), ("TILE", 12), ("TILE_SHINGLES", 600)):
+    for name, most in (("LIST", 5), ("HOT_FROM", 2), ("TILE", 12), ("TILE_SHINGLES", 600)):
         monkeypatch.setattr(J, name, most)
+    seen, long_lists = [], J.long_lists
+    monkeypatch.setattr(J, "long_lists", lambda *a: (seen.append((out := long_lists(*a)).count()), out)[1])
     rows = mixed_rows(9)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert joined(df, 4, 85) == brute_components(rows, 4, 85)
+    assert seen[0] > 5
 
 
 def test_connections_of_a_large_group_grow_with_its_size(spark, monkeypatch):
@@ -273,6 +281,18 @@ def test_mixture_budgets(spark):
         start[p] += r.n_tokens
 
 
+def test_weight_0_leaves_out_all_below(edge):
+    rows = mix.mixture(edge, mix.document_levels(), weights={"d1": 0, "en": 3}, max_epochs=3).collect()
+    assert any(r.domain == "d1" and r.n_tokens for r in rows)
+    assert all(r.budget == r.epochs == r.prefix_tokens == 0 for r in rows if r.domain == "d1")
+    cap = sum(3 * r.n_tokens for r in rows if r.domain != "d1")
+    assert sum(r.epochs * r.n_tokens + r.prefix_tokens for r in rows) == min(cap, sum(r.n_tokens for r in rows))
+    none = mix.mixture(edge, mix.document_levels(), weights=dict.fromkeys(["d1", "d2", "(none)"], 0)).collect()
+    assert not any(r.budget for r in none)
+    with pytest.raises(ValueError, match="negative"):
+        mix.mixture(edge, mix.document_levels(), weights={"en": -1})
+
+
 def test_mixed_rows_hold_what_mixture_says(edge, none):
     said = mix.mixture(edge, mix.document_levels(), total=40_000, weights={"en": 3}, max_epochs=3).collect()
     out = mix.mixed(edge, mix.document_levels(), total=40_000, weights={"en": 3}, max_epochs=3)
@@ -308,8 +328,11 @@ def test_whole_tokens_are_one_token_alone():
     assert all(len(lib.encode(s, add_special_tokens=False).ids) == 1 for s in found[::97])
 
 
+library = functools.cache(Tokenizer.from_file)
+
+
 def library_ids(path, text, end):
-    return np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, *end], "<u4")
+    return np.array([*library(path).encode(text or "", add_special_tokens=False).ids, *end], "<u4")
 
 
 def test_token_counts(edge, none):
@@ -327,20 +350,46 @@ def test_variable_length_code_is_exact():
         assert (token_files.decode_ranks(control, data, n) == v).all()
 
 
-def test_token_files(edge, none):
-    files = token_files.write(edge, WORDS, end_id=1, block_ids=500)
+def test_token_files(spark, edge, none, tmp_path):
+    path = f"file://{tmp_path}/files"
+    assert token_files.write(edge, WORDS, path, end_id=1, block_ids=500) == path
     start, want = 0, []
     rows = [(r.doc_id, library_ids(WORDS, r.text, [1])) for r in edge.collect()]
     for i, ids in sorted(rows, key=lambda x: ((x[0] is not None, x[0] or 0), x[1].astype("<u2").tobytes())):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    got = sorted((tuple(r) for r in token_files.read(files).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in token_files.read(spark, path).collect()), key=lambda r: r[1])
     assert got == want
-    assert files.blocks.count() > 3
+    assert spark.read.parquet(f"{path}/blocks").count() > 3
+    header = spark.read.parquet(f"{path}/header").first()
     ids = np.concatenate([x for _, x in rows])
     n = collections.Counter(ids.tolist())
-    assert [n[i] for i in files.by_rank[:50]] == sorted(n.values(), reverse=True)[:50]
-    assert token_files.read(token_files.write(none, WORDS)).count() == 0
+    assert [n[i] for i in np.frombuffer(header.by_rank, "<u4")[:50]] == sorted(n.values(), reverse=True)[:50]
+    assert (header.version, header.end_id) == (token_files.VERSION, 1)
+    assert token_files.read(spark, token_files.write(none, WORDS)).count() == 0
+
+
+def test_token_files_are_read_by_another_process(edge, tmp_path):
+    path = f"file://{tmp_path}/files"
+    token_files.write(edge, WORDS, path)
+    code = f"""
+from evloom.session import local_session
+from evloom.llm import token_files
+spark = local_session("reads", cpus=1, memory="1g")
+print("READ", sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, {path!r}).collect()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=Path(token_files.__file__).parents[2])
+    want = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(edge.sparkSession, path).collect())
+    assert f"READ {want}" in out.stdout
+
+
+def test_blocks_are_decoded_document_by_document():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 70_000, n).astype(np.uint32) for n in (3, 1, 500, 2)]
+    by_rank = rng.permutation(70_000).astype(np.uint32)
+    control, data = token_files.encode_ranks(np.concatenate(docs))
+    got = token_files.decode_block(np.array([len(d) for d in docs]), control, data, 506, by_rank)
+    assert all((g == by_rank[d]).all() for g, d in zip(got, docs, strict=True))
 
 
 # Packing
@@ -410,40 +459,80 @@ def test_pipeline_packs_ids(spark):
     assert sum(len(p.ids) for p in got) == 2 * sum(p.length for p in got)
 
 
-def test_packing_holds_proportions_throughout(spark):
+def proportions(seq, source, size):
+    """Tokens of each source in each window."""
+    return {k: collections.Counter({s: sum(p.length for p in ps if source[p.doc_id] == s) for s in set(source.values())}) for k, ps in seq.items()}
+
+
+def test_packing_holds_proportions_in_every_window(spark):
     rng = random.Random(8)
-    rows = [(i, words(rng, rng.randrange(5, 60)), rng.choice("aaaaaabbc")) for i in range(1500)]
+    names = ["a"] * 6 + ["b"] * 2 + ["c"]
+    rows = [(i, words(rng, rng.randrange(5, 60)), rng.choice(names)) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
-    docs = {i: (library_ids(BYTE, t, [0]), s) for i, t, s in rows}
-    for weights in (None, {"a": 1.0, "b": 1.0, "c": 1.0}):
-        seq = check_pieces(pack(df, BYTE, size=256, windows=16, grain=64, weights=weights).collect(), [(i, x) for i, (x, _) in docs.items()], 256)
-        part = collections.Counter()
-        for x, s in docs.values():
-            part[s] += len(x)
-        share = {s: n / sum(part.values()) for s, n in part.items()} if weights is None else {s: 1 / 3 for s in part}
-        dry = len(seq) if weights is None else int(3 * min(part.values()) / 256 * 0.95)
-        seen = collections.Counter()
-        for n, k in enumerate(sorted(seq)[:dry], 1):
-            for p in seq[k]:
-                seen[docs[p.doc_id][1]] += p.length
-            assert all(abs(seen[s] - share[s] * 256 * n) <= 3 * 64 for s in share)
-
-
-def test_deals_are_exact():
+    docs, source = [(i, library_ids(BYTE, t, [0])) for i, t, _ in rows], {i: s for i, _, s in rows}
+    part = collections.Counter()
+    for i, x in docs:
+        part[source[i]] += len(x)
+    total = sum(part.values())
+    for weights in (None, {"a": 1.0, "b": 1.0, "c": 1.0}, {"c": 2.0, "a": 1.0}):
+        seq = check_pieces(pack(df, BYTE, size=256, windows=16, grain=16, weights=weights).collect(), docs, 256)
+        rate = {s: part[s] / total if weights is None else weights.get(s, 0.0) / sum(weights.values()) for s in part}
+        dry = min(part[s] / rate[s] for s in part if rate[s]) / 256
+        got = proportions(seq, source, 256)
+        for k in range(int(dry) - 1):
+            assert all(abs(got[k][s] - rate[s] * 256) <= 16 + 3 for s in part)
+
+
+def test_packing_takes_more_sources_than_queues(spark, monkeypatch):
+    from evloom.llm import packing as P
+
+    monkeypatch.setattr(P, "QUEUES", 40)
+    rng = random.Random(4)
+    rows = [(i, words(rng, 12), "big" if i % 3 == 0 else "other" if i % 3 == 1 else f"s{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    docs, source = [(i, library_ids(BYTE, t, [0])) for i, t, _ in rows], {i: s[0] for i, _, s in rows}
+    seq = check_pieces(pack(df, BYTE, size=256, windows=8, weights={"big": 3.0, "other": 1.0}).collect(), docs, 256)
+    got = proportions(seq, source, 256)
+    n = sum(len(x) for i, x in docs if source[i] == "b")
+    for k in range(int(n / 256 / 0.75) - 1):
+        assert abs(got[k]["b"] - 192) <= 18
+        assert abs(got[k]["o"] - 64) <= 18
+
+
+def test_packing_deals_to_thousands_of_sources():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        total = rng.integers(0, 500, rng.integers(1, 9))
-        parts = [min(97, int(total.sum()) - a) for a in range(0, int(total.sum()), 97)]
-        out = deal(total, rng.random(len(total)) * (rng.random(len(total)) > 0.2), parts)
-        assert (out.sum(0) == total).all()
-        assert out.sum(1).tolist() == parts
-        assert (out >= 0).all()
-        got = collections.Counter()
-        for w, q, n in windows_of(total.astype(np.int64), 50, 16):
-            got[w] += n
-            total[q] -= n
-        assert not total.any()
-        assert all(n == 50 for w, n in got.items() if w != max(got))
+    total = rng.integers(1, 9_000, 5000)
+    for weight in (total.astype(float), rng.random(5000) * (rng.random(5000) > 0.2)):
+        deal = Deal(total, weight, 1024, 64)
+        every, blocks = np.arange(5000), -(-total.sum() // (1 << 16))
+        seen = np.array([deal.taken(every, np.full(5000, b * 64)) for b in range(blocks + 1)])
+        assert not seen[0].any()
+        assert (seen[-1] == total).all()
+        assert (np.diff(seen, axis=0) >= 0).all()
+        assert (np.abs(seen.sum(1)[:-1] - np.arange(blocks) * (1 << 16)) <= 5000).all()  # a token a queue at most
+        live = (seen[10] > 0) & (seen[10] < total) & (weight > 0)
+        rate = seen[10][live] / weight[live]
+        assert (np.abs(seen[10][live] - np.median(rate) * weight[live]) <= 2).all()
+        q = rng.integers(0, 5000, 2000)
+        p = (rng.random(2000) * total[q]).astype(np.int64)
+        b = deal.block_of(q, p)
+        assert ((deal.taken(q, b * 64) <= p) & (p < deal.taken(q, (b + 1) * 64))).all()
+
+
+def test_stretches_serve_every_token_once():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = rng.integers(1, 900, rng.integers(1, 9))
+        deal = Deal(n, rng.random(len(n)) * (rng.random(len(n)) > 0.3), 50, 4)
+        parts = [stretches(deal, b, 16) for b in range(-(-n.sum() // 200))]
+        q, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for k, m in enumerate(n):
+            at = q == k
+            assert lo[at][0] == 0
+            assert hi[at][-1] == m
+            assert (lo[at][1:] == hi[at][:-1]).all()
+    with pytest.raises(ValueError, match="negative"):
+        sequences(None, BYTE, weights={"a": -1.0})
 
 
 # Quality
@@ -474,12 +563,27 @@ def test_quality_rules(spark, edge, none):
 
 def test_lines_go_first():
     prose = "This is a sentence that says a thing. And so does that one here."
+    assert not rules.line_fails("The policy of the house on data is what they call their privacy policy, and it is as long as a book.", 22)
+    assert rules.line_fails("Alle Rechte vorbehalten.", 3)
     stay, failed, lost, _ = rules.clean(f"Home | News | Sport | Help\n{prose}\nClick here to subscribe\n" + " ".join(["word"] * 9))
     assert (stay, failed, lost) == ([prose], 3, 20)
     assert rules.judge("\n".join([words(random.Random(1), 60, 10**6) + "."] * 1))[6]
     assert not rules.judge("\n".join([words(random.Random(1), 60, 10**6) + ".", "a | b | c | d " * 20]))[6]
 
 
+def test_cleaned_texts_lose_their_failed_lines(spark, edge, none):
+    prose = "This is a sentence that says a thing, and number {} says so too."
+    text = "\n".join(prose.format(i) for i in range(9))
+    rows = [(1, "Home | News | Sport | Help\n" + text, 7), (2, "Home | News | Sport | Help\n" * 40 + text, 7), (3, None, 7), (4, "", 7)]
+    got = rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    assert [tuple(r) for r in got] == [(1, text, len(text))]
+    kept = {r.doc_id for r in rules.quality_rules(edge).where("kept").collect()}
+    out = rules.cleaned(edge)
+    assert out.columns == edge.columns
+    assert {r.doc_id for r in out.collect()} == kept
+    assert rules.cleaned(none).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(name, spark, sf_dir):
     con = duckdb.connect()
@@ -564,6 +668,14 @@ def test_candidates_reach_short_and_letter_only_runs():
     assert own("An ordinary sentence follows letters.") == []
 
 
+def test_candidates_of_a_long_text_take_linear_time():
+    text = "token=abcdefgh1 key qXbTrYwLpZcVnMdK9 " * 60_000
+    spans = secrets.base_spans(text)
+    began = time.time()
+    assert len(spans) == len(secrets.candidates(text, spans)) == 60_000
+    assert time.time() - began < 5
+
+
 def test_windows_slide_over_whole_candidates():
     rng = random.Random(1)
     net = secrets.Network.new(2)
