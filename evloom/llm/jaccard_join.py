@@ -8,7 +8,9 @@ classes are indexed. Relations between sets are used twice:
   Whether two entries may belong to linked sets depends on both alone, so blocks are compared, never
   entries; blocks of sizes that cannot meet are passed over by binary search, blocks whose position
   leaves too little by one comparison. A block that has been reached needs no comparison again, so a
-  list gives a forest of its connections (at most two links an entry), not its pairs.
+  long list gives a forest of its connections (at most two links an entry), not its pairs. What short
+  lists give are pairs; they are held against sketches (how many shingles of a set fall into each of
+  about n / 8 ranges of hashes; the lesser counts of two sets bound their intersection).
 * Answer skipping. What the forests connect is a group; links lie within groups only. In a group one
   set leads: its intersections are computed, and those of all other pairs are derived from them by
   what each set lacks of the leader and has besides (sums over small differences).
@@ -32,7 +34,7 @@ from .common import bytes_of, checked, durable, groups, small_batches
 from .components import components
 from .shingles import shingle_sets
 
-SETS = "doc_id long, n long, cid long, prefix array<long>"
+SETS = "doc_id long, n long, cid long, prefix array<long>, sketch binary"
 #: Frequent shingles: the most that are told apart (8 bytes each to every task), and from how many sets on.
 HOT, HOT_FROM = 1 << 19, 16
 #: Shingles counted at a time in a task.
@@ -41,7 +43,9 @@ COUNTED = 1 << 20
 #: cut into parts by hash, and every two parts meet in a task.
 LIST, TILE, TILE_SHINGLES = 1 << 16, 1 << 10, 1 << 20
 #: Lists of up to so many entries are compared entry by entry, all lists of a batch at once.
-SHORT = 6
+SHORT = 64
+#: The count of a sketch that stands for itself and all greater ones.
+MOST = 255
 #: Columns of a matrix of differences at a time; shingles in up to so many differences are counted in pairs.
 COLUMNS, FEW = 2048, 24
 
@@ -92,9 +96,23 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of a power of two of equal ranges; MOST for MOST and more."""
+    bits = max(3, (len(s) // 8).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), MOST).astype(np.uint8).tobytes()
+
+
+def bounds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What the intersections can't exceed, from the sketches of sets (a row each, of either width)."""
+    x, y = (np.where(z == MOST, 1 << 40, z.astype(np.int64)) for z in (x, y))
+    width = min(x.shape[1], y.shape[1])
+    x, y = (z.reshape(len(z), width, -1).sum(2) for z in (x, y))
+    return np.minimum(x, y).sum(1)
+
+
 def sets_of(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
     """SETS' columns for every row: cid is a hash of the whole set (null: empty set), prefix the
-    shingles that a linked set must meet, in the index's order."""
+    shingles that a linked set must meet, in the index's order, sketch the set's sketch."""
     order = np.argsort(hot.view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast((hot.view(np.uint64)[order], order))
 
@@ -102,14 +120,16 @@ def sets_of(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame
         known, rank = shared.value
         for batch in batches:
             for part in slices(batch, most=1 << 20):
-                n, cid, prefix = [], [], []
+                n, cid, prefix, sketches = [], [], [], []
                 for s in shingle_sets(texts_of(part), k):
                     n.append(len(s))
                     if not len(s):
                         cid.append(None)
                         prefix.append(None)
+                        sketches.append(None)
                         continue
                     cid.append(class_of(s))
+                    sketches.append(sketch(s))
                     keep = len(s) - (percent * len(s) + 99) // 100 + 1
                     at = np.searchsorted(known, s)
                     often = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
@@ -118,7 +138,7 @@ def sets_of(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame
                         late = s[often][np.argsort(rank[at[often]])]
                         rare = np.concatenate([rare, late[: keep - len(rare)]])
                     prefix.append(rare[:keep].view(np.int64))
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "cid", "prefix"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], [x.split()[0] for x in SETS.split(", ")])
 
     return docs.mapInArrow(run, SETS)
 
@@ -182,8 +202,16 @@ def forest(cid: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> tu
 
 
 def connections(entries: DataFrame, long: DataFrame | None, percent: int) -> DataFrame:
-    """a, b: distinct links between classes that connect all that may be linked. entries: token, cid, n,
-    pos; they cross the network once, to their list (or to the pairs of its parts)."""
+    """a, b, sure: distinct links between classes that connect all that may be linked: pairs of short
+    lists (not sure) and what connects long ones. entries: token, cid, n, pos; they cross the network
+    once, to their list (or to the pairs of its parts)."""
+
+    def links(x: np.ndarray, y: np.ndarray, sure: bool) -> pa.RecordBatch:
+        ends = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
+        ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
+        new = np.concatenate([[True], (ends[1:] != ends[:-1]).any(1)]) if len(ends) else np.zeros(0, bool)
+        ends = ends[new]
+        return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.full(len(ends), sure))], ["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begin in groups(batches, ["token", "at"]):
@@ -197,20 +225,15 @@ def connections(entries: DataFrame, long: DataFrame | None, percent: int) -> Dat
             short = np.repeat(size <= SHORT, size)
             of = np.repeat(np.arange(len(size)), size)[short]
             c, m, r = cid[short], n[short], rest[short]
-            a, b = [], []
             for lag in range(1, SHORT):
-                hit = (of[lag:] == of[:-lag]) & meets(m[lag:], r[lag:], m[:-lag], r[:-lag], percent)
-                a.append(c[lag:][hit])
-                b.append(c[:-lag][hit])
+                at = np.nonzero(of[lag:] == of[:-lag])[0]
+                if not len(at):
+                    break
+                at = at[meets(m[at + lag], r[at + lag], m[at], r[at], percent)]
+                yield links(c[at], c[at + lag], False)
             for k in np.nonzero(size > SHORT)[0]:
                 at = slice(begin[k], begin[k] + size[k])
-                x, y = forest(cid[at], n[at], rest[at], percent)
-                a.append(x)
-                b.append(y)
-            x, y = np.concatenate(a), np.concatenate(b)
-            ends = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
-            ends = np.unique(ends, axis=0) if len(ends) else ends
-            yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+                yield links(*forest(cid[at], n[at], rest[at], percent), True)
 
     both = (F.shiftleft("n", 32) + F.col("pos")).alias("both")
     if long is None:
@@ -219,7 +242,27 @@ def connections(entries: DataFrame, long: DataFrame | None, percent: int) -> Dat
         cut = dealt(entries.join(checked(long, 80), "token"), F.ceil(F.col("m") / LIST))
         rest = entries.join(checked(long, 80), "token", "left_anti")
         lists = rest.select("token", F.lit(0).cast("long").alias("at"), "cid", both).unionByName(cut.select("token", (F.shiftleft("i", 32) + F.col("j")).alias("at"), "cid", both))
-    return lists.repartition("token", "at").sortWithinPartitions("token", "at").mapInArrow(run, "a long, b long").distinct()
+    found = lists.repartition("token", "at").sortWithinPartitions("token", "at").mapInArrow(run, "a long, b long, sure boolean")
+    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            sides = [bytes_of(batch.column(c)) for c in ("s", "t")]
+            wide = [np.diff(at) for _, at in sides]
+            keep = np.zeros(len(n), bool)
+            for v, w in set(zip(*[x.tolist() for x in wide], strict=True)):
+                own = np.nonzero((wide[0] == v) & (wide[1] == w))[0]
+                x, y = (np.frombuffer(data, np.uint8)[at[own][:, None] + np.arange(k)] for (data, at), k in zip(sides, (v, w), strict=True))
+                keep[own] = bounds(x, y) >= needed(n[own], m[own], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    one, two = (classes.select(F.col("cid").alias(k), F.col("n").alias(n), F.col("sketch").alias(s)) for k, n, s in (("a", "n", "s"), ("b", "m", "t")))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
 def together(token: np.ndarray, member: np.ndarray, m: int) -> np.ndarray:
@@ -357,11 +400,12 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     hot, counts = frequent(docs, k)
     sets = durable(sets_of(docs, hot, k, percent), "prefixes")
     classes = sets.where("cid is not null").groupBy("cid")
-    slim = durable(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("n_rows")), "classes")
+    slim = durable(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.first("sketch").alias("sketch")), "classes")
     entries = classes.agg(F.min("n").alias("n"), F.first("prefix").alias("prefix")).select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    edges = durable(connections(entries, long_lists(entries, hot, counts), percent), "connections")
+    met = durable(connections(entries, long_lists(entries, hot, counts), percent), "connections")
+    edges = durable(met.where("sure").select("a", "b").unionByName(plausible(met.where("not sure"), slim, percent)), "plausible")
     group = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
-    members = durable(group.join(slim, "cid"), "members")
+    members = durable(group.join(slim.drop("sketch"), "cid"), "members")
 
     size = members.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("c"))
     placed = members.join(size, "comp").join(rebuilt(docs, members, k), "cid").select("comp", "cid", "n_rows", "s", "c")

@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 
 from evloom.llm import licenses as lic
 from evloom.llm import mixture as mix
+from evloom.llm import quality_qda as qda
 from evloom.llm import queries, secrets, token_files
 from evloom.llm import quality_rules as rules
 from evloom.llm.bpe import encoder
@@ -165,7 +166,7 @@ def test_jaccard_join_takes_clashing_columns(edge):
 def test_long_lists_and_large_groups_are_taken_in_parts(spark, monkeypatch):
     from evloom.llm import jaccard_join as J
 
-    for name, most in (("LIST", 5), ("HOT_FROM", 2), ("TILE", 12), ("TILE_SHINGLES", 600)):
+    for name, most in (("LIST", 5), ("SHORT", 3), ("HOT_FROM", 2), ("TILE", 12), ("TILE_SHINGLES", 600)):
         monkeypatch.setattr(J, name, most)
     seen, long_lists = [], J.long_lists
     monkeypatch.setattr(J, "long_lists", lambda *a: (seen.append((out := long_lists(*a)).count()), out)[1])
@@ -180,6 +181,7 @@ def test_connections_of_a_large_group_grow_with_its_size(spark, monkeypatch):
 
     seen, connections = [], J.connections
     monkeypatch.setattr(J, "connections", lambda *a: (seen.append((out := connections(*a)).count()), out)[1])
+    monkeypatch.setattr(J, "SHORT", 8)
     texts = near_copies(random.Random(3), 300, 120, 6)
     rows = list(enumerate(texts))
     assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute_components(rows, 4, 85)
@@ -211,6 +213,23 @@ def test_a_list_gives_a_forest_of_its_connections():
         assert label[0] == label[1]
 
 
+def test_sketches_bound_intersections():
+    from evloom.llm.jaccard_join import MOST, bounds, sketch
+
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 8, 63, 64, 500, 9000):
+        for share in (0.0, 0.5, 0.95):
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 1 << 64, n - int(share * n) + n // 9, dtype=np.uint64)]))
+            x, y = (np.frombuffer(sketch(s), np.uint8)[None] for s in (a, b))
+            got = bounds(x, y)[0]
+            assert got >= len(np.intersect1d(a, b))
+            assert n < 64 or share > 0.5 or got < 0.92 * n
+    same = np.arange(1000, dtype=np.uint64)  # all in one range
+    assert max(sketch(same)) == MOST
+    assert bounds(*[np.frombuffer(sketch(same), np.uint8)[None]] * 2)[0] >= 1000
+
+
 def test_intersections_derived_from_a_leader_are_exact():
     from evloom.llm.jaccard_join import intersections
 
@@ -790,6 +809,49 @@ def test_every_license_of_a_block_is_tried():
             assert got == ["GPL-2.0", name]
 
 
+def brute_licenses(text):
+    """Every template tried at every word of the whole text; of wordings that overlap, the longest."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in lic.WORD.finditer(text)]
+    seen, out = [w for w, *_ in found], []
+    for k, v in lic.TEMPLATES.items():
+        t = [w.lower() for w in lic.WORD.findall(v)]
+        out += [(found[i][1], found[i + len(t) - 1][2], k) for i in range(len(seen) - len(t) + 1) if seen[i : i + len(t)] == t]
+    return sorted((k, a, b) for a, b, k in out if not any(c <= a and b <= d and d - c > b - a for c, d, _ in out))
+
+
+def test_licenses_equal_brute_force():
+    rng = random.Random(14)
+    dense = ["license", "warranty", "the", "software", "under", "permission", "of", "this", "copyright", "redistribute", "charge"]
+    every = " ".join(lic.TEMPLATES.values())
+    texts = [every, ".\n".join(reversed(lic.TEMPLATES.values()))]
+    for n in range(60):  # a notice anywhere in a long line dense in cue words, or in prose
+        fill = [rng.choice(dense) if n % 2 else f"w{rng.randrange(99)}" for _ in range(400)]
+        for name in rng.sample(sorted(lic.TEMPLATES), 1 + n % 3):
+            fill.insert(rng.randrange(len(fill)), lic.TEMPLATES[name])
+        texts.append(" ".join(fill))
+    for text in texts:
+        assert sorted((k, a, b) for k, a, b, d in lic.scan(text)[1] if d == 0) == brute_licenses(text)
+    assert len(brute_licenses(every)) == len(lic.TEMPLATES)
+
+
+def test_qda_equals_a_plain_one():
+    rng = np.random.default_rng(2)
+    x = [rng.normal(k, 1 + k, (300, DIM)) for k in (0, 1)]
+    n, s, ss = np.array([300.0, 300.0]), np.array([a.sum(0) for a in x]), np.array([a.T @ a for a in x])
+    model = qda.shrunk(n, s, ss, pooled=0.2, sphere=0.02)
+    cov = [np.cov(a.T, bias=True) for a in x]
+    both = (cov[0] + cov[1]) / 2
+    scale = np.outer(np.sqrt(np.diag(both)), np.sqrt(np.diag(both)))
+    logs = []
+    for k in (0, 1):
+        c = (0.8 * cov[k] + 0.2 * both) / scale
+        c = (0.98 * c + 0.02 * np.trace(c) / DIM * np.eye(DIM)) * scale
+        d = rng_points = np.concatenate(x) - x[k].mean(0)
+        logs.append(-0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), rng_points))
+    want = np.clip(logs[1] - logs[0], -qda.REACH, qda.REACH)
+    assert np.allclose(model.log_odds(np.concatenate(x)), want, atol=1e-6)
+
+
 # Pipeline
 
 
