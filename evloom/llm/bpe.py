@@ -1,23 +1,28 @@
 """Byte-pair encoding of whole batches, equal to the tokenizers library's result.
 
-Text is cut where no pre-token can cross, the distinct pieces of a batch are looked up, and only
-pieces never met are merged: all of them at once, as one numpy matrix that loses a column a round.
+Text is cut where no pre-token can cross, the distinct pieces of a batch are found and looked up, and
+only pieces never met are merged: all of them at once, as one numpy matrix that loses a column a round.
+What a batch says is then gathered from its distinct pieces.
 Whatever lies outside the plain alphabet below goes to the library itself, so the shortcut is one of
 speed only. Ids are handed around as little-endian uint16 (uint32 for vocabularies over 65,535).
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import bytes_of, sliced
+
 #: Letters whose class, case and normal form are the same in every library: ASCII, Latin-1, Latin Extended-A without U+0130.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 PLAIN = re.compile(f"[\t-\r -~{LETTERS}]*")
@@ -28,7 +33,12 @@ WORD_PIECES = re.compile(rf"{APOSTROPHES}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
 UNITS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space other than ASCII's, or control characters that only some libraries take as such.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-NOT_LONGER, INF, CACHE = 40, np.int32(2**31 - 1), 500_000
+#: Kinds of bytes that may keep a text from being cut at single spaces: other white space of ASCII,
+#: marks that only some libraries take as such, and what white space outside of ASCII begins with.
+BLANK, CONTROL, HEAD = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[[9, 11, 12, 13]], KINDS[28:32], KINDS[[0xC2, 0xE1, 0xE2, 0xE3]] = BLANK, CONTROL, HEAD
+NOT_LONGER, INF, CACHE = 40, np.int32(2**31 - 1), 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -100,7 +110,6 @@ class Encoder:
         self.pairs = Pairs(np.array([(vocab[a] << 17) | vocab[b] for a, b in merges], np.int64))
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.pieces = WORD_PIECES if self.words else BYTE_PIECES
-        self.by_piece: dict[str, bytes] = {}
         self.memory = Memory(self.learn)
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
@@ -156,75 +165,131 @@ class Encoder:
 
     def learn(self, units: list[str]) -> list[bytes]:
         """The ids of each of these different units: by merging its pre-tokens, or from the library."""
-        odd = [u for u in units if not PLAIN.fullmatch(u)]
+        odd = [] if PLAIN.fullmatch("".join(units)) else [u for u in units if not PLAIN.fullmatch(u)]
         whole = dict(zip(odd, self.library_ids(odd), strict=True))
-        pieces, find = self.by_piece, self.pieces.findall
-        split = [() if u in whole else find(u.lower() if self.words else u) for u in units]
-        lack = list(set(chain.from_iterable(split)).difference(pieces))
-        pieces.update(zip(lack, self.merge(lack), strict=True))
-        out = [pieces[ps[0]] if len(ps) == 1 else whole[u] if u in whole else b"".join([pieces[p] for p in ps]) for u, ps in zip(units, split, strict=True)]
-        if len(pieces) > CACHE:
-            for p in lack:
-                del pieces[p]
+        known, find, low = self.memory.known, self.pieces.findall, [u.lower() for u in units] if self.words else units
+        # A unit of letters is one pre-token, a space in front of it included.
+        split = [() if u in whole else (x,) if x.isalpha() or x[:1] == " " and x[1:].isalpha() else find(x) for u, x in zip(units, low, strict=True)]
+        every = set(chain.from_iterable(split))
+        pieces = {p: x for p, x in zip(every, map(known.get, every), strict=True) if x is not None}
+        lack = list(every.difference(pieces))
+        new = dict(zip(lack, self.merge(lack), strict=True))
+        if len(known) < CACHE:
+            known.update(new)
+        pieces.update(new)
+        return [pieces[ps[0]] if len(ps) == 1 else whole[u] if not ps and u in whole else b"".join([pieces[p] for p in ps]) for u, ps in zip(units, split, strict=True)]
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts the library would encode unit by unit, cut at single spaces (words: at white space)."""
+        data, at = bytes_of(texts)
+        raw = np.frombuffer(data, np.uint8, at[-1] - at[0], at[0])
+        kind = KINDS[raw]
+        bad = kind == CONTROL
+        if not self.words:
+            bad |= kind == BLANK
+            bad[1:] |= (raw[1:] == 32) & ((raw[:-1] == 32) | (raw[:-1] == 10))
+        for m in {m.encode() for m in self.marks}:
+            bad[: len(raw) - len(m) + 1] |= np.all([raw[k : len(raw) - len(m) + 1 + k] == c for k, c in enumerate(m)], 0) if len(raw) >= len(m) else False
+        out = np.ones(len(texts), bool)
+        out[np.searchsorted(at - at[0], np.nonzero(bad)[0], "right") - 1] = False
+        for i in np.unique(np.searchsorted(at - at[0], np.nonzero(kind == HEAD)[0], "right") - 1):
+            out[i] &= not ODD_SPACE.search(texts[i].as_py())  # bytes that white space outside of ASCII may begin with
         return out
 
-    def cut(self, text: str) -> tuple[list[str], list[str]] | None:
-        """Units that the library would encode each for itself: those as they are, and then those
-        that a space precedes; None: ask the library."""
-        if any(m in text for m in self.marks) or ODD_SPACE.search(text):
-            return None
+    def distinct(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different units of plain texts, the unit at each place, and the places where texts begin
+        (and the last one ends). A space in front belongs to its unit."""
+        lists = pc.ascii_split_whitespace(texts) if self.words else pc.split_pattern(texts, " ")
+        found = lists.flatten().dictionary_encode()
+        at, of, words = lists.offsets.to_numpy().astype(np.int64), found.indices.to_numpy().astype(np.int64), found.dictionary
+        at = at - at[0]
+        if not len(words):
+            return [], of, at
+        # Plain texts hold no such mark: joined and cut again, strings cost less than one by one.
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\x1c" if self.words else "\x1c ")[0].as_py()
         if self.words:
-            return text.split(), []
-        if "  " in text or "\n " in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
-            return UNITS.findall(text), []
-        first, *rest = text.split(" ")
-        return [first] if first else [], rest
+            return joined.split("\x1c"), of, at
+        lead, own = np.unique(of[at[:-1]], return_inverse=True)
+        of[at[:-1]] = len(words) + own
+        units = (" " + joined).split("\x1c")
+        return units + [units[i][1:] for i in lead], of, at
+
+    def cut(self, text: str) -> list[str] | None:
+        """Units of a text that isn't plain; None: ask the library."""
+        return None if any(m in text for m in self.marks) or ODD_SPACE.search(text) else UNITS.findall(text)
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. Nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        plain, n = self.plain(texts), np.zeros(len(texts), np.int64)
+        units, of, at = self.distinct(texts.filter(pa.array(plain)))
+        values = self.memory.find(units)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        pool, own = np.frombuffer(b"".join(values), self.dtype), size[of]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])
+        n[plain] = np.diff(ends[at])
+        # Where each id lies: a slice's ids are counted in 32 bits.
+        ids = pool[np.repeat(((np.cumsum(size) - size)[of] - ends[:-1]).astype(np.int32), own) + np.arange(ends[-1], dtype=np.int32)]
+        if plain.all():
+            return ids, n
+        rest = texts.filter(pa.array(~plain)).to_pylist()
+        cuts = [self.cut(t) for t in rest]
+        whole = iter(self.library_ids([t for t, c in zip(rest, cuts, strict=True) if c is None]))
+        found = dict(zip(units := list(set(chain.from_iterable([c for c in cuts if c]))), self.memory.find(units), strict=True))
+        other = [next(whole) if c is None else b"".join([found[u] for u in c]) for c in cuts]
+        n[~plain] = [len(x) // self.dtype.itemsize for x in other]
+        out, first = np.empty(n.sum(), self.dtype), np.repeat(plain, n)
+        out[first], out[~first] = ids, np.frombuffer(b"".join(other), self.dtype)
+        return out, n
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut(t) for t in texts]
-        whole = iter(self.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
-        return [next(whole) if x is None else b"".join(x) for x in self.memory.find(cuts)]
-
-
-class Known(dict):
-    """What is known of units; those that aren't are listed as they are met."""
-
-    def __init__(self):
-        self.lack: list[str] = []
-
-    def __missing__(self, unit: str) -> None:
-        self.lack.append(unit)
+        ids, n = self.flat(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
+
+    def ended(self, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+        """The ids of each text and end_id as a binary array, and how many each has."""
+        ids, n = self.flat(texts)
+        n = n + 1
+        out, last = np.empty(n.sum(), self.dtype), np.cumsum(n) - 1
+        own = np.ones(len(out), bool)
+        own[last] = False
+        out[own], out[last] = ids, end_id
+        cuts = np.concatenate([[0], last + 1]) * self.dtype.itemsize
+        return sliced(pa.py_buffer(out), cuts), n
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles, which hundreds of thousands of new strings and tuples would set off."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class Memory:
-    """What is known of units. Once it is full, what a batch adds is forgotten with the batch: the
-    common units came first."""
+    """What is known of units: the first CACHE that are met, which the common ones are among."""
 
     def __init__(self, learn: Callable[[list[str]], list]):
         self.learn = learn
-        self.raw, self.spaced = Known(), Known()
-
-    def find(self, cuts: list[tuple[list[str], list[str]] | None]) -> list[list | None]:
-        """What is known of every unit of each cut, learnt first where need be."""
-        raw, spaced = self.raw, self.spaced
-        out, again = [], []
-        for i, c in enumerate(cuts):
-            met = len(raw.lack) + len(spaced.lack)
-            out.append(c and [*map(raw.__getitem__, c[0]), *map(spaced.__getitem__, c[1])])
-            if len(raw.lack) + len(spaced.lack) > met:
-                again.append(i)
-        if again:
-            new, behind = list(dict.fromkeys(raw.lack)), list(dict.fromkeys(spaced.lack))
-            raw.lack, spaced.lack = [], []
-            found = self.learn(new + [" " + u for u in behind])
-            raw.update(zip(new, found, strict=False))
-            spaced.update(zip(behind, found[len(new) :], strict=True))
-            for i in again:
-                out[i] = [*map(raw.__getitem__, cuts[i][0]), *map(spaced.__getitem__, cuts[i][1])]
-            for known, added in ((raw, new), (spaced, behind)):
-                if len(known) > CACHE:
-                    for u in added:
-                        del known[u]
+        self.known: dict[str, object] = {}
+
+    def find(self, units: list[str]) -> list:
+        """What is known of each of these different units, learnt first where need be."""
+        with uncollected():
+            return self._find(units)
+
+    def _find(self, units: list[str]) -> list:
+        out = list(map(self.known.get, units))
+        lack = [u for u, x in zip(units, out, strict=True) if x is None]
+        if lack:
+            new = dict(zip(lack, self.learn(lack), strict=True))
+            out = [new[u] if x is None else x for u, x in zip(units, out, strict=True)]
+            if len(self.known) < CACHE:
+                self.known.update(new)
         return out
 
 

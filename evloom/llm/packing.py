@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, slices, texts_of
+from .bpe import encoder, slices
 from .common import bytes_of, checked, durable, groups, sliced, small_batches
 
 TOKENS = "task int, queue string, before long, row_id long, doc_id long, n long, ids binary"
@@ -47,24 +47,23 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, queues: int, named:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end, task = np.array([end_id], enc.dtype).tobytes(), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         before: dict[str, int] = defaultdict(int)
         row = task << 33
         for batch in batches:
-            for part in slices(batch):
-                ids = [x + end for x in enc.encode(texts_of(part))]
-                n = [len(x) // enc.dtype.itemsize for x in ids]
+            for part in slices(batch, most=8 << 20):
+                ids, n = enc.ended(part.column("text"), end_id)
                 queue = ["" if q is None else "=" + q for q in part.column("queue").to_pylist()]
                 if queues:
                     queue = [q if q[1:] in named else f"#{zlib.crc32(q.encode()) % queues}" for q in queue]
                 at = []
-                for q, k in zip(queue, n, strict=True):
+                for q, k in zip(queue, n.tolist(), strict=True):
                     at.append(before[q])
                     before[q] += k
                 row_ids = np.arange(row, row + len(n))
                 row += len(n)
                 yield pa.record_batch(
-                    [pa.array([task] * len(n), pa.int32()), pa.array(queue, pa.string()), pa.array(at, pa.int64()), pa.array(row_ids), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array([task] * len(n), pa.int32()), pa.array(queue, pa.string()), pa.array(at, pa.int64()), pa.array(row_ids), part.column("doc_id"), pa.array(n), ids],
                     [x.split()[0] for x in TOKENS.split(", ")],
                 )
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe import CACHE, PLAIN, Encoder, Memory, byte_symbols, encoder, slices, texts_of
+from .bpe import CACHE, PLAIN, Encoder, Memory, byte_symbols, encoder, slices
 from .common import small_batches
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -58,10 +59,19 @@ class Counter:
                 del pieces[p]
         return [known.get(u, 1) for u in units]
 
-    def count(self, texts: list[str]) -> list[int]:
-        cuts = [self.enc.cut(t) for t in texts]
-        whole = iter(self.enc.library_ids([t for t, c in zip(texts, cuts, strict=True) if c is None]))
-        return [len(next(whole)) // self.enc.dtype.itemsize if x is None else sum(x) for x in self.memory.find(cuts)]
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """The token count of each text. Nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        plain, out = self.enc.plain(texts), np.zeros(len(texts), np.int64)
+        units, of, at = self.enc.distinct(texts.filter(pa.array(plain)))
+        size = np.array(self.memory.find(units), np.int64)
+        out[plain] = np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(size[of])])[at])
+        rest = texts.filter(pa.array(~plain)).to_pylist()
+        cuts = [self.enc.cut(t) for t in rest]
+        whole = iter(self.enc.library_ids([t for t, c in zip(rest, cuts, strict=True) if c is None]))
+        found = dict(zip(units := list(set(chain.from_iterable([c for c in cuts if c]))), self.memory.find(units), strict=True))
+        out[~plain] = [len(next(whole)) // self.enc.dtype.itemsize if c is None else sum([found[u] for u in c]) for c in cuts]
+        return out
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -83,9 +93,8 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = counter(tokenizer)
         for batch in batches:
-            for part in slices(batch):
-                texts = texts_of(part)
-                n = pa.array(tally.count(texts), pa.int64())
+            for part in slices(batch, most=8 << 20):
+                n = pa.array(tally.count(part.column("text")))
                 n_bytes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.record_batch([part.column("doc_id"), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, slices, texts_of
+from .bpe import encoder, slices
 from .common import bytes_of, checked, durable, own_dir, small_batches
 
 TOKENS = "doc_id long, n long, ids binary"
@@ -63,11 +63,10 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for part in slices(batch):
-                ids = [x + end for x in enc.encode(texts_of(part))]
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            for part in slices(batch, most=8 << 20):
+                ids, n = enc.ended(part.column("text"), end_id)
+                yield pa.record_batch([part.column("doc_id"), pa.array(n), ids], ["doc_id", "n", "ids"])
 
     return docs.mapInArrow(run, TOKENS)
 

@@ -15,6 +15,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -337,7 +338,10 @@ def test_encoder_equals_the_library(path):
     enc, lib = encoder(path), Tokenizer.from_file(path)
     want = [np.array(x.ids, enc.dtype).tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
     assert enc.encode(texts) == want
-    assert counter(path).count(texts) == [len(w) // enc.dtype.itemsize for w in want]
+    assert counter(path).count(pa.array(texts)).tolist() == [len(w) // enc.dtype.itemsize for w in want]
+    for few in (["plain only"], ["\ttab"], [""], [None, "a"], []):
+        ids, n = enc.flat(pa.array(few, pa.string()))
+        assert [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])][: len(few)] == [np.array(lib.encode(t or "", add_special_tokens=False).ids, enc.dtype).tobytes() for t in few]
 
 
 def test_whole_tokens_are_one_token_alone():
