@@ -55,15 +55,51 @@ def padded(values: Column, width: int, kind: str) -> Column:
     return F.concat(values, F.array_repeat(F.lit(None).cast(kind), F.greatest(F.lit(0), F.lit(width) - F.size(values))))
 
 
+#: The causes of a failure, in the order in which they are asked for.
+CAUSES = (
+    "frontend_or_data_not_captured", "known_path_not_stored", "read_budget_infeasible", "method_execution_or_parse_failure",
+    "observed_repairable_read_gap", "consumer_representation_or_injection_unresolved", "success", "insufficient_diagnostic_information",
+)
+
+
 def failure_category(captured: Column, stored: Column, feasible: Column, executed: Column, wrong: Column, reference_right: Column, access: Column, unresolved: Column) -> Column:
     """The first cause that applies, in the order of the evidence's way to the answer."""
-    return (
-        F.when(~captured, "not_captured")
-        .when(~stored, "not_stored")
-        .when(~feasible, "read_infeasible")
-        .when(~executed, "execution_or_parse_failure")
-        .when(wrong & reference_right & ~access, "repairable_read_gap")
-        .when(wrong & unresolved, "consumer_unresolved")
-        .when(~wrong, "success")
-        .otherwise("insufficient")
-    )
+    tests = [~captured, ~stored, ~feasible, ~executed, wrong & reference_right & ~access, wrong & unresolved, ~wrong]
+    out = F.when(tests[0], CAUSES[0])
+    for test, cause in zip(tests[1:], CAUSES[1:], strict=False):
+        out = out.when(test, cause)
+    return out.otherwise(CAUSES[-1])
+
+
+def condition_family(condition: Column) -> Column:
+    """Full, Key, Irrel or Blind of Key-2 and the like."""
+    return F.split_part(condition, F.lit("-"), F.lit(1))
+
+
+def outcome(difference: Column) -> Column:
+    return F.when(difference > 0, "positive").when(difference < 0, "negative").when(difference == 0, "zero")
+
+
+def domain_order(value: Column, domain: list[str]) -> Column:
+    """The place of a value in a domain's own order; others come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in domain]), value), F.lit(0)), F.lit(len(domain) + 1))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def padded_number(n: Column, width: int = 6) -> Column:
+    return F.lpad(n.cast("string"), width, "0")
+
+
+def hash_parity(h: Column) -> Column:
+    """Whether a hexadecimal hash is odd."""
+    return F.conv(F.substring(h, -1, 1), 16, 10).cast("int") % 2
+
+
+def mean_pool(vectors: Column, valid: Column) -> Column:
+    """The mean of the valid vectors of an array, at length one; null without any."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), valid.alias("ok")), lambda x: x["ok"]), lambda x: x["v"])
+    total = F.aggregate(F.slice(kept, 2, 1 << 30), F.transform(F.get(kept, F.lit(0)), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.transform(total, lambda x: F.try_divide(x, F.sqrt(dot(total, total))))

@@ -24,6 +24,67 @@ def planned_outer(planned: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
     return out.withColumns(filled)
 
 
+def planned_results(planned: DataFrame, rows: DataFrame, keys: list[str], same: list[str] | None = None) -> DataFrame:
+    """planned_outer(), or an error at a result that is not planned, that repeats a key, or whose columns
+    `same` disagree with the plan's."""
+    same = same or []
+    once = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("_there", F.lit(True))
+    once = once.withColumnsRenamed({c: f"_{c}" for c in same})
+    met = planned.withColumn("_planned", F.lit(True)).join(once, keys, "full_outer")
+    why = F.when(F.col("_planned").isNull(), "unplanned result").when(F.col("_n") > 1, "repeated result")
+    for c in same:
+        why = why.when(F.col("_there") & ~F.col(c).eqNullSafe(F.col(f"_{c}")), f"result disagrees on {c}")
+    met = met.where(F.when(why.isNull(), True).otherwise(F.raise_error(why).cast("boolean")))
+    out = met.drop("_planned", "_n", "_there", *[f"_{c}" for c in same]).withColumn("status", F.coalesce("status", F.lit("missing")))
+    return out.withColumn("citations_legal", F.coalesce("citations_legal", F.lit(False))) if "citations_legal" in rows.columns else out
+
+
+def disagreeing(rows: DataFrame, unit: str, fields: list[str]) -> DataFrame:
+    """unit, field: units whose rows know more than one value of a field (nulls are unknown)."""
+    counts = rows.groupBy(unit).agg(*[F.countDistinct(f).alias(f) for f in fields])
+    return counts.select(unit, F.explode(F.filter(F.array(*[F.when(F.col(f) > 1, f) for f in fields]), lambda x: x.isNotNull())).alias("field"))
+
+
+def micro_macro(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame:
+    """group, micro (the mean over rows), macro (the mean over units of their means), n, n_units."""
+    units = rows.groupBy(group, unit).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("k"))
+    return units.groupBy(group).agg(F.try_divide(F.sum("s"), F.sum("k")).alias("micro"), F.avg("m").alias("macro"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_units"))
+
+
+def pair_report(rows: DataFrame, unit: str, place: str, groups: str) -> DataFrame:
+    """unit, groups, valid_pair, invalid_reasons, delta_key, delta_irrel, full_minus_blind, candidate of
+    each unit's planned conditions. rows: (unit, place, groups, status, verdict, score,
+    citations_legal), places 1 to 6 for Full, two Keys, two Irrels and Blind; differences of pairs that
+    don't count are null."""
+    own = F.array_sort(F.collect_list(F.struct(place, "status", "verdict", "score", "citations_legal")))
+    one = rows.groupBy(unit, groups).agg(own.alias("r"))
+    bad = F.array_sort(F.array_distinct(F.filter(F.col("r.status"), lambda x: ~x.isin(*SUCCESS))))
+    few = F.col(groups) < 2
+    valid = ~few & (F.size(bad) == 0)
+    s = [None, *[F.get("r", F.lit(k))["score"] for k in range(6)]]
+    decided = F.forall(F.col("r.verdict"), lambda v: F.coalesce(v.isin("correct", "incorrect"), F.lit(False)))
+    shape = F.col("r.score") == F.array(*[F.lit(x) for x in (1, 0, 0, 1, 1, 0)])
+    return one.select(
+        unit, groups, valid.alias("valid_pair"), F.concat(F.when(few, F.array(F.lit("fewer_than_two_event_groups"))).otherwise(F.array().cast("array<string>")), bad).alias("invalid_reasons"),
+        F.when(valid, s[1] - (s[2] + s[3]) / 2).alias("delta_key"), F.when(valid, s[1] - (s[4] + s[5]) / 2).alias("delta_irrel"), F.when(valid, s[1] - s[6]).alias("full_minus_blind"),
+        (valid & shape & decided & F.forall(F.col("r.citations_legal"), lambda x: x)).alias("candidate"),
+    )
+
+
+def method_gates(rows: DataFrame, unit: str, cluster: str) -> DataFrame:
+    """One row on R2 against R1 (and R0): the difference and its gates, and whether the tokens are fair.
+    rows: (unit, cluster, method, score, known, tokens), a row a planned unit and method; costs are
+    complete if every row of R1 and R2 is known."""
+    wide = rows.groupBy(unit, cluster).pivot("method", ["R0", "R1", "R2"]).agg(F.max("score")).withColumn("d", F.col("R2") - F.col("R1"))
+    g = wide.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("difference"), F.avg(F.col("R2") - F.col("R0")).alias("less_r0"), F.sum("d").alias("net"), F.countDistinct(F.when(F.col("d") > 0, F.col(cluster))).alias("gain_clusters"))
+    mean = lambda m: F.avg(F.when(F.col("method") == m, F.col("tokens")))
+    k = rows.agg(mean("R1").alias("a"), mean("R2").alias("b"), (F.count_if(~F.col("known") & F.col("method").isin("R1", "R2")) == 0).alias("cost_complete"))
+    gap = F.try_divide(F.abs(F.col("a") - F.col("b")), F.least("a", "b"))
+    signal = (F.col("difference") >= 0.05) & (F.col("net") >= 4) & (F.col("gain_clusters") >= 3) & (F.col("less_r0") >= -0.02)
+    met = g.join(F.broadcast(k))  # one row each
+    return met.select("n", F.round("difference", 9).alias("difference"), "net", "gain_clusters", F.round(gap, 9).alias("token_gap"), "cost_complete", signal.alias("signal"), (F.col("cost_complete") & (gap <= 0.05)).alias("token_fairness"))
+
+
 def unplanned(planned: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(planned, keys, "left_anti")
 

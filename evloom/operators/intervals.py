@@ -98,23 +98,49 @@ def packet_coverage(selected: DataFrame, masks: DataFrame, key: str, item: str)
     return met.groupBy(key).agg(F.bit_or(known).alias("covered"))
 
 
+def covers(masks: DataFrame, key: str, item: str, n_groups: int) -> DataFrame:
+    """key, best: for every union of masks, from 0 to all groups, the fewest items that give it (size,
+    ids; ties by ids; size over the number of items where nothing does).
+
+    Of items with the same mask only the least id can be in an answer, so a key has at most
+    2**n_groups - 1 candidates however many items it has, and one fold over them settles all unions.
+    """
+    full = (1 << n_groups) - 1
+    least = masks.groupBy(key, "mask").agg(F.min(item).alias("id"))
+    few = least.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("mask") > 0, F.struct(F.col("id").cast("long").alias("id"), "mask")))).alias("few"))
+    none = "array(named_struct('size', 0, 'ids', cast(array() as array<bigint>)))"
+    start = f"concat({none}, array_repeat(named_struct('size', {2 * full}, 'ids', cast(array() as array<bigint>)), {full}))"
+    grown = f"transform(filter(sequence(0, {full}), s -> (s | c.mask) = t), s -> named_struct('size', st[s].size + 1, 'ids', concat(st[s].ids, array(c.id))))"
+    return few.select(key, F.expr(f"aggregate(few, {start}, (st, c) -> transform(sequence(0, {full}), t -> array_min(concat(array(st[t]), {grown}))))").alias("best"))
+
+
+def greatest_cover(cap: int | None = None) -> Column:
+    """Of covers()'s best: struct(bits, size, ids, mask) of most groups by at most `cap` items, then of fewest items, then by ids."""
+    most = F.transform("best", lambda x, t: F.struct((-F.bit_count(t)).alias("bits"), x["size"].alias("size"), x["ids"].alias("ids"), t.alias("mask")))
+    return F.array_min(F.filter(most, lambda x: x["size"] <= (F.size("best") - 1 if cap is None else F.lit(cap))))
+
+
 def minimal_cover(masks: DataFrame, key: str, item: str, n_groups: int = 4) -> DataFrame:
-    """key, ids, covered, size, complete: the fewest items that cover most groups; ties by ids.
+    """key, ids, covered, size, complete: the fewest items that cover most groups; ties by ids."""
+    found = covers(masks, key, item, n_groups).select(key, greatest_cover().alias("b"))
+    return found.select(key, F.col("b.ids").alias("ids"), F.col("b.mask").alias("covered"), F.col("b.size").alias("size"), (F.col("b.mask") == (1 << n_groups) - 1).alias("complete"))
+
 
-    Of items with the same mask only the least id can be in the answer, so a key has at most
-    2**n_groups - 1 candidates however many items it has, and subsets are enumerated over those.
+def capped_cover(masks: DataFrame, relevance: DataFrame, key: str, item: str, n_groups: int = 4, cap: int = 6) -> DataFrame:
+    """key, ids, stored, feasible, minimum_size, covered, access: the smallest cover of all groups, or what
+    covers most within `cap` items, filled up to the cap by relevance (key, item, rank).
+
+    stored: the items together cover all; feasible: within the cap; access: what was chosen does.
     """
     full = (1 << n_groups) - 1
-    few = masks.where("mask > 0").groupBy(key, "mask").agg(F.min(item).alias("id"))
-    level = few.select(key, F.array("id").alias("ids"), "mask")
-    every = level
-    for _ in range(n_groups - 1):
-        right = few.withColumnRenamed("mask", "more")
-        level = level.join(right, key).where(F.col("id") > F.element_at("ids", -1)).where(F.col("mask").bitwiseOR(F.col("more")) != F.col("mask"))
-        level = level.select(key, F.concat("ids", F.array("id")).alias("ids"), F.col("mask").bitwiseOR(F.col("more")).alias("mask"))
-        every = every.unionByName(level)
-    best = every.groupBy(key).agg(F.min(F.struct((-F.bit_count("mask")).alias("bits"), F.size("ids").alias("size"), "ids", "mask")).alias("b"))
-    found = best.select(key, F.col("b.ids").alias("ids"), F.col("b.mask").alias("covered"), F.col("b.size").alias("size"))
-    keys = masks.select(key).distinct()
-    out = keys.join(found, key, "left")
-    return out.select(key, F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce(F.col("covered") == full, F.lit(False)).alias("complete"))
+    order = Window.partitionBy(key).orderBy("rank")
+    near = relevance.join(masks.select(key, item, "mask"), [key, item]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap + n_groups)
+    near = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", F.col(item).cast("long").alias("id"), "mask"))).alias("near"))
+    found = covers(masks, key, item, n_groups).select(key, greatest_cover(cap).alias("b"), F.get("best", F.lit(full))["size"].alias("least")).join(near, key, "left")
+    more = F.slice(F.filter(F.coalesce("near", F.array().cast("array<struct<r:int,id:bigint,mask:int>>")), lambda x: ~F.array_contains("b.ids", x["id"])), 1, F.lit(cap) - F.col("b.size"))
+    out = found.withColumn("more", more).withColumn("covered", F.aggregate("more", F.col("b.mask"), lambda m, x: m.bitwiseOR(x["mask"])))
+    stored = F.col("least") <= full
+    return out.select(
+        key, F.concat("b.ids", F.transform("more", lambda x: x["id"])).alias("ids"), stored.alias("stored"), (F.col("least") <= min(cap, full)).alias("feasible"),
+        F.when(stored, F.col("least")).alias("minimum_size"), "covered", (F.col("covered") == full).alias("access"),
+    )

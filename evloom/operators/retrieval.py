@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
 
-#: Bytes of query vectors that go to every task at a time.
-QUERY_BYTES = 64 << 20
+#: Bytes of query vectors that go to every task at a time, and of scores that a task computes at a time.
+QUERY_BYTES, SCORE_BYTES = 16 << 20, 32 << 20
 SCORED = "query_id long, item_id long, score double"
 
 
 def topk(items: DataFrame, queries: DataFrame, k: int, dim: int, exclude: DataFrame | None = None) -> DataFrame:
     """query_id, item_id, score, rank: the k items of greatest cosine for each query, ties by id.
 
-    items, queries: (id, v). exclude: (query_id, item_id) pairs that don't count. Queries go to the
-    tasks in blocks of bounded size; each task multiplies its items with a block and passes on k rows
-    a query, so the shuffle has k rows a task and query, never all pairs.
+    items, queries: (id, v); an id that repeats among items is an error. exclude: (query_id, item_id)
+    pairs that don't count. Queries go to the tasks in blocks of bounded size; each task multiplies its
+    items with a block, in tiles of bounded size, and passes on k rows a query, so the shuffle has k
+    rows a task and query, never all pairs.
     """
+    if items.groupBy("id").count().where("count > 1").limit(1).count():
+        raise ValueError("an item id stands in two rows")
     spark = items.sparkSession
     per_block = max(1, QUERY_BYTES // (8 * dim))
     width = k + (exclude.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0 if exclude is not None else 0)
@@ -38,7 +41,8 @@ def topk(items: DataFrame, queries: DataFrame, k: int, dim: int, exclude: DataFr
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             best_s, best_i = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
+            tile = max(1, SCORE_BYTES // (8 * len(ids)))
+            for batch in (b.slice(lo, tile) for b in batches for lo in range(0, b.num_rows, tile)):
                 v = np.array(batch.column("v").to_pylist(), float).reshape(-1, dim)
                 norm = np.linalg.norm(v, axis=1)
                 if not np.isfinite(norm).all() or (norm == 0).any():
@@ -66,6 +70,21 @@ def topk(items: DataFrame, queries: DataFrame, k: int, dim: int, exclude: DataFr
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def plain_and_refined(items: DataFrame, first: DataFrame, refined: DataFrame, dim: int) -> DataFrame:
+    """method, question, ids: R0, a question's six nearest items; R1, its three nearest and then three
+    others that are nearest to its refined question. first: (id, v); refined: (id, v, question). An
+    item with a question's own id isn't an answer to it."""
+    own = lambda q: q.select(F.col("id").alias("query_id"), F.col("id").alias("item_id"))
+    six = topk(items, first.select("id", "v"), 6, dim, own(first)).select(F.col("query_id").alias("question"), "item_id", "rank")
+    three = six.where("rank <= 3")
+    asks = refined.select(F.col("id").alias("query_id"), "question")
+    taken = own(refined).unionByName(three.join(asks, "question").select("query_id", "item_id"))
+    more = topk(items, refined.select("id", "v"), 3, dim, taken).join(asks, "query_id").select("question", "item_id", (F.col("rank") + 3).alias("rank"))
+    rows = six.withColumn("method", F.lit("R0")).unionByName(three.unionByName(more).withColumn("method", F.lit("R1")))
+    lists = rows.groupBy("method", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
+    return lists.select("method", "question", F.col("l.item_id").alias("ids"))
+
+
 def pool(near: DataFrame, members: DataFrame, items: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:
     """group_id, item_id, v, sims: up to `most` items of a group's candidates by greatest relevance.
 

@@ -9,7 +9,8 @@ from ..functions.scalars import hash_order
 
 
 def stratified_take(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 17) -> DataFrame:
-    """`n` rows dealt round-robin from strata: rows in a stratum and strata themselves in hash order.
+    """`n` rows dealt round-robin from strata: rows in a stratum and strata themselves in hash order. An
+    error, if there are fewer.
 
     Adds round and pick (both from 1). As no stratum gives more than n rows, the rank is cut at n, so
     that Spark keeps n rows a task and stratum before it shuffles.
@@ -17,8 +18,9 @@ def stratified_take(rows: DataFrame, stratum: str, key: str, n: int, seed: int =
     order = Window.partitionBy(stratum).orderBy(hash_order(seed, F.lit("row"), F.col(key)), key)
     ranked = rows.withColumn("round", F.row_number().over(order)).where(F.col("round") <= n)
     deal = [F.col("round"), hash_order(seed, F.lit("stratum"), F.col(stratum)), F.col(stratum)]
-    taken = ranked.orderBy(*deal).limit(n)
-    return taken.withColumn("pick", F.row_number().over(Window.orderBy(*deal)))  # n rows
+    taken = ranked.orderBy(*deal).limit(n).withColumn("pick", F.row_number().over(Window.orderBy(*deal)))  # n rows
+    enough = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) == n
+    return taken.withColumn("enough", enough).where(F.when(F.col("enough"), True).otherwise(F.raise_error(F.lit(f"fewer than {n} rows")).cast("boolean"))).drop("enough")
 
 
 def first_per(rows: DataFrame, group: str, key: str, n: int, seed: int = 17) -> DataFrame:

@@ -507,8 +507,8 @@ def running_budget(spark, sf_dir):
 
 @query(r"""
 WITH d AS (SELECT doc_id, lang, n_chars, quality, toxic, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents LEFT JOIN labels USING (doc_id))
-SELECT doc_id, CASE WHEN w < 5 THEN 'not_captured' WHEN n_chars > 20000 THEN 'not_stored' WHEN quality IS NULL THEN 'read_infeasible' WHEN toxic = 1 THEN 'execution_or_parse_failure'
-  WHEN quality = 0 AND lang = 'en' AND NOT w > 100 THEN 'repairable_read_gap' WHEN quality = 0 AND w > 300 THEN 'consumer_unresolved' WHEN quality = 1 THEN 'success' ELSE 'insufficient' END AS category FROM d""")
+SELECT doc_id, CASE WHEN w < 5 THEN 'frontend_or_data_not_captured' WHEN n_chars > 20000 THEN 'known_path_not_stored' WHEN quality IS NULL THEN 'read_budget_infeasible' WHEN toxic = 1 THEN 'method_execution_or_parse_failure'
+  WHEN quality = 0 AND lang = 'en' AND NOT w > 100 THEN 'observed_repairable_read_gap' WHEN quality = 0 AND w > 300 THEN 'consumer_representation_or_injection_unresolved' WHEN quality = 1 THEN 'success' ELSE 'insufficient_diagnostic_information' END AS category FROM d""")
 def failure_category(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("w", F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+")))
     wrong = F.col("quality") == 0
@@ -558,63 +558,103 @@ def canonical_ids(spark, sf_dir):
 # Model output
 
 
-def written(spark, sf_dir):
-    """Turns as model output of every shape: fenced, bare, cut off, of wrong types, not JSON at all."""
-    head = F.expr("substring(regexp_replace(text, '[^A-Za-z .,]', ''), 1, 40)")
-    body = (
-        F.when(F.col("turn") == 0, F.concat(F.lit('{"answer": "'), head, F.lit('", "citations": ["c1", "c2"]}')))
-        .when(F.col("turn") == 1, F.concat(F.lit('```json\n{"answer": "'), head, F.lit('", "citations": []}\n```')))
-        .when(F.col("turn") == 2, F.lit('{"answer": 3, "citations": ["c1"]}'))
-        .when(F.col("turn") == 3, F.concat(F.lit('{"answer": "'), head, F.lit('", "citations": ["c1", 2]}')))
-        .when(F.col("turn") == 4, F.lit('{"answer": "  ", "citations": ["c9"]}'))
-        .when(F.col("turn") == 5, F.concat(F.lit('{"answer": "'), head))
-        .otherwise(head)
-    )
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("said"))
+def turns(spark, sf_dir, cases: int):
+    """Turns with a case of each kind of fault, by number."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", ((F.col("conv_id") + F.col("turn")) % cases).alias("k"))
 
 
-SAID = r"""
-wr AS (SELECT conv_id, turn, substring(regexp_replace(text, '[^A-Za-z .,]', '', 'g'), 1, 40) AS head FROM conversations)"""
+def said(k: Column, bodies: list[Column]) -> Column:
+    """The body of each case."""
+    out = F.when(k == 0, bodies[0])
+    for n, body in enumerate(bodies[1:], 1):
+        out = out.when(k == n, body)
+    return out
+
+
+def fenced(body: Column, kind: str = "") -> Column:
+    return F.concat(F.lit(f"```{kind}\n"), body, F.lit("\n```"))
+
+
+BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _sql_json(cases: int, bodies: list[str]) -> str:
+    """CTEs of the same strings, and v: what they are as one JSON object, or null."""
+    whens = " ".join(f"WHEN {n} THEN {b}" for n, b in enumerate(bodies))
+    inner = lambda c, n: f"trim(substring({c}, {n}, length({c}) - {n + 2}), {BLANK})"
+    return f"""
+tn AS (SELECT conv_id, turn, text, (conv_id + turn) % {cases} AS k FROM conversations),
+sd AS (SELECT conv_id, turn, text, k, trim(CASE k {whens} END, {BLANK}) AS c FROM tn),
+cl AS (SELECT conv_id, turn, text, k, CASE WHEN starts_with(c, '```json' || chr(10)) AND ends_with(c, '```') THEN {inner("c", 9)} WHEN starts_with(c, '```' || chr(10)) AND ends_with(c, '```') THEN {inner("c", 5)} ELSE c END AS c FROM sd),
+vs AS (SELECT conv_id, turn, text, k, CASE WHEN json_valid(c) AND json_type(CASE WHEN json_valid(c) THEN c END) = 'OBJECT' THEN c END AS v FROM cl)"""
+
+
+_FENCE = "'```{}' || chr(10) || {} || chr(10) || '```'"
+_A = "json_object('answer', text, 'citations', {})::VARCHAR"
+_ANSWERS = [
+    _A.format("['c1', 'c2']"), _FENCE.format("json", _A.format("[]")), "json_object('answer', length(text), 'citations', ['c1'])::VARCHAR", _A.format("""json('["c1", 2]')"""),
+    "json_object('answer', '  ', 'citations', ['c9'])::VARCHAR", "left(" + _A.format("['c1']") + ", -2)", "text", _FENCE.format("", _A.format("['c4', 'zz']")),
+]
 
 
 @query(f"""
-WITH {SAID}
-SELECT conv_id, turn, turn IN (0, 1, 4) AS parse_ok, CASE WHEN turn IN (0, 1) THEN trim(head) ELSE '' END AS answer, CASE turn WHEN 0 THEN ['c1', 'c2'] WHEN 4 THEN ['c9'] ELSE []::VARCHAR[] END AS citations,
-  turn IN (0, 1) AS citations_legal, turn = 4 OR (turn IN (0, 1) AND trim(head) = '') AS abstained FROM wr""")
+WITH {_sql_json(8, _ANSWERS)},
+p AS (SELECT *, CASE WHEN json_type(v, '$.answer') = 'VARCHAR' THEN json_extract_string(v, '$.answer') END AS a, CASE WHEN json_type(v, '$.citations') = 'ARRAY' AND len(list_filter(json_extract(v, '$.citations[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN json_extract_string(v, '$.citations[*]') END AS cs FROM vs),
+o AS (SELECT *, a IS NOT NULL AND cs IS NOT NULL AS ok FROM p)
+SELECT conv_id, turn, ok AS parse_ok, CASE WHEN ok THEN trim(a, {BLANK}) ELSE '' END AS answer, CASE WHEN ok THEN cs ELSE [] END AS citations, ok AND len(list_filter(coalesce(cs, []), lambda x: x NOT IN ('c1', 'c2', 'c3', 'c4'))) = 0 AS citations_legal, ok AND coalesce(trim(a, {BLANK}) = '', false) AS abstained FROM o""")
 def json_parse_answer(spark, sf_dir):
-    allowed = F.array(*[F.lit(f"c{k}") for k in range(1, 5)])
-    return written(spark, sf_dir).select("conv_id", "turn", model_json.answer(F.col("said"), allowed).alias("a")).select("conv_id", "turn", "a.*")
+    """Whole turns as model output of every shape: bare, fenced, of wrong types, cut off, not JSON at all."""
+    body = lambda citations, a=F.col("text"): F.to_json(F.struct(a.alias("answer"), citations.alias("citations")))
+    ids = lambda *x: F.array(*[F.lit(i) for i in x])
+    cut = body(ids("c1"))
+    mixed = F.replace(body(ids("c1", "@2@")), F.lit('"@2@"'), F.lit("2"))
+    bodies = [body(ids("c1", "c2")), fenced(body(F.array().cast("array<string>")), "json"), body(ids("c1"), F.length("text")), mixed, body(ids("c9"), F.lit("  ")), F.substring(cut, F.lit(1), F.length(cut) - 2), F.col("text"), fenced(body(ids("c4", "zz")))]
+    rows = turns(spark, sf_dir, 8)
+    return rows.select("conv_id", "turn", model_json.answer(said(F.col("k"), bodies), ids("c1", "c2", "c3", "c4")).alias("a")).select("conv_id", "turn", "a.*")
+
+
+_Q = "json_object('queries', {})::VARCHAR"
+_QUERIES = [_Q.format("text"), _FENCE.format("", _Q.format("[text, ' two']")), _Q.format("[text, 'two', 'three']"), _Q.format("[text, text || ' ']"), _Q.format("[]"), _Q.format("['', text]")]
 
 
 @query(f"""
-WITH {SAID}
-SELECT conv_id, turn, CASE turn WHEN 0 THEN ['find ' || conv_id] WHEN 1 THEN ['one', 'two'] WHEN 3 THEN ['same'] ELSE ['question'] END AS queries, turn IN (0, 1, 3) AS parse_ok, turn = 0 AS normalized_from_string FROM wr""")
+WITH {_sql_json(6, _QUERIES)},
+p AS (SELECT *, json_type(v, '$.queries') = 'VARCHAR' AS single, CASE WHEN json_type(v, '$.queries') = 'VARCHAR' THEN [json_extract_string(v, '$.queries')] WHEN json_type(v, '$.queries') = 'ARRAY' THEN json_extract_string(v, '$.queries[*]') END AS qs FROM vs),
+r AS (SELECT *, list_transform(qs, lambda x: trim(x, {BLANK})) AS pl FROM p),
+o AS (SELECT *, coalesce(len(pl) BETWEEN 1 AND 2 AND len(list_filter(pl, lambda x: x = '')) = 0, false) AS ok FROM r)
+SELECT conv_id, turn, CASE WHEN NOT ok THEN ['question'] WHEN len(pl) = 2 AND pl[1] = pl[2] THEN pl[1:1] ELSE pl END AS queries, ok AS parse_ok, ok AND coalesce(single, false) AS normalized_from_string FROM o""")
 def json_parse_control(spark, sf_dir):
-    body = (
-        F.when(F.col("turn") == 0, F.concat(F.lit('{"queries": " find '), F.col("conv_id").cast("string"), F.lit(' "}')))
-        .when(F.col("turn") == 1, F.lit('```\n{"queries": ["one", " two"]}\n```'))
-        .when(F.col("turn") == 2, F.lit('{"queries": ["one", "two", "three"]}'))
-        .when(F.col("turn") == 3, F.lit('{"queries": ["same", "same "]}'))
-        .when(F.col("turn") == 4, F.lit('{"queries": []}'))
-        .otherwise(F.lit('{"queries": ["", "x"]}'))
-    )
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", model_json.control(body, F.lit(" question "), 2).alias("c"))
+    body = lambda q: F.to_json(F.struct(q.alias("queries")))
+    text = F.col("text")
+    bodies = [body(text), fenced(body(F.array(text, F.lit(" two")))), body(F.array(text, F.lit("two"), F.lit("three"))), body(F.array(text, F.concat(text, F.lit(" ")))), body(F.array().cast("array<string>")), body(F.array(F.lit(""), text))]
+    rows = turns(spark, sf_dir, 6).select("conv_id", "turn", model_json.control(said(F.col("k"), bodies), F.lit(" question "), 2).alias("c"))
     return rows.select("conv_id", "turn", "c.*")
 
 
-@query("""
-WITH i AS (SELECT conv_id, turn, unnest(['a0', 'a1', 'a2']) AS id FROM conversations)
-SELECT conv_id, turn, id, CASE WHEN turn = 0 AND id = 'a0' THEN 'correct' WHEN turn = 0 AND id = 'a1' THEN 'incorrect' WHEN turn = 3 AND id = 'a2' THEN 'correct' ELSE 'uncertain' END AS verdict,
-  (turn = 0 AND id <> 'a2') OR (turn = 3 AND id = 'a2') AS parse_ok FROM i""")
+_R = "{{'id': {}, 'verdict': '{}', 'reason': {}}}"
+_RESULTS = [
+    [_R.format("'a1'", "incorrect", "text"), _R.format("'a0'", "correct", "text")], [_R.format("'a0'", "correct", "text"), _R.format("'zz'", "correct", "text")], [_R.format("'a0'", "correct", "text")] * 2,
+    [_R.format("'a0'", "maybe", "text"), _R.format("'a1'", "correct", "' '"), _R.format("'a2'", "correct", "text")],
+]
+_JUDGED = [f"json_object('results', [{', '.join(x)}])::VARCHAR" for x in _RESULTS] + ["json_object('results', length(text))::VARCHAR"]
+
+
+@query(f"""
+WITH {_sql_json(5, _JUDGED)},
+it AS (SELECT conv_id, turn, json_extract_string(x, '$.id') AS id, json_extract_string(x, '$.verdict') AS verdict, trim(json_extract_string(x, '$.reason')) AS reason FROM (SELECT conv_id, turn, unnest(json_extract(v, '$.results[*]')) AS x FROM vs WHERE json_type(v, '$.results') = 'ARRAY')),
+wh AS (SELECT conv_id, turn, bool_and(coalesce(id IN ('a0', 'a1', 'a2'), false)) AND count(DISTINCT id) = count(*) AS whole FROM it GROUP BY ALL),
+ex AS (SELECT conv_id, turn, unnest(['a0', 'a1', 'a2']) AS id FROM conversations),
+jd AS (SELECT ex.*, coalesce(whole AND verdict IN ('correct', 'incorrect', 'uncertain') AND reason <> '', false) AS parse_ok, verdict FROM ex LEFT JOIN wh USING (conv_id, turn) LEFT JOIN (SELECT DISTINCT ON (conv_id, turn, id) * FROM it) it USING (conv_id, turn, id))
+SELECT conv_id, turn, id, CASE WHEN parse_ok THEN verdict ELSE 'uncertain' END AS verdict, parse_ok FROM jd""")
 def json_parse_judge(spark, sf_dir):
-    body = (
-        F.when(F.col("turn") == 0, F.lit('{"results": [{"id": "a1", "verdict": "incorrect", "reason": "no"}, {"id": "a0", "verdict": "correct", "reason": "yes"}]}'))
-        .when(F.col("turn") == 1, F.lit('{"results": [{"id": "a0", "verdict": "correct", "reason": "yes"}, {"id": "zz", "verdict": "correct", "reason": "yes"}]}'))
-        .when(F.col("turn") == 2, F.lit('{"results": [{"id": "a0", "verdict": "correct", "reason": "yes"}, {"id": "a0", "verdict": "correct", "reason": "yes"}]}'))
-        .when(F.col("turn") == 3, F.lit('{"results": [{"id": "a0", "verdict": "maybe", "reason": "yes"}, {"id": "a1", "verdict": "correct", "reason": " "}, {"id": "a2", "verdict": "correct", "reason": "x"}]}'))
-        .otherwise(F.lit('{"results": 4}'))
-    )
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(model_json.verdicts(body, F.array(*[F.lit(f"a{k}") for k in range(3)]))).alias("v"))
+    text = F.col("text")
+    row = lambda i, verdict, reason=text: F.struct(F.lit(i).alias("id"), F.lit(verdict).alias("verdict"), reason.alias("reason"))
+    body = lambda *rows: F.to_json(F.struct(F.array(*rows).alias("results")))
+    bodies = [
+        body(row("a1", "incorrect"), row("a0", "correct")), body(row("a0", "correct"), row("zz", "correct")), body(row("a0", "correct"), row("a0", "correct")),
+        body(row("a0", "maybe"), row("a1", "correct", F.lit(" ")), row("a2", "correct")), F.to_json(F.struct(F.length("text").alias("results"))),
+    ]
+    rows = turns(spark, sf_dir, 5).select("conv_id", "turn", F.explode(model_json.verdicts(said(F.col("k"), bodies), F.array(*[F.lit(f"a{k}") for k in range(3)]))).alias("v"))
     return rows.select("conv_id", "turn", "v.*")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_order
 from ..operators import intervals as iv
-from ..operators import packages as pk
 from ..session import table
 from .catalogue import CAPSULES, GROUPS, RESULTS, T, daily, events, query, scored
 
@@ -129,29 +128,6 @@ def sequential_strata(spark, sf_dir):
     return a.withColumn("stratum", F.lit("nation")).unionByName(b.withColumn("stratum", F.lit("segment")))
 
 
-def built(spark, sf_dir):
-    """Users' purchases close together as evidence, all their events as frames."""
-    e = events(spark, sf_dir)
-    merged = iv.merge(e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("s"), (F.col("t") + 86400 * 1.5).alias("e")), "user_id")
-    order = Window.partitionBy("user_id").orderBy(F.desc(F.col("e") - F.col("s")), "s")
-    return pk.packages(e.select("user_id", "t"), merged.withColumn("j", F.row_number().over(order)).where("j <= 2").select("user_id", "s", "e"), "user_id")
-
-
-@query()
-def intervention_packages(spark, sf_dir):
-    return built(spark, sf_dir)
-
-
-@query()
-def intervention_conditions(spark, sf_dir):
-    return pk.conditions(built(spark, sf_dir))
-
-
-@query()
-def replacement_violations(spark, sf_dir):
-    return pk.one_replaced(pk.conditions(built(spark, sf_dir)))
-
-
 @query(f"SELECT count(*) AS n, min(ts)::VARCHAR AS first_at, round(max({T}) - min({T}), 6) AS elapsed FROM events")
 def elapsed(spark, sf_dir):
     e = events(spark, sf_dir)

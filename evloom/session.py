@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,22 @@ def local_session(app: str = "evloom", cpus: int | None = None, memory: str = "8
     return spark
 
 
+def settled(df: DataFrame, what: str = "t") -> DataFrame:
+    """`df` written once as Parquet in the folder that spark.checkpoint.dir names, and read again: what is
+    built on it doesn't repeat its lineage. A folder is set here only where it is unset and one machine
+    runs all."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="evloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/evloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` under `sf_dir`, by Spark's own reader (any Hadoop path)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -50,6 +50,28 @@ def reservoir(events: DataFrame, key: str, order: str, item: str, k: int, seed:
     return events.groupBy(key).applyInPandasWithState(step, "key long, slots array<long>, seen long", state, "update", GroupStateTimeout.NoTimeout)
 
 
+def ordered_times(events: DataFrame, key: str, seq: str, t: str) -> DataFrame:
+    """key, kept, nulls, duplicates after each micro-batch, rows taken by `seq`: a time before the latest
+    is an error, an equal one is dropped and counted, so is a null. There is no tolerance for late rows."""
+
+    def step(own: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last, kept, nulls, duplicates = held.get if held.exists else (None, 0, 0, 0)
+        for x in pd.concat(list(frames)).sort_values(seq)[t]:
+            if pd.isna(x):
+                nulls += 1
+            elif last is not None and x < last:
+                raise ValueError(f"time {x} of {own[0]} is before {last}")
+            elif last is not None and x == last:
+                duplicates += 1
+            else:
+                last, kept = float(x), kept + 1
+        held.update((last, kept, nulls, duplicates))
+        yield pd.DataFrame({"key": [own[0]], "kept": [kept], "nulls": [nulls], "duplicates": [duplicates]})
+
+    out = "key long, kept long, nulls long, duplicates long"
+    return events.groupBy(key).applyInPandasWithState(step, out, "last double, kept long, nulls long, duplicates long", "update", GroupStateTimeout.NoTimeout)
+
+
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """What a stream yields for all that is there now, by a memory sink."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

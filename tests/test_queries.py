@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from evloom.plans import catalogue, reports  # noqa: F401
+from evloom.plans import catalogue, reports, trials  # noqa: F401
 
 
 def plain(v):
