@@ -12,7 +12,7 @@ from ..operators import evaluation as ev
 from ..operators import intervals as iv
 from ..operators import retrieval as rt
 from ..operators import sampling as sp
-from ..session import table
+from ..session import settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -571,6 +571,11 @@ def said(k: Column, bodies: list[Column]) -> Column:
     return out
 
 
+def bodied(rows: DataFrame, bodies: list[Column]) -> DataFrame:
+    """conv_id, turn, said: written once, as the parsers name it many times."""
+    return settled(rows.select("conv_id", "turn", said(F.col("k"), bodies).alias("said")), "said")
+
+
 def fenced(body: Column, kind: str = "") -> Column:
     return F.concat(F.lit(f"```{kind}\n"), body, F.lit("\n```"))
 
@@ -609,8 +614,8 @@ def json_parse_answer(spark, sf_dir):
     cut = body(ids("c1"))
     mixed = F.replace(body(ids("c1", "@2@")), F.lit('"@2@"'), F.lit("2"))
     bodies = [body(ids("c1", "c2")), fenced(body(F.array().cast("array<string>")), "json"), body(ids("c1"), F.length("text")), mixed, body(ids("c9"), F.lit("  ")), F.substring(cut, F.lit(1), F.length(cut) - 2), F.col("text"), fenced(body(ids("c4", "zz")))]
-    rows = turns(spark, sf_dir, 8)
-    return rows.select("conv_id", "turn", model_json.answer(said(F.col("k"), bodies), ids("c1", "c2", "c3", "c4")).alias("a")).select("conv_id", "turn", "a.*")
+    rows = bodied(turns(spark, sf_dir, 8), bodies)
+    return rows.select("conv_id", "turn", model_json.answer(F.col("said"), ids("c1", "c2", "c3", "c4")).alias("a")).select("conv_id", "turn", "a.*")
 
 
 _Q = "json_object('queries', {})::VARCHAR"
@@ -627,7 +632,7 @@ def json_parse_control(spark, sf_dir):
     body = lambda q: F.to_json(F.struct(q.alias("queries")))
     text = F.col("text")
     bodies = [body(text), fenced(body(F.array(text, F.lit(" two")))), body(F.array(text, F.lit("two"), F.lit("three"))), body(F.array(text, F.concat(text, F.lit(" ")))), body(F.array().cast("array<string>")), body(F.array(F.lit(""), text))]
-    rows = turns(spark, sf_dir, 6).select("conv_id", "turn", model_json.control(said(F.col("k"), bodies), F.lit(" question "), 2).alias("c"))
+    rows = bodied(turns(spark, sf_dir, 6), bodies).select("conv_id", "turn", model_json.control(F.col("said"), F.lit(" question "), 2).alias("c"))
     return rows.select("conv_id", "turn", "c.*")
 
 
@@ -654,7 +659,7 @@ def json_parse_judge(spark, sf_dir):
         body(row("a1", "incorrect"), row("a0", "correct")), body(row("a0", "correct"), row("zz", "correct")), body(row("a0", "correct"), row("a0", "correct")),
         body(row("a0", "maybe"), row("a1", "correct", F.lit(" ")), row("a2", "correct")), F.to_json(F.struct(F.length("text").alias("results"))),
     ]
-    rows = turns(spark, sf_dir, 5).select("conv_id", "turn", F.explode(model_json.verdicts(said(F.col("k"), bodies), F.array(*[F.lit(f"a{k}") for k in range(3)]))).alias("v"))
+    rows = bodied(turns(spark, sf_dir, 5), bodies).select("conv_id", "turn", F.explode(model_json.verdicts(F.col("said"), F.array(*[F.lit(f"a{k}") for k in range(3)]))).alias("v"))
     return rows.select("conv_id", "turn", "v.*")
 
 
