@@ -595,8 +595,7 @@ def test_lines_go_first():
 
 
 def test_cleaned_texts_lose_their_failed_lines(spark, edge, none):
-    prose = "This is a sentence that says a thing, and number {} says so too."
-    text = "\n".join(prose.format(i) for i in range(9))
+    text = "\n".join(words(random.Random(i), 12, 10**6) + "." for i in range(9))
     rows = [(1, "Home | News | Sport | Help\n" + text, 7), (2, "Home | News | Sport | Help\n" * 40 + text, 7), (3, None, 7), (4, "", 7)]
     got = rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
     assert [tuple(r) for r in got] == [(1, text, len(text))]
