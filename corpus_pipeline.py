@@ -1,4 +1,9 @@
-"""From documents to packed training sequences: five stages, each written and read again."""
+"""From documents to packed training sequences: five stages, each written and read again.
+
+All stages take nulls in any column, empty and very long texts, ties, repeated rows, empty tables and
+further columns of any name; what comes of each is stated with the operator that a stage names. All but
+the last give the columns of their input.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +20,30 @@ from evloom.session import table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go (quality_qda.keep_good: a score of 0.3 stays, null text is scored as empty)."""
     return keep_good(docs, table(spark, sf_dir, "labels"), cut=0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
+    """Of equal texts, the document with the largest id stays (exact_dedup.keep_distinct: null text is empty, of repeated rows one stays)."""
     return keep_distinct(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the least id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the least id stays
+    (jaccard_join.keep_one: those without words are linked with nothing)."""
     return keep_one(docs, k=5, percent=80)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many words as there are, dealt to the sources by target weights; a row for each epoch of a document."""
+    """As many words as there are, dealt to the sources by target weights; a row for each epoch of a
+    document (mixture.mixed: null levels are a node of their own)."""
     return mixture.mixed(docs, mixture.document_levels(), weights=mixture.WEIGHTS, max_epochs=4, seed=7)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens in pieces, with their ids and source rows, each source in proportion throughout."""
+    """Sequences of 1024 tokens in pieces, with their ids and source rows, each source in proportion
+    throughout (packing.sequences: null text is its end id alone)."""
     return sequences(docs, f"{TOKENIZERS}/byte_bpe_50k.json", size=1024, end_id=0)
 
 
