@@ -73,6 +73,35 @@ def ascii_lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
 
+def test_tables_stay_until_they_are_discarded(spark, edge):
+    from evloom.llm.common import discard, durable, own_dir
+
+    df = durable(edge.select("doc_id"), "kept")
+    assert df.count() == edge.count()
+    folder = Path(own_dir(spark).removeprefix("file://"))
+    assert any(p.name.startswith("kept-") for p in folder.iterdir())
+    discard(spark)
+    assert not folder.exists()
+
+
+def test_groups_of_batches_are_whole():
+    from evloom.llm.common import groups
+
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = [(k, n) for k in range(rng.randrange(1, 9)) for n in range(rng.choice([1, 1, 2, 7, 30]))]
+        table, at, batches = pa.table({"k": [k for k, _ in rows], "n": [n for _, n in rows]}), 0, []
+        while at < len(rows):
+            step = rng.randrange(0, 12)
+            batches += table.slice(at, step).to_batches() or [pa.record_batch([pa.array([], pa.int64())] * 2, ["k", "n"])]
+            at += step
+        got = []
+        for part, begin in groups(iter(batches), ["k"]):
+            ends = [*begin[1:], part.num_rows]
+            got += [(part.column("k")[a].as_py(), part.column("n").to_pylist()[a:b]) for a, b in zip(begin, ends, strict=True)]
+        assert got == [(k, [n for j, n in rows if j == k]) for k in dict.fromkeys(k for k, _ in rows)]
+
+
 # Exact dedup
 
 
