@@ -85,7 +85,7 @@ def checked_requests(rows: DataFrame, ledger: str, request: str) -> DataFrame:
     once = F.count(F.lit(1)).over(Window.partitionBy(ledger, request)) == 1
     why = F.when(~F.coalesce(known, F.lit(False)), "invalid phase or role").when(~F.coalesce(counts, F.lit(False)), "token counts must not be negative").when(~once, "repeated request id")
     told = rows.withColumn("_why", why)
-    return told.where(F.when(F.col("_why").isNull(), True).otherwise(F.raise_error("_why").cast("boolean"))).drop("_why")
+    return told.where(F.when(F.col("_why").isNull(), True).otherwise(F.raise_error(F.col("_why")).cast("boolean"))).drop("_why")
 
 
 def reserve(rows: DataFrame, ledger: str, order: list[str], caps: Caps | None = None) -> DataFrame:

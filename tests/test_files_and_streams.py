@@ -65,7 +65,7 @@ def test_stream_of_ordered_times(spark, tmp_path):
     assert {r.key: (r.kept, r.nulls, r.duplicates) for r in got.orderBy("kept").collect()} == {1: (2, 1, 1), 2: (1, 0, 0)}
     spark.createDataFrame([(2, 6, 3.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     with pytest.raises(Exception, match="is before"):
-        windows.drain(windows.ordered_times(stream, "k", "n", "t"), "timed2", "update", str(tmp_path / "c3"))
+        windows.drain(windows.ordered_times(stream, "k", "n", "t"), "timed2", "update", str(tmp_path / "c4"))
 
 
 def test_tumbling_stream_equals_batch(spark, sf_dir, tmp_path):
