@@ -166,8 +166,10 @@ def bootstrap_twister(clusters: DataFrame, cluster: str, draws: int = 2000, seed
 def scenarios(rows: DataFrame, groups: DataFrame, unit: str, score: str, k: int) -> DataFrame:
     """assignment, mean_score for all 2**k ways of setting the scores of k conflict groups to 0 or 1.
 
-    groups: (unit, g) with g in 0..k-1. Only sums by group meet the assignments: k + 1 rows.
+    groups: (unit, g) with g in 0..k-1, k up to 20. Only sums by group meet the assignments: k + 1 rows.
     """
+    if not 0 <= k <= 20:  # what is broadcast has 2**k rows
+        raise ValueError("scenarios takes 20 groups at most")
     own = rows.join(groups, unit, "left")
     sums = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("s"))
     cases = rows.sparkSession.range(1 << k).withColumnRenamed("id", "assignment")

@@ -38,7 +38,7 @@ def global_rank(rows: DataFrame, order: list, partitions: int | None = None) ->
     placed = placed.withColumn("within", F.col("id") - F.shiftleft(F.col("part").cast("long"), 33) + 1).drop("id")
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = counts.select("part", before.alias("before"))
+    shift = counts.select("part", before.alias("before"))  # as many rows as partitions: n at most
     return placed.join(F.broadcast(shift), "part").withColumn("rank", F.col("within") + F.col("before")).drop("part", "within", "before")
 
 
