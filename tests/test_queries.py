@@ -2,11 +2,17 @@
 
 import datetime
 import decimal
+import os
+import shutil
+import subprocess
+import sys
+import tempfile
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from evloom import session
 from evloom.plans import catalogue, reports, trials  # noqa: F401
 
 
@@ -40,14 +46,39 @@ def test_query_equals_sql(name, spark, duck, sf_dir):
     assert got == want
 
 
-def test_entry_runs_without_the_llm_folder(spark, sf_dir, monkeypatch):
-    import sys
+def test_entry_runs_without_the_llm_folder(tmp_path):
+    """In a process of its own, on a copy without the training-data folders and the pipeline."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "evloom", tmp_path / "evloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; from evloom.plans import catalogue as c; assert set(e.queries()) == set(c.QUERIES) and set(e.oracle_sql()) == set(c.ORACLE); print(len(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) == len(catalogue.QUERIES), done.stderr
 
-    import __spark_entry__
 
-    monkeypatch.setitem(sys.modules, "evloom.llm", None)
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
-    names = __spark_entry__.queries()
-    assert set(names) == set(catalogue.QUERIES)
-    assert set(__spark_entry__.oracle_sql()) == set(catalogue.ORACLE)
-    assert __spark_entry__.entry(spark).count() > 0
+def test_tables_settle(spark):
+    """One folder an application, whether spark.checkpoint.dir names it or not."""
+    first = session.shared_dir(spark)
+    assert first == session.shared_dir(spark)
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        assert first == session._FOLDERS[spark.sparkContext.applicationId]
+    assert session.settled(spark.range(3), "three").count() == 3
+    session.discard(spark)
+
+
+def test_folder_without_the_setting():
+    """The same in a process whose Spark has no settings file."""
+    code = """
+import os, sys
+from evloom import session
+s = session.local_session(cpus=1, memory="1g")
+assert s.conf.get("spark.checkpoint.dir", None) is None
+t = session.settled(s.range(3), "three")
+assert t.count() == 3 and t.inputFiles()[0].startswith(session.shared_dir(s))
+session.discard(s)
+"""
+    with tempfile.TemporaryDirectory() as empty:
+        env = os.environ | {"SPARK_CONF_DIR": empty, "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+        done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
