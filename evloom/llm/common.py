@@ -3,9 +3,6 @@ Arrow batches by groups."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,22 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, own_dir, shared_dir  # noqa: F401  what the operators take from here
+from ..session import settled as durable  # noqa: F401
+
 #: A join side is broadcast up to so many bytes by count and stated width; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is
-    unset and one machine runs all."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="evloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows an Arrow batch where the session has Spark's default: texts and sets are long rows, and
     both ends hold a batch several times over."""
@@ -37,25 +25,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "4000")
 
 
-def own_dir(spark: SparkSession) -> str:
-    """The folder of this application's tables."""
-    return f"{shared_dir(spark)}/evloom/{spark.sparkContext.applicationId}"
-
-
-def durable(df: DataFrame, what: str = "t", codec: str | None = None) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read again: lineage ends there, and
-    losing an executor loses none of it. discard() removes what an application has written."""
-    path = f"{own_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Removes all tables that durable() wrote for this application; results not yet written are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def checked(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df` (already durable) with a broadcast hint if its rows fit `most` bytes, else as it is.
     row_bytes: what a row takes in a join's hash table, 80 at least."""
