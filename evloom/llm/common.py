@@ -25,6 +25,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "4000")
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the table that `df` reads, one that durable() wrote; what has been built on it is written by now."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/evloom/" not in folder:
+            raise ValueError(f"{folder} is no intermediate table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checked(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df` (already durable) with a broadcast hint if its rows fit `most` bytes, else as it is.
     row_bytes: what a row takes in a join's hash table, 80 at least."""

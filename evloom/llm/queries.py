@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from . import mixture as mix
 from . import quality_rules as rules
-from . import token_files
+from . import decontamination, prefix_trie, token_files, vector_codes
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .licenses import licenses
@@ -66,6 +66,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", limit=1024)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return found.drop("spans", "items")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
     "op2_exact_dedup": op2_exact_dedup,
@@ -77,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op11_decontamination": op11_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -98,4 +114,7 @@ m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id),
 k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN n ON n.doc_id = m.doc_id LEFT JOIN k ON k.doc_id = m.doc_id""",
     "op6_quality_rules": rules.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_vector_codes": vector_codes.oracle(parts=8, entries=16, rounds=6),
 }
