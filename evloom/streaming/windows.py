@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,35 +20,6 @@ def tumbling(events: DataFrame, key: str, t: str, width: str, late: str = "0 sec
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(key, F.col("w.start").alias("s"), F.col("w.end").alias("e"), "n", "total")
 
 
-def reservoir(events: DataFrame, key: str, order: str, item: str, k: int, seed: int = 17) -> DataFrame:
-    """key, slots, seen after each micro-batch: Algorithm R with its k slots and generator kept as state.
-
-    Rows of a micro-batch are taken in `order`; rows that come in a later one count as later.
-    """
-    state = "seen long, slots array<long>, rng string"
-
-    def step(own: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rng = random.Random(seed)
-        seen, slots = 0, []
-        if held.exists:
-            seen, slots, drawn = held.get
-            slots = list(slots)
-            version, words, gauss = drawn.split("|")
-            rng.setstate((int(version), tuple(int(w) for w in words.split(",")), None if gauss == "" else float(gauss)))
-        rows = pd.concat(list(frames)).sort_values([order, item])
-        for it in rows[item].tolist():
-            seen += 1
-            if len(slots) < k:
-                slots.append(int(it))
-            elif (at := rng.randrange(seen)) < k:
-                slots[at] = int(it)
-        version, words, gauss = rng.getstate()
-        held.update((seen, slots, f"{version}|{','.join(map(str, words))}|{'' if gauss is None else gauss}"))
-        yield pd.DataFrame({"key": [own[0]], "slots": [slots], "seen": [seen]})
-
-    return events.groupBy(key).applyInPandasWithState(step, "key long, slots array<long>, seen long", state, "update", GroupStateTimeout.NoTimeout)
-
-
 def ordered_times(events: DataFrame, key: str, seq: str, t: str) -> DataFrame:
     """key, kept, nulls, duplicates after each micro-batch, rows taken by `seq`: a time before the latest
     is an error, an equal one is dropped and counted, so is a null. There is no tolerance for late rows."""

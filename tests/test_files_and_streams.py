@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evloom.functions import model_json
-from evloom.operators import evaluation as ev
-from evloom.plans import catalogue, reports, trials  # noqa: F401
+from evloom.plans import catalogue, reports, streams, trials  # noqa: F401
 from evloom.sources import files
 from evloom.streaming import windows
 
@@ -79,21 +78,6 @@ def test_tumbling_stream_equals_batch(spark, sf_dir, tmp_path):
     assert closed == {(r.user_id, r.s, r.n) for r in got.collect()}
 
 
-def test_reservoir_stream_equals_batch(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    ordered = events.orderBy("ts").collect()
-    for k in range(3):  # three files in the order of time
-        part = ordered[k * len(ordered) // 3 : (k + 1) * len(ordered) // 3]
-        spark.createDataFrame(part, events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = windows.read_events(spark, str(tmp_path / "in"), events.schema)
-    got = windows.drain(windows.reservoir(stream, "user_id", "ts", "event_id", 4), "sampled", "update", str(tmp_path / "c2"))
-    final = {r.key: (r.seen, r.slots) for r in got.orderBy("seen").collect()}
-    want: dict = {}
-    for r in ev.reservoir(events, "user_id", "ts", "event_id", 4).orderBy("slot").collect():
-        want.setdefault(r.key, (r.seen, []))[1].append(r.item)
-    assert final == want
-
-
 @pytest.mark.parametrize(
     ("text", "ok"),
     [('{"answer": "x", "citations": []}', True), ('```json\n{"answer": "x", "citations": ["a"]}\n```', True), ('{"answer": 3, "citations": []}', False), ("{'answer': 'x'}", False),
