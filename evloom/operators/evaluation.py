@@ -51,26 +51,6 @@ def micro_macro(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame
     return units.groupBy(group).agg(F.try_divide(F.sum("s"), F.sum("k")).alias("micro"), F.avg("m").alias("macro"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_units"))
 
 
-def pair_report(rows: DataFrame, unit: str, place: str, groups: str) -> DataFrame:
-    """unit, groups, valid_pair, invalid_reasons, delta_key, delta_irrel, full_minus_blind, candidate of
-    each unit's planned conditions. rows: (unit, place, groups, status, verdict, score,
-    citations_legal), places 1 to 6 for Full, two Keys, two Irrels and Blind; differences of pairs that
-    don't count are null."""
-    own = F.array_sort(F.collect_list(F.struct(place, "status", "verdict", "score", "citations_legal")))
-    one = rows.groupBy(unit, groups).agg(own.alias("r"))
-    bad = F.array_sort(F.array_distinct(F.filter(F.col("r.status"), lambda x: ~x.isin(*SUCCESS))))
-    few = F.col(groups) < 2
-    valid = ~few & (F.size(bad) == 0)
-    s = [None, *[F.get("r", F.lit(k))["score"] for k in range(6)]]
-    decided = F.forall(F.col("r.verdict"), lambda v: F.coalesce(v.isin("correct", "incorrect"), F.lit(False)))
-    shape = F.col("r.score") == F.array(*[F.lit(x) for x in (1, 0, 0, 1, 1, 0)])
-    return one.select(
-        unit, groups, valid.alias("valid_pair"), F.concat(F.when(few, F.array(F.lit("fewer_than_two_event_groups"))).otherwise(F.array().cast("array<string>")), bad).alias("invalid_reasons"),
-        F.when(valid, s[1] - (s[2] + s[3]) / 2).alias("delta_key"), F.when(valid, s[1] - (s[4] + s[5]) / 2).alias("delta_irrel"), F.when(valid, s[1] - s[6]).alias("full_minus_blind"),
-        (valid & shape & decided & F.forall(F.col("r.citations_legal"), lambda x: x)).alias("candidate"),
-    )
-
-
 def method_gates(rows: DataFrame, unit: str, cluster: str) -> DataFrame:
     """One row on R2 against R1 (and R0): the difference and its gates, and whether the tokens are fair.
     rows: (unit, cluster, method, score, known, tokens), a row a planned unit and method; costs are

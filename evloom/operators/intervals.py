@@ -81,11 +81,36 @@ def adjacent_gaps(rows: DataFrame, key: str, t: str) -> DataFrame:
     return step.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("max_gap"), F.avg("d").alias("mean_gap"))
 
 
+def points_in(points: DataFrame, groups: DataFrame, key: str, t: str = "t", s: str = "s", e: str = "e") -> DataFrame:
+    """The columns of both for each point that lies in an interval [s, e) of its key.
+
+    They meet by (key, level, bucket). A level's buckets are a power of two wide, an interval goes to the
+    level just over its length and so into two or three buckets, a point into one bucket of each level that
+    there is: no row meets all rows of its key, and a key with many is spread over many tasks. The levels
+    (powers of two among the intervals' lengths, some tens) are found by a job of their own.
+    """
+    least = lambda x: F.ceil(F.log2(x)).cast("int")
+    known = groups.where(valid_order(F.col(s), F.col(e))).withColumn("_level", least(F.col(e).cast("double") - F.col(s).cast("double")))
+    levels = sorted(r["_level"] for r in known.select("_level").distinct().collect())
+    at = lambda x, level: F.floor(x.cast("double") / F.pow(F.lit(2.0), level))
+    spread = known.select("*", F.explode(F.sequence(at(F.col(s), F.col("_level")), at(F.col(e), F.col("_level")))).alias("_bucket"))
+    pairs = F.array(*[F.struct(F.lit(v).alias("_level"), at(F.col(t), F.lit(v)).alias("_bucket")) for v in levels]) if levels else F.array().cast("array<struct<_level:int,_bucket:bigint>>")
+    placed = points.where(F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))).select("*", F.explode(pairs).alias("_p")).select("*", F.col("_p._level").alias("_level"), F.col("_p._bucket").alias("_bucket")).drop("_p")
+    met = placed.join(spread, [key, "_level", "_bucket"]).where((F.col(t) >= F.col(s)) & (F.col(t) < F.col(e)))
+    return met.drop("_level", "_bucket")
+
+
+def valid_order(s: Column, e: Column) -> Column:
+    """s < e, both finite."""
+    x, y = s.cast("double"), e.cast("double")
+    return F.coalesce((x < y) & ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf")), F.lit(False))
+
+
 def coverage(caps: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """key, idx, mask: bit j is set where at least two distinct valid times of a capsule lie in the
     key's group j (groups: key, j, s, e)."""
     points = caps.select(key, "idx", F.explode(F.array_distinct(F.filter(F.transform(F.arrays_zip("pts", "valid"), lambda x: F.when(x["valid"], x["pts"])), lambda x: x.isNotNull()))).alias("t"))
-    hit = points.join(groups, key).where((F.col("t") >= F.col("s")) & (F.col("t") < F.col("e")))
+    hit = points_in(points, groups.select(key, "j", "s", "e"), key)
     bits = hit.groupBy(key, "idx", "j").agg(F.countDistinct("t").alias("n")).where("n >= 2")
     masks = bits.groupBy(key, "idx").agg(F.bit_or(F.expr("shiftleft(1, cast(j as int))")).alias("mask"))
     return caps.select(key, "idx").join(masks, [key, "idx"], "left").select(key, "idx", F.coalesce("mask", F.lit(0)).alias("mask"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_order
 from ..session import settled
-from .intervals import equidistant
+from .intervals import equidistant, points_in
 
 DISTRACTORS = 3
 PACKAGE = "key long, built boolean, reason string, grp int, is_gold boolean, pts array<double>, group_id string"
@@ -26,9 +26,9 @@ def micros(t: Column) -> Column:
 
 def flagged(frames: DataFrame, groups: DataFrame) -> DataFrame:
     """key, t, grp: distinct times with the evidence group that holds them, if any."""
-    t, g = frames.select("key", "t").distinct().alias("t"), groups.select("key", "grp", "s", "e").alias("g")
-    held = (F.col("t.key") == F.col("g.key")) & (F.col("t.t") >= F.col("g.s")) & (F.col("t.t") < F.col("g.e"))
-    return t.join(g, held, "left").select("t.key", "t.t", "g.grp")
+    times = frames.select("key", "t").distinct()
+    held = points_in(times, groups.select("key", "grp", "s", "e"), "key").select("key", "t", "grp")
+    return times.join(held, ["key", "t"], "left")
 
 
 def evidence(times: DataFrame, groups: DataFrame) -> DataFrame:
@@ -102,8 +102,8 @@ def packages(frames: DataFrame, gold: DataFrame, key: str, seed: int = 17) -> Da
 
     state = plan.join(own.groupBy("key").agg(F.min("n").alias("least")), "key")
     state = state.join(chosen.groupBy("key").agg(F.count(F.lit(1)).alias("found")), "key", "left")
-    why = F.when(~F.col("m").between(2, 4), "groups outside of 2 to 4").when(F.col("least") < 4, "a group has fewer than four times")
-    why = why.when(F.coalesce("found", F.lit(0)) < DISTRACTORS, "fewer than three distractors").otherwise("")
+    why = F.when(~F.col("m").between(2, 4), "merged_group_count_outside_2_to_4").when(F.col("least") < 4, "evidence_group_has_fewer_than_four_distinct_pts")
+    why = why.when(F.coalesce("found", F.lit(0)) < DISTRACTORS, "fewer_than_three_disjoint_distractor_groups").otherwise("")
     state = state.select("key", "m", why.alias("reason"))
     rows = own.select("key", "grp", F.lit(True).alias("is_gold"), "pts").join(state, "key")
     rows = rows.unionByName(others.join(state, "key").select("key", (F.col("m") + F.col("k")).cast("int").alias("grp"), F.lit(False).alias("is_gold"), "pts", "m", "reason"))

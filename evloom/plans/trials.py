@@ -12,7 +12,7 @@ from ..operators import ledger as lg
 from ..operators import packages as pk
 from ..operators import retrieval as rt
 from ..session import settled, table
-from .catalogue import BOOT, COS, MASKS, ORACLE, RESULTS, T, asked, clusters, dim_of, events, masks, planned, query, results, scored, vectors
+from .catalogue import COS, MASKS, ORACLE, RESULTS, T, asked, dim_of, events, masks, planned, query, results, scored, vectors
 
 # Interventions: users' purchases close together as evidence, all their events as frames
 
@@ -25,12 +25,11 @@ o{n} AS (SELECT o.key, o.run, lo, hi FROM o{k} o JOIN p{k} p ON p.key = o.key WH
   UNION ALL SELECT o.key, o.run, b + 1, hi FROM o{k} o JOIN p{k} p ON p.key = o.key AND o.run = p.run AND a >= lo AND b <= hi WHERE hi - b >= 4)"""
 _NAME = "substring(sha256('17:' || key || ':' || list_aggregate(list_transform(pts, lambda p: round(p * 1e6)::BIGINT::VARCHAR), 'string_agg', ',')), 1, 16)"
 BUILT = f"""
-ga AS (SELECT user_id, {T} AS s, {T} + 129600 AS e FROM events WHERE event_type = 'purchase'),
+ga AS (SELECT user_id, {T} AS s, {T} + 129600 AS e FROM events WHERE event_type = 'purchase' AND value >= 60),
 gb AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM ga),
 gc AS (SELECT *, sum(CASE WHEN ahead IS NULL OR s >= ahead THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM gb),
 gd AS (SELECT user_id AS key, min(s) AS s, max(e) AS e FROM gc GROUP BY user_id, island),
-ge AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY e - s DESC, s) AS j FROM gd),
-gx AS (SELECT key, s, e, row_number() OVER (PARTITION BY key ORDER BY s) - 1 AS grp, count(*) OVER (PARTITION BY key) AS m FROM ge WHERE j <= 2 + key % 3),
+gx AS (SELECT key, s, e, row_number() OVER (PARTITION BY key ORDER BY s) - 1 AS grp, count(*) OVER (PARTITION BY key) AS m FROM gd),
 pl AS (SELECT key, max(m) AS m, quantile_cont(e - s, 0.5) AS span FROM gx GROUP BY key),
 fr AS (SELECT DISTINCT user_id AS key, {T} AS t FROM events),
 fl AS (SELECT fr.key, t, grp FROM fr JOIN pl ON fr.key = pl.key LEFT JOIN gx ON gx.key = fr.key AND t >= s AND t < e),
@@ -44,7 +43,7 @@ ca AS (SELECT key, run, pos AS a, t AS ta, span, unnest(list_distinct([greatest(
 cb AS (SELECT ca.key, ca.run, a, b, abs(fc.t - ta - ca.span) AS dev, sha256('17:' || ca.key || ':' || round(ta * 1e6)::BIGINT || ':' || round(fc.t * 1e6)::BIGINT) AS tie FROM ca JOIN fc ON fc.key = ca.key AND fc.run = ca.run AND fc.pos = b),
 o0 AS (SELECT key, run, 0 AS lo, max(n) - 1 AS hi FROM fc GROUP BY key, run),{",".join(_ROUND.format(k=k, n=k + 1, still=2 - k) for k in range(3))},
 pk AS (FROM p0 UNION ALL FROM p1 UNION ALL FROM p2),
-st AS (SELECT pl.key, m, CASE WHEN m NOT BETWEEN 2 AND 4 THEN 'groups outside of 2 to 4' WHEN least < 4 THEN 'a group has fewer than four times' WHEN (SELECT count(*) FROM pk WHERE pk.key = pl.key) < 3 THEN 'fewer than three distractors' ELSE '' END AS reason FROM pl JOIN sh ON sh.key = pl.key),
+st AS (SELECT pl.key, m, CASE WHEN m NOT BETWEEN 2 AND 4 THEN 'merged_group_count_outside_2_to_4' WHEN least < 4 THEN 'evidence_group_has_fewer_than_four_distinct_pts' WHEN (SELECT count(*) FROM pk WHERE pk.key = pl.key) < 3 THEN 'fewer_than_three_disjoint_distractor_groups' ELSE '' END AS reason FROM pl JOIN sh ON sh.key = pl.key),
 ot AS (SELECT pk.key, k, list(fc.t ORDER BY fc.t) AS pts FROM pk JOIN fc ON fc.key = pk.key AND fc.run = pk.run AND fc.pos IN (a, a + round((b - a) / 3.0), a + round(2 * (b - a) / 3.0), b) GROUP BY pk.key, k),
 al AS (SELECT gp.key, grp::INT AS grp, true AS is_gold, pts, reason FROM gp JOIN st ON st.key = gp.key UNION ALL SELECT ot.key, (m + k)::INT, false, pts, reason FROM ot JOIN st ON st.key = ot.key),
 bu AS (SELECT key, true AS built, reason, grp, is_gold, pts, {_NAME} AS group_id FROM al WHERE reason = '' UNION ALL SELECT key, false, reason, NULL, NULL, NULL, NULL FROM st WHERE reason <> '')"""
@@ -56,10 +55,9 @@ md AS (SELECT key, u.c AS condition, CASE WHEN u.c = 'Blind' THEN []::INT[] ELSE
 
 
 def built(spark, sf_dir):
+    """Evidence: the days after purchases of 60 or more, all of them; users with too little or too much of it get a reason."""
     e = events(spark, sf_dir)
-    merged = iv.merge(e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("s"), (F.col("t") + 129600).alias("e")), "user_id")
-    order = Window.partitionBy("user_id").orderBy(F.desc(F.col("e") - F.col("s")), "s")
-    gold = merged.withColumn("j", F.row_number().over(order)).where("j <= 2 + user_id % 3")
+    gold = iv.merge(e.where("event_type = 'purchase' and value >= 60").select("user_id", F.col("t").alias("s"), (F.col("t") + 129600).alias("e")), "user_id")
     return pk.packages(e.select("user_id", "t"), gold.select("user_id", "s", "e"), "user_id")
 
 
@@ -184,36 +182,6 @@ def outcomes_by_condition(spark, sf_dir):
     return d.groupBy("condition", "family", "place", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""
-WITH {RESULTS},
-q AS (SELECT l_orderkey, o_custkey, o_custkey % 4 AS m, list(status ORDER BY l_linenumber) AS st, list(verdict ORDER BY l_linenumber) AS ve, list(score ORDER BY l_linenumber) AS s, bool_and(citations_legal) AS legal FROM al WHERE l_linenumber <= 6 GROUP BY ALL),
-v AS (SELECT *, m >= 2 AND len(list_filter(st, lambda x: x <> 'complete')) = 0 AS valid FROM q)
-SELECT l_orderkey, m AS num_gold_groups, valid AS valid_pair,
-  list_concat(CASE WHEN m < 2 THEN ['fewer_than_two_event_groups'] ELSE [] END, list_sort(list_distinct(list_filter(st, lambda x: x <> 'complete')))) AS invalid_reasons,
-  CASE WHEN valid THEN s[1] - (s[2] + s[3]) / 2.0::DOUBLE END AS delta_key, CASE WHEN valid THEN s[1] - (s[4] + s[5]) / 2.0::DOUBLE END AS delta_irrel, CASE WHEN valid THEN s[1] - s[6] END AS full_minus_blind,
-  valid AND s = [1, 0, 0, 1, 1, 0] AND legal AND len(list_filter(ve, lambda x: coalesce(x, '') NOT IN ('correct', 'incorrect'))) = 0 AS candidate FROM v""")
-def pair_reports(spark, sf_dir):
-    """Each question's intervention: whether it counts, why not, and its differences."""
-    rows = scored(spark, sf_dir).where("l_linenumber <= 6").withColumn("m", F.col("o_custkey") % 4)
-    return ev.pair_report(rows, "l_orderkey", "l_linenumber", "m").withColumnRenamed("m", "num_gold_groups")
-
-
-@query(f"""
-WITH {BOOT}, {RESULTS},
-me AS (SELECT l_orderkey, o_custkey, ['R0', 'R1', 'R2', 'R*'][l_linenumber] AS method, score, citations_legal, status <> 'missing' AS known, o_custkey * 0 + l_orderkey % 700 + CASE WHEN l_linenumber = 3 THEN 20 ELSE 0 END AS tokens FROM al WHERE l_linenumber <= 4),
-w AS (SELECT l_orderkey, o_custkey, max(score) FILTER (method = 'R2') - max(score) FILTER (method = 'R1') AS d, max(score) FILTER (method = 'R2') - max(score) FILTER (method = 'R0') AS z FROM me GROUP BY ALL),
-g AS (SELECT count(*) AS n, avg(d) AS difference, avg(z) AS less_r0, sum(d)::BIGINT AS net, count(DISTINCT CASE WHEN d > 0 THEN o_custkey END) AS gain_clusters FROM w),
-k AS (SELECT avg(tokens) FILTER (method = 'R1') AS a, avg(tokens) FILTER (method = 'R2') AS b, count_if(NOT known AND method IN ('R1', 'R2')) = 0 AS complete FROM me)
-SELECT n, round(difference, 9) AS difference, net, gain_clusters, round(abs(a - b) / least(a, b), 9) AS token_gap, complete AS cost_complete, difference >= 0.05 AND net >= 4 AND gain_clusters >= 3 AND less_r0 >= -0.02 AS signal,
-  complete AND abs(a - b) / least(a, b) <= 0.05 AS token_fairness, (SELECT quantile_cont(estimate, 0.025) > 0 FROM es) AS interval_positive FROM g, k""")
-def method_gates(spark, sf_dir):
-    method = F.element_at(F.array(*[F.lit(m) for m in ("R0", "R1", "R2", "R*")]), F.col("l_linenumber"))
-    rows = scored(spark, sf_dir).where("l_linenumber <= 4").select("l_orderkey", "o_custkey", method.alias("method"), "score", (F.col("status") != "missing").alias("known"), (F.col("l_orderkey") % 700 + F.when(F.col("l_linenumber") == 3, 20).otherwise(0)).alias("tokens"))
-    gates = ev.method_gates(rows, "l_orderkey", "o_custkey")
-    interval = ev.interval95(ev.bootstrap_hash(clusters(spark, sf_dir), "c_nationkey", 500)).select((F.col("low") > 0).alias("interval_positive"))
-    return gates.join(F.broadcast(interval))  # one row each
-
-
 # Ledgers: lines of an order as one ledger's requests
 
 CAPS = lg.Caps(request_tokens=4000, method_tokens=2500, physical={"total": 3, "core": 2, "E3": 1, "D0": 1, "RESERVE": 1})

@@ -27,9 +27,9 @@ def plainly(key, ts, gold, seed=17):
     inside = lambda t: any(s <= t < e for s, e in gold)
     own = [[t for t in ts if s <= t < e] for s, e in sorted(gold)]
     if not 2 <= len(gold) <= 4:
-        return "groups outside of 2 to 4", []
+        return "merged_group_count_outside_2_to_4", []
     if any(len(x) < 4 for x in own):
-        return "a group has fewer than four times", []
+        return "evidence_group_has_fewer_than_four_distinct_pts", []
     span = statistics.median(e - s for s, e in gold)
     runs, out = {}, [four(x) for x in own]
     for n, t in enumerate(ts):
@@ -60,7 +60,7 @@ def plainly(key, ts, gold, seed=17):
                 out.append(four(runs[r][a : b + 1]))
                 break
         else:
-            return "fewer than three distractors", []
+            return "fewer_than_three_disjoint_distractor_groups", []
     return "", out
 
 

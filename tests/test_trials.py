@@ -117,19 +117,6 @@ def test_a_short_pool_and_repeated_items_are_errors(spark):
         rt.topk(items, items.limit(1), 1, 2)
 
 
-def test_pair_reports(spark):
-    def unit(u, groups, scores, statuses=(), verdict="correct"):
-        return [(u, k + 1, groups, statuses[k] if statuses else "complete", verdict if s else "incorrect", s, True) for k, s in enumerate(scores)]
-
-    rows = unit("a", 2, [1, 0, 0, 1, 1, 0]) + unit("b", 1, [1, 0, 0, 1, 1, 0]) + unit("c", 2, [1, 0, 0, 1, 1, 0], ["complete", "missing"] + ["complete"] * 4) + unit("d", 3, [1, 1, 0, 1, 0, 1])
-    df = spark.createDataFrame(rows, "u string, place int, m int, status string, verdict string, score int, citations_legal boolean")
-    got = {r.u: r for r in ev.pair_report(df, "u", "place", "m").collect()}
-    assert (got["a"].valid_pair, got["a"].candidate, got["a"].delta_key, got["a"].delta_irrel, got["a"].full_minus_blind) == (True, True, 1.0, 0.0, 1)
-    assert (got["b"].invalid_reasons, got["b"].delta_key) == (["fewer_than_two_event_groups"], None)
-    assert (got["c"].invalid_reasons, got["c"].candidate) == (["missing"], False)
-    assert (got["d"].valid_pair, got["d"].candidate, got["d"].delta_key, got["d"].full_minus_blind) == (True, False, 0.5, 0)
-
-
 def test_scalars(spark):
     df = spark.createDataFrame([("Key-2", 1.0, [3, 1, 3], [1, 3], 42, "0f"), ("Full", -1.0, [1], [1, 2], 7, "00")], "c string, d double, a array<int>, b array<int>, n int, h string")
     got = df.select(
