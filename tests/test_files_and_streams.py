@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evloom.functions import model_json
-from evloom.plans import catalogue, experiments, reports, streams, trials  # noqa: F401
+from evloom.plans import catalogue, experiments, reports, sources, streams, trials  # noqa: F401
 from evloom.sources import files
 from evloom.streaming import windows
 

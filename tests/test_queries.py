@@ -13,7 +13,7 @@ import duckdb
 import pytest
 
 from evloom import session
-from evloom.plans import catalogue, experiments, reports, streams, trials  # noqa: F401
+from evloom.plans import catalogue, experiments, reports, sources, streams, trials  # noqa: F401
 
 
 def plain(v):
