@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..session import settled
+from .intervals import capped_cover
 
 #: Bytes of query vectors that go to every task at a time, and of scores that a task computes at a time.
 QUERY_BYTES, SCORE_BYTES = 16 << 20, 32 << 20
@@ -85,6 +87,35 @@ def plain_and_refined(items: DataFrame, first: DataFrame, refined: DataFrame, di
     return lists.select("method", "question", F.col("l.item_id").alias("ids"))
 
 
+def four_methods(items: DataFrame, questions: DataFrame, gaps: DataFrame, masks: Callable[[DataFrame], DataFrame], dim: int, n_groups: int, store: int = 32, cap: int = 6) -> DataFrame:
+    """method, question, ids of R0 (the `cap` nearest items), R1 (three, and three others that are nearest to
+    the question's first gap), R2 (three, and the complementary set for all its gaps) and R* (the smallest cover
+    of the known groups within the `store` nearest, filled up by relevance).
+
+    questions: (id, v); gaps: (id, v, question), of which the question itself may be one. Neither the question
+    nor a gap of it answers it. masks: gives (question, item_id, rank, mask) for (question, item_id, rank),
+    the groups as bits.
+    """
+    asks = gaps.select(F.col("id").alias("query_id"), "question")
+    whose = asks.unionByName(questions.select(F.col("id").alias("query_id"), F.col("id").alias("question"))).distinct()
+    own = whose.join(whose.select(F.col("query_id").alias("item_id"), "question"), "question")
+    near = settled(topk(items, questions.select("id", "v"), store, dim, own.where("query_id = question").select("query_id", "item_id")).select(F.col("query_id").alias("question"), "item_id", "rank"), "store")
+    three = near.where("rank <= 3")
+    taken = own.select("query_id", "item_id", "question").join(asks, ["query_id", "question"], "left_semi").select("query_id", "item_id")
+    taken = taken.unionByName(three.join(asks, "question").select("query_id", "item_id")).distinct()
+    more = settled(topk(items, gaps.select("id", "v"), 6, dim, taken), "gaps")
+    first = gaps.where("id <> question").groupBy("question").agg(F.min("id").alias("query_id"))
+    extra = more.join(first, "query_id").where("rank <= 3").select("question", "item_id", (F.col("rank") + 3).alias("rank"))
+    rows = near.where(F.col("rank") <= cap).withColumn("method", F.lit("R0")).unionByName(three.unionByName(extra).withColumn("method", F.lit("R1")))
+    set_of = complement(pool(more, asks.withColumnRenamed("question", "group_id"), items, gaps.select("id", "v")))
+    joint = set_of.select(F.col("group_id").alias("question"), F.posexplode("ids").alias("place", "item_id")).select("question", "item_id", (F.col("place") + 4).alias("rank"))
+    rows = rows.unionByName(three.unionByName(joint).withColumn("method", F.lit("R2")))
+    lists = rows.groupBy("method", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l")).select("method", "question", F.col("l.item_id").alias("ids"))
+    held = settled(masks(near), "masks")
+    best = capped_cover(held.select("question", "item_id", "mask"), held.select("question", "item_id", "rank"), "question", "item_id", n_groups, cap)
+    return lists.unionByName(best.select(F.lit("R*").alias("method"), "question", "ids"))
+
+
 def pool(near: DataFrame, members: DataFrame, items: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:
     """group_id, item_id, v, sims: up to `most` items of a group's candidates by greatest relevance.
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import experiments as ex
+from ..operators import retrieval as rt
 from ..session import settled, table
-from .catalogue import RESULTS, query
+from .catalogue import POOL, RESULTS, asked, dim_of, query, vectors
 
 DRAWS = 500
 ROWS = f"""
@@ -163,3 +164,49 @@ def method_gates(spark, sf_dir):
     gates = ev.method_gates(rows.select("q", "cluster", "method", "score", (F.col("status") != "missing").alias("known"), F.col("logical_tokens").alias("tokens")), "q", "cluster")
     found = ex.resampled(ex.side_by_side(rows, "q"), "cluster", {"R2-R1": ex.contrasts()["R2-R1"]}, DRAWS).select(F.col("positive").alias("interval_positive"))
     return gates.join(F.broadcast(found))  # one row each
+
+
+# Questions: the ids divisible by 100; a question's gaps are itself and the id 50 behind it
+
+GAPS = POOL.replace("FROM n WHERE rank <= 6)", "FROM n2 WHERE rank <= 6)").replace(
+    "g AS (SELECT DISTINCT",
+    """in3 AS MATERIALIZED (SELECT query_id, item_id, rank FROM n WHERE query_id % 100 = 0 AND rank <= 3),
+n2 AS MATERIALIZED (SELECT n.query_id, n.item_id, row_number() OVER (PARTITION BY n.query_id ORDER BY n.rank) AS rank FROM n WHERE NOT EXISTS (SELECT 1 FROM in3 WHERE in3.query_id // 100 = n.query_id // 100 AND in3.item_id = n.item_id)),
+g AS (SELECT DISTINCT""",
+)
+MASK = "(CASE WHEN e.label = a.label THEN 1 ELSE 0 END | CASE WHEN e.label = (a.label + 3) % 10 THEN 2 ELSE 0 END | CASE WHEN e.label = (a.label + 6) % 10 THEN 4 ELSE 0 END)"
+
+
+@query(f"""
+WITH {GAPS},
+mk AS MATERIALIZED (SELECT query_id AS q, item_id, rank, {MASK} AS mask FROM n JOIN embeddings e ON e.vec_id = item_id JOIN embeddings a ON a.vec_id = query_id WHERE query_id % 100 = 0 AND rank <= 32),
+c1 AS MATERIALIZED (SELECT q, mask, min(item_id) AS id FROM mk WHERE mask > 0 GROUP BY ALL),
+s0 AS (SELECT DISTINCT q, []::BIGINT[] AS ids, 0 AS mask FROM mk),
+s1 AS (SELECT q, [id] AS ids, mask FROM c1),
+s2 AS MATERIALIZED (SELECT s.q, list_append(ids, id) AS ids, s.mask | c.mask AS mask FROM s1 s JOIN c1 c ON s.q = c.q AND id > ids[-1]),
+s3 AS MATERIALIZED (SELECT s.q, list_append(ids, id) AS ids, s.mask | c.mask AS mask FROM s2 s JOIN c1 c ON s.q = c.q AND id > ids[-1]),
+bc AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bit_count(mask) DESC, len(ids), ids) AS r FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2 UNION ALL FROM s3)) WHERE r = 1),
+fl AS (SELECT bc.q, mk.item_id, row_number() OVER (PARTITION BY bc.q ORDER BY mk.rank) AS r FROM bc JOIN mk ON mk.q = bc.q AND NOT list_contains(bc.ids, mk.item_id)),
+ml AS (SELECT 'R0' AS method, query_id AS q, list(item_id ORDER BY rank) AS ids FROM n WHERE query_id % 100 = 0 AND rank <= 6 GROUP BY ALL
+  UNION ALL SELECT 'R1', q, list(item_id ORDER BY rank) FROM (SELECT query_id AS q, item_id, rank FROM in3 UNION ALL SELECT query_id - 50, item_id, rank + 3 FROM n2 WHERE query_id % 100 = 50 AND rank <= 3) GROUP BY q
+  UNION ALL SELECT 'R2', i.q, list_concat(i.ids, o.ids) FROM (SELECT query_id AS q, list(item_id ORDER BY rank) AS ids FROM in3 GROUP BY q) i
+    JOIN (SELECT group_id * 100 AS q, ids, row_number() OVER (PARTITION BY group_id ORDER BY cover - 0.2 * red DESC, ids) AS r FROM t) o ON o.q = i.q AND o.r = 1
+  UNION ALL SELECT 'R*', bc.q, list_concat(any_value(bc.ids), coalesce(list(fl.item_id ORDER BY fl.r) FILTER (fl.r <= 6 - len(bc.ids)), [])) FROM bc LEFT JOIN fl ON fl.q = bc.q GROUP BY bc.q),
+cv AS (SELECT method, q, bit_or({MASK}) AS covered FROM (SELECT method, q, unnest(ids) AS item_id FROM ml) x JOIN embeddings e ON e.vec_id = x.item_id JOIN embeddings a ON a.vec_id = x.q GROUP BY ALL)
+SELECT ml.method, ml.q AS question, ml.ids, cv.covered::INT AS covered, cv.covered = 7 AS access FROM ml JOIN cv ON cv.method = ml.method AND cv.q = ml.q""")
+def four_methods(spark, sf_dir):
+    """R0, R1, R2 and R* side by side, and whether what each reads covers its question's three groups (labels)."""
+    q = asked(spark, sf_dir)
+    questions = q.where("id % 100 = 0")
+    gaps = q.withColumn("question", F.col("id") - F.col("id") % 100).join(questions.select(F.col("id").alias("question")), "question")
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+
+    def masks(rows):
+        met = rows.join(labels.select(F.col("vec_id").alias("item_id"), F.col("label").alias("e")), "item_id").join(labels.select(F.col("vec_id").alias("question"), F.col("label").alias("a")), "question")
+        bits = [F.when(F.col("e") == (F.col("a") + 3 * j) % 10, 1 << j).otherwise(0) for j in range(3)]
+        return met.select("question", *[c for c in rows.columns if c != "question"], bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("mask"))
+
+    chosen = settled(rt.four_methods(vectors(spark, sf_dir), questions, gaps, masks, dim_of(spark, sf_dir), 3), "chosen")
+    read = chosen.select("method", "question", F.explode("ids").alias("item_id"))
+    covered = masks(read).groupBy("method", "question").agg(F.bit_or("mask").alias("covered"))
+    return chosen.join(covered, ["method", "question"]).withColumn("access", F.col("covered") == 7)
