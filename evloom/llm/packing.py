@@ -38,11 +38,11 @@ SEGMENTS = "block long, q long, p long, row_id long, doc_id long, start long, do
 #: What sequences() gives: the ids of each piece, and the row that they are from.
 SEQUENCES = "row_id long, doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: With more sources than this, those without a weight of their own share so many queues, by crc32 of their name.
+#: Queues whose places in a block are worked out at a time.
 QUEUES = 4096
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, queues: int, named: set[str]) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """A row for each document: its number, task, queue, the tokens before it in this task's part of the queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +54,6 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, queues: int, named:
             for part in slices(batch, most=8 << 20):
                 ids, n = enc.ended(part.column("text"), end_id)
                 queue = ["" if q is None else "=" + q for q in part.column("queue").to_pylist()]
-                if queues:
-                    queue = [q if q[1:] in named else f"#{zlib.crc32(q.encode()) % queues}" for q in queue]
                 at = []
                 for q, k in zip(queue, n.tolist(), strict=True):
                     at.append(before[q])
@@ -120,17 +118,24 @@ class Deal:
 
 def stretches(deal: Deal, block: int, grain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What serves the block, in order: queue, from and to (tokens of the queue). Every queue is served
-    once a window; one with a share under `grain` when it has so many, at a time of its own."""
+    once a window; one with a share under `grain` when it has so many, at a time of its own. Only queues
+    with tokens in this block are looked at, so many at a time, however many there are."""
     first = block * deal.windows
     count = min(deal.windows, -(-(deal.everything - first * deal.size) // deal.size))
-    every = np.arange(len(deal.total))
-    upto = deal.taken(every[:, None], np.arange(first, first + count + 1)[None, :])
-    few = np.nonzero(upto[:, -1] - upto[:, 0] < grain * count)[0]
-    turn = (every[few] * 0.6180339887 % 1 * grain).astype(np.int64)[:, None]
-    upto[few, 1:-1] = np.clip((upto[few, 1:-1] + turn) // grain * grain, upto[few, :1], upto[few, -1:])
-    lo, hi = upto[:, :-1].T.ravel(), upto[:, 1:].T.ravel()
-    some = hi > lo
-    return np.tile(every, count)[some], lo[some], hi[some]
+    every, w = np.arange(len(deal.total)), np.arange(first, first + count + 1)
+    live = np.nonzero(deal.taken(every, np.full(len(every), first + count)) > deal.taken(every, np.full(len(every), first)))[0]
+    parts = [tuple(np.zeros(0, np.int64) for _ in range(4))]
+    for at in range(0, len(live), QUEUES):
+        own = live[at : at + QUEUES]
+        upto = deal.taken(own[:, None], w[None, :])
+        few = np.nonzero(upto[:, -1] - upto[:, 0] < grain * count)[0]
+        turn = (own[few] * 0.6180339887 % 1 * grain).astype(np.int64)[:, None]
+        upto[few, 1:-1] = np.clip((upto[few, 1:-1] + turn) // grain * grain, upto[few, :1], upto[few, -1:])
+        i, k = np.nonzero(upto[:, 1:] > upto[:, :-1])
+        parts.append((k, own[i], upto[i, k], upto[i, k + 1]))
+    k, q, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((q, k))
+    return q[order], lo[order], hi[order]
 
 
 def cut(rows: pa.RecordBatch, at: dict[str, int], deal: Deal, width: int) -> pa.RecordBatch:
@@ -191,9 +196,9 @@ def sequences(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int
 
     weights: target proportions by source (default: each source's share of all tokens; a source not
     named: 0, served when the others are dry; a negative one: an error). A window holds each target to
-    within `grain` tokens and one for each source, until a source is dry. Beyond QUEUES sources those
-    named in weights keep queues of their own; the others share queues, each in proportion to its
-    tokens. A document is its ids, then end_id. Every sequence but the last is full; the last is as
+    within `grain` tokens and one for each source, until a source is dry. Every source has a queue of its
+    own, whatever their number; its name, total and weight (some 100 bytes) stand on the driver and in
+    every task. A document is its ids, then end_id. Every sequence but the last is full; the last is as
     long as what is left, and padded to `size` by the reader unless its length is a power of two.
 
     Null text: the end id alone. Null id or source: passed on; a queue of its own. Repeated rows: each
@@ -204,16 +209,15 @@ def sequences(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int
         raise ValueError("a weight is negative")
     small_batches(docs.sparkSession)
     slim = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{queue_col}` as string) as queue", f"`{text_col}` as text")
-    many = docs.select(queue_col).distinct().limit(QUEUES + 1).count() > QUEUES
-    tokens = durable(tokenised(slim, tokenizer, end_id, QUEUES if many else 0, set(weights or {})), "packing", "zstd")
+    tokens = durable(tokenised(slim, tokenizer, end_id), "packing", "zstd")
     width = encoder(tokenizer).dtype.itemsize
 
     parts = durable(tokens.groupBy("task", "queue").agg(F.sum("n").alias("n")), "packing-parts")
     by_task = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offset = durable(parts.select("task", "queue", F.coalesce(F.sum("n").over(by_task), F.lit(0)).alias("base")), "packing-offsets")
-    found = sorted((r.queue, r.n) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # QUEUES rows and those with a weight, at most
+    found = sorted((r.queue, r.n) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # a row a source
     total = np.array([n for _, n in found], np.int64)
-    weight = total.astype(float) if weights is None else np.array([float(weights.get(q[1:], 0.0)) if q[:1] == "=" else 0.0 for q, _ in found])
+    weight = total.astype(float) if weights is None else np.array([float(weights.get(q[1:], 0.0)) if q else 0.0 for q, _ in found])
     deal = Deal(total, weight, size, windows)
     shared = docs.sparkSession.sparkContext.broadcast(({q: k for k, (q, _) in enumerate(found)}, deal))
 

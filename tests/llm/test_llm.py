@@ -535,7 +535,7 @@ def test_packing_holds_proportions_in_every_window(spark):
             assert all(abs(got[k][s] - rate[s] * 256) <= 16 + 3 for s in part)
 
 
-def test_packing_takes_more_sources_than_queues(spark, monkeypatch):
+def test_packing_takes_more_sources_than_queues_at_a_time(spark, monkeypatch):
     from evloom.llm import packing as P
 
     monkeypatch.setattr(P, "QUEUES", 40)
@@ -571,6 +571,27 @@ def test_packing_deals_to_thousands_of_sources():
         assert ((deal.taken(q, b * 64) <= p) & (p < deal.taken(q, (b + 1) * 64))).all()
 
 
+def test_ten_thousand_sources_keep_their_proportions():
+    """Each of them by itself, weighted or not, in blocks whose work stays small."""
+    rng = np.random.default_rng(9)
+    total = rng.integers(3_000, 6_000, 10_000)
+    for weight in (total.astype(float), rng.integers(1, 20, 10_000).astype(float)):
+        deal = Deal(total, weight, 1024, 512)
+        dry = (total / weight).min()  # until here all are served
+        seen, window = np.zeros(10_000), 0
+        for block in range(3):
+            q, lo, hi = stretches(deal, block, 16)
+            assert abs(int((hi - lo).sum()) - 512 * 1024) <= 10_000  # what rounding owes, a token a queue at most
+            ends = np.cumsum(hi - lo)
+            for w in range(127, 512, 128):
+                upto = int(np.searchsorted(ends, (w + 1) * 1024, "right"))
+                have = seen + np.bincount(q[:upto], (hi - lo)[:upto], 10_000)
+                t = (block * 512 + w + 1) * 1024 / weight.sum()
+                if t < dry:
+                    assert np.abs(have - t * weight).max() <= 16 + 2
+            seen += np.bincount(q, hi - lo, 10_000)
+
+
 def test_stretches_serve_every_token_once():
     rng = np.random.default_rng(3)
     for _ in range(60):
