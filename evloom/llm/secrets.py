@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
 One pass over whole texts finds the pattern spans and the candidates outside of them: runs of SHORT or
-more key characters with a digit or with letters of mixed case, of LONG or more letters, or with a key
-word before them. (A run of fewer letters of one case with no key word near is taken for a word.) The
-network slides over a whole candidate, in steps of STEP, and its largest score counts. It is trained
-on labels that don't come from what it scores: pattern spans as positives, also with foreign
-surroundings, so that the value itself must be recognised, and synthetic findings of both kinds. Its
-threshold is the highest that keeps the asked recall over all pattern spans of the data that are
-held back from training. Pattern spans always stay; the network adds spans of kind `cnn`.
+more key characters with a digit or with letters of mixed case, of four words or more joined by marks, or
+with a key word before them. (A run of letters of one case with no key word in the BEFORE characters before it
+is taken for a word, however long.) The network slides over a whole candidate, in steps of STEP, and its largest
+score counts. It is trained on labels that don't come from what it scores: pattern spans as positives, and
+made-up findings by family, secret (keys, tokens, passwords, passphrases behind key words) and clean (UUIDs,
+long words, names in camel case, hyphenated words, paths, images and so on). Its threshold is the highest
+that keeps the asked recall over all pattern spans of the data that are held back from training, and over
+each family of secrets apart from those it was fitted on. Pattern spans always stay; the network adds
+spans of kind `cnn`.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import logging
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,19 +35,21 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # whole runs, as [0-9a-f]+ gives them, of 24 or more
-#: The least characters of a candidate, and of one that is neither mixed nor behind a key word.
-SHORT, LONG = 6, 16
+#: The least characters of a candidate.
+SHORT = 6
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % SHORT)
-#: A digit, letters of mixed case (more than a capital in front), or many letters.
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][A-Z]+[a-z]|[A-Za-z]{%d}" % LONG)
+#: A digit, letters of mixed case (more than a capital in front), or four words or more joined by marks.
+MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][A-Z]+[a-z]|(?:[A-Za-z]+[-_.+=]){3}[A-Za-z]")
 KEY = re.compile(r"pass|pwd|secret|token|key|auth|cred|login|bearer", re.I)
 #: Characters of a window: before the candidate, of the candidate, behind it.
 BEFORE, OWN, BEHIND = 24, 40, 8
 WIDTH = BEFORE + OWN + BEHIND
 #: Characters between two windows of a candidate of more than OWN characters, and the windows scored at a time.
 STEP, SCORED = 8, 1 << 12
-#: Synthetic findings of either label.
-SYNTHETIC = 1500
+#: Synthetic findings of each family that the network is fitted on, and others that measure it.
+SYNTHETIC, APART = 320, 200
+#: The recall that the threshold keeps in each family of secrets.
+FAMILY_RECALL = 0.95
 #: Bins of the threshold's histogram, over log odds from -35 to 35.
 BINS = 7000
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base string, starts array<long>, ends array<long>, stretches array<string>, positive array<string>"
@@ -149,10 +153,10 @@ class Network:
     PARTS = ((0, BEFORE), (BEFORE, BEFORE + OWN), (BEFORE + OWN, WIDTH))
 
     @classmethod
-    def new(cls, seed: int = 11, dim: int = 8, filters: int = 24) -> Network:
+    def new(cls, seed: int = 11, dim: int = 8, filters: int = 40) -> Network:
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-        return cls(rng.normal(0, 0.3, (128, dim)), draw(cls.KERNEL * dim, filters), np.zeros(filters), draw(3 * filters), np.zeros(1))
+        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
+        return cls(rng.normal(0, 0.3, (128, dim)).astype(np.float32), draw(cls.KERNEL * dim, filters), np.zeros(filters, np.float32), draw(3 * filters), np.zeros(1, np.float32))
 
     def forward(self, x: np.ndarray) -> tuple:
         e = np.pad(self.embed[x], ((0, 0), (2, 2), (0, 0)))
@@ -198,7 +202,7 @@ class Network:
         dh *= h > 0
         dcols = dh @ self.conv.T
         dim = self.embed.shape[1]
-        de = np.zeros((len(x), WIDTH + 4, dim))
+        de = np.zeros((len(x), WIDTH + 4, dim), self.embed.dtype)
         for j in range(self.KERNEL):
             de[:, j : j + WIDTH] += dcols[:, :, j * dim : (j + 1) * dim]
         dembed = np.zeros_like(self.embed)
@@ -206,15 +210,31 @@ class Network:
         return [dembed, np.tensordot(cols, dh, ([0, 1], [0, 1])), dh.sum((0, 1)), pooled.T @ dz, np.array([dz.sum()])]
 
 
-def synthetic(n: int = SYNTHETIC, seed: int = 5) -> tuple[list[str], list[str]]:
-    """Windows of made-up secrets and of made-up names, numbers, dates, paths and words, n or more each."""
+#: Frequent letter groups of several languages, of which made-up long words consist.
+GROUPS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ung sch ein ich der ver gen ent ion tion ment ous ent que les des eur ais oir aux ado dad ción os las ar mente ñ ó é ü ä".split()
+#: Families of made-up findings, secret and clean, and of surroundings. Hexadecimal ones are shorter than the pattern's.
+SECRET = ("hex", "alnum", "base64", "letters", "one case", "upper and digits", "short", "leet", "passphrase")
+#: Secret behind a key word alone: anywhere else these are words.
+TOLD = ("one case", "short", "passphrase")
+CLEAN = ("number", "date", "version", "host", "url", "path", "camel", "long word", "capitals", "snake", "hyphens", "word and number", "uuid", "data image", "name")
+NAMED = ["pwd: ", "pass=", "pw ", "key = ", "key: '", "passphrase is ", "Bearer ", "auth ", "auth: ", "://u:", "://admin:", "login ", "login: ", "cred: ", 'private_key "', "pass phrase: "]
+USUAL = ["the key ", "a password is ", "login at ", "keys to ", "see ", "on ", "://", "@", "id ", "no. ", "(", "request ", "session id: ", "trace ", "", "", "", ""]
+
+
+def made_up(seed: int) -> dict[str, Callable[[], str]]:
+    """A maker of values for each family."""
     rng = random.Random(seed)
     pick = lambda k, a: "".join(rng.choice(a) for _ in range(k))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    onset = [*"bcdfghjklmnprstvwz", "", "", *"ch sch st sp tr br gr cl pl th wh qu pf tz kn".split()]
+    onset = [*"bcdfghjklmnprstvwz", "", "", *"ch sch st sp tr br gr cl pl th wh qu pf tz kn bl fl sl sm sn sw tw dr cr fr pr str scr thr spr sh".split()]
     vowel, coda = [*"aeiou" * 3, "y", *"ei ie ai ou au ea eu io".split()], ["", "", "", *"n r s t l ng nt st ch cht tz rt ss ll ment tion".split()]
-    word = lambda least=1, most=4: "".join(rng.choice(onset) + rng.choice(vowel) + rng.choice(coda) for _ in range(rng.randint(least, most)))
-    prose = lambda: " ".join(word() for _ in range(rng.randint(0, 6)))
+    ascii_groups = [g for g in GROUPS if g.isascii()]
+
+    def word(least: int = 1, most: int = 4) -> str:
+        if rng.random() < 0.4:
+            return "".join(rng.choice(ascii_groups) for _ in range(rng.randint(least, most) + 1))
+        return "".join(rng.choice(onset) + rng.choice(vowel) + rng.choice(coda) for _ in range(rng.randint(least, most)))
+
     number = lambda most: str(rng.randrange(10 ** rng.randint(1, most)))
 
     def leet() -> str:
@@ -223,44 +243,59 @@ def synthetic(n: int = SYNTHETIC, seed: int = 5) -> tuple[list[str], list[str]]:
             x[j] = {"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(x[j], x[j]) if rng.random() < 0.7 else x[j]
         return "".join(x) + number(3)
 
-    def secret() -> str:
-        return rng.choice([
-            lambda: pick(rng.choice([16, 18, 20, 32, 40, 64]), digits + "abcdef"), lambda: pick(rng.randint(14, 48), lower + upper + digits),
-            lambda: pick(rng.randint(20, 64), lower + upper + digits + "+/"), lambda: pick(rng.randint(16, 40), lower + upper),
-            lambda: pick(rng.randint(20, 40), rng.choice([lower, upper])), lambda: pick(rng.randint(16, 32), upper + digits),
-            lambda: pick(rng.randint(8, 14), lower + upper + digits), leet, leet,
-        ])()
-
     def path() -> str:
         return "/".join(word() + rng.choice(["", "", number(3), "-" + word(), "_" + word()]) for _ in range(rng.randint(1, 8)))
 
-    def other() -> str:
-        return rng.choice([
-            lambda: pick(rng.randint(6, 19), digits), lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
-            lambda: f"{number(3)}.{number(3)}.{number(6)}", lambda: f"{word()}{number(2)}.{word()}.{rng.choice(['com', 'org', 'net', 'de'])}",
-            lambda: f"www.{word()}.{word()}.com/{path()}", lambda: f"/{path()}.{word(1, 1)}", path, lambda: word(2).title() + word().title() + rng.choice(["", number(2)]),
-            lambda: word(3, 8), lambda: word(4, 7), lambda: word(4, 7).title() + rng.choice(["", ".", "-"]), lambda: word(3, 5).upper(), lambda: f"{word()}{number(2)}.{word(2)}.com", lambda: f"{word()}_{word()}_{number(3)}", lambda: f"{word(2)}-{number(4)}", lambda: word(2) + number(4), lambda: word(2).title() + rng.choice([".", "", "="]),
-        ])()
-
-    named = ["pwd: ", "pass=", "pw ", "key = ", "key: '", "passphrase is ", "Bearer ", "auth ", "://u:", "://admin:", "login ", "cred: ", "private_key \"", "", "", "", "", ""]
-    usual = ["the key ", "a password is ", "login at ", "keys to ", "see ", "on ", "://", "@", "id ", "no. ", "(", "", "", "", ""]
-    behind = ["", " ", "\n", "@", "'", "\"", ", ", ". ", "&", ")"]
-    out: tuple[list[str], list[str]] = ([], [])
-    while min(map(len, out)) < n:
-        own, lead, tail = secret(), "", ""
-        if rng.random() < 0.3:  # inside of a longer run
-            lead, tail = path() + rng.choice("/=_."), rng.choice(["", "/" + path()])
-        for label, value, head in ((0, lead + own + tail, rng.choice(named)), (1, other(), rng.choice(usual))):
+    def long_word() -> str:
+        x = word(5, 11)
+        while len(x) < 16:
+            x += word(2, 4)
+        return rng.choice([x, x, x.title(), x.upper()]) + rng.choice(["", "", ".", "-"])
+
+    hexes = lambda k: pick(k, digits + "abcdef")
+    return {
+        "hex": lambda: hexes(rng.randint(16, 23)), "alnum": lambda: rng.choice(["", "", "ghp_", "xoxb-", "sk_live_", "AIza", "eyJ"]) + pick(rng.randint(14, 48), lower + upper + digits),
+        "base64": lambda: pick(rng.randint(20, 64), lower + upper + digits + "+/") + rng.choice(["", "=", "=="]), "letters": lambda: pick(rng.randint(16, 40), lower + upper), "one case": lambda: pick(rng.randint(20, 40), rng.choice([lower, upper])),
+        "upper and digits": lambda: pick(rng.randint(16, 32), upper + digits), "short": lambda: pick(rng.randint(8, 14), lower + upper + digits), "leet": leet,
+        "passphrase": lambda: rng.choice("---_.").join(word(1, 3) for _ in range(rng.randint(4, 6))),
+        "number": lambda: pick(rng.randint(6, 19), digits), "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}" + rng.choice(["", f"T{rng.randint(10, 23)}"]), "version": lambda: f"{number(3)}.{number(3)}.{number(6)}",
+        "host": lambda: f"{word()}{number(2)}.{rng.choice(['', word(2) + '.'])}{word()}.{rng.choice(['com', 'org', 'net', 'de'])}", "url": lambda: f"www.{word()}.{word()}.com/{path()}", "path": lambda: rng.choice([path(), f"/{path()}.{word(1, 1)}"]),
+        "camel": lambda: rng.choice([word(1, 2), word(1, 2).title()]) + "".join(word(1, 2).title() for _ in range(rng.randint(1, 4))) + rng.choice(["", "", number(2)]), "long word": long_word, "capitals": lambda: word(3, 5).upper(),
+        "snake": lambda: "_".join(word(1, 2) for _ in range(rng.randint(2, 6))) + rng.choice(["", "_" + number(3)]), "hyphens": lambda: "-".join(word(1, 2) for _ in range(rng.randint(4, 6))), "word and number": lambda: rng.choice([word(2) + number(4), f"{word(2)}-{number(4)}"]),
+        "uuid": lambda: rng.choice([str.lower, str.lower, str.lower, str.upper])("-".join(hexes(k) for k in (8, 4, 4, 4, 12))), "data image": lambda: "iVBORw0KGgo" + pick(rng.randint(30, 90), lower + upper + digits + "+/"),
+        "name": lambda: word(2).title() + rng.choice([".", "", "=", "-" + word(2).title()]),
+    }
+
+
+def synthetic(n: int = SYNTHETIC, seed: int = 5) -> dict[str, list[str]]:
+    """n windows of each family of SECRET and CLEAN (of UUIDs and passphrases twice as many), in surroundings that fit: those of TOLD only
+    behind key words, images behind what names them."""
+    rng, value_of = random.Random(seed + 1), made_up(seed)
+    prose = lambda: " ".join(value_of["name"]().rstrip(".=").lower() for _ in range(rng.randint(0, 6)))
+    behind = ["", " ", "\n", "@", "'", '"', ", ", ". ", "&", ")"]
+    out: dict[str, list[str]] = {f: [] for f in (*SECRET, *CLEAN)}
+    for family, made in out.items():
+        clean = family in CLEAN
+        while len(made) < (2 * n if family in ("uuid", "passphrase") else n):
+            own, lead, tail = value_of[family](), "", ""
+            if not clean and family not in TOLD and rng.random() < 0.2:  # inside of a longer run
+                lead, tail = value_of["path"]() + rng.choice("/=_."), rng.choice(["", "/" + value_of["path"]()])
+            head = rng.choice(USUAL if clean else NAMED if family in TOLD else [*NAMED, *[""] * 8, *USUAL])
+            if family == "data image":
+                head = "data:image/png;base64,"
             front = f"{prose()}{rng.choice([' ', chr(10), ''])}{head}"
-            if rng.random() < 0.3:  # what the texts before and behind are must not matter either
+            if family not in (*TOLD, "data image") and rng.random() < 0.3:  # what the texts before and behind are must not matter either
                 front = "" if rng.random() < 0.5 else front[-rng.randint(0, 8) :]
+            value = lead + own + tail
             whole = stretch(f"{front}{value}{rng.choice(behind)}{prose()}", len(front), len(front) + len(value))
             at = places(len(whole))
-            if not label:
+            if not clean:
                 at = [i for i in at if i <= len(lead) and len(lead) + len(own) <= i + OWN] or [i for i in at if len(lead) <= i < len(lead) + len(own) - 8]
+            if family in (*TOLD, "data image"):
+                at = at[:1]
             if at:
                 i = rng.choice(at)
-                out[label].append(whole[i : i + WIDTH])
+                made.append(whole[i : i + WIDTH])
     return out
 
 
@@ -269,33 +304,27 @@ def held_out(w: str) -> bool:
     return zlib.crc32(w.encode("utf-8", "replace")) % 5 == 0
 
 
-def elsewhere(positive: list[str], others: list[str]) -> list[str]:
-    """The values in the surroundings of other windows, which a window's own hash chooses."""
-    of = [others[zlib.crc32(p.encode("utf-8", "replace")) // 5 % len(others)] for p in positive]
-    return [n[:BEFORE] + p[BEFORE : BEFORE + OWN] + n[-BEHIND:] for p, n in zip(positive, of, strict=True)]
-
-
-def train(positive: list[str], negative: list[str], *, recall: float = 0.98, epochs: int = 12, seed: int = 11) -> Network:
+def train(positive: list[str], negative: list[str], *, recall: float = 0.98, epochs: int = 14, seed: int = 11) -> Network:
     """A network from labelled windows. A fifth of them (by crc32) sets calibration and threshold."""
     net = Network.new(seed)
     if len(positive) < 10 or len(negative) < 10:
         return net  # nothing to learn from: adds nothing
     rng = np.random.default_rng(seed)
-    foreign = elsewhere(positive, negative)
-    every = [(w, 1, held_out(w)) for w in positive] + [(f, 1, held_out(w)) for f, w in zip(foreign, positive, strict=True)] + [(w, 0, held_out(w)) for w in negative]
-    x, y, out = codes([w for w, _, _ in every]), np.array([k for _, k, _ in every], float), np.array([h for _, _, h in every])
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    every = [(w, 1, held_out(w)) for w in positive] + [(w, 0, held_out(w)) for w in negative]
+    x, y, out = codes([w for w, _, _ in every]), np.array([k for _, k, _ in every], np.float32), np.array([h for _, _, h in every])
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())).astype(np.float32)
     fitted = np.nonzero(~out)[0]
     params = [net.embed, net.conv, net.conv_bias, net.out, net.out_bias]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        rate = 0.004 if epoch < 0.7 * epochs else 0.0012
         rng.shuffle(fitted)
         for lo in range(0, len(fitted), 64):
             at, t = fitted[lo : lo + 64], t + 1
             for k, g in enumerate(net.gradients(x[at], y[at], weight[at])):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
-                params[k] -= 0.004 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                params[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     z, yy = net.logits(x[out]), y[out]
     if not yy.any() or yy.all():
         return net
@@ -314,35 +343,37 @@ def train(positive: list[str], negative: list[str], *, recall: float = 0.98, epo
 
 
 def log_odds_bin(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-15, 1 - 1e-15)
+    p = np.clip(p.astype(float), 1e-15, 1 - 1e-15)
     return np.clip(np.floor((np.log(p / (1 - p)) + 35) * (BINS / 70)), 0, BINS - 1).astype(np.int64)
 
 
-def threshold(rows: DataFrame, net: Network, more: list[str], others: list[str], recall: float) -> float:
-    """The highest lower edge of a bin that keeps `recall` of all held-out positives: the table's, in
-    their own and in other surroundings, and `more`."""
-    shared = rows.sparkSession.sparkContext.broadcast((net, others))
+def threshold(rows: DataFrame, net: Network, apart: dict[str, list[str]], recall: float) -> float:
+    """The highest threshold that keeps `recall` of all held-out pattern spans of the table, as they stand, and
+    FAMILY_RECALL of each family of secrets in `apart`; for the table the lower edge of a bin."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, others = shared.value
         n = np.zeros(BINS, np.int64)
         for batch in batches:
             own = [w for ws in batch.column("positive").to_pylist() for w in ws if held_out(w)]
             for lo in range(0, len(own), SCORED):
-                part = own[lo : lo + SCORED]
-                n += np.bincount(log_odds_bin(net.probability(codes(part + elsewhere(part, others)))), minlength=BINS)
+                n += np.bincount(log_odds_bin(shared.value.probability(codes(own[lo : lo + SCORED]))), minlength=BINS)
         at = np.nonzero(n)[0]
         yield pa.record_batch([pa.array(at), pa.array(n[at])], ["bin", "n"])
 
     n = np.zeros(BINS, np.int64)
     for r in rows.select("positive").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
         n[r.bin] = r.n
-    own = [w for w in more if held_out(w)]
-    if own:
-        n += np.bincount(log_odds_bin(net.probability(codes(own))), minlength=BINS)
-    kept = np.cumsum(n[::-1])[::-1]
-    at = int(np.nonzero(kept >= recall * n.sum())[0].max()) if n.any() else BINS
-    return float(1 / (1 + np.exp(-(at * 70 / BINS - 35)))) if n.any() else 2.0
+    limits = [float(np.sort(net.probability(codes(apart[f])))[int((1 - FAMILY_RECALL) * len(apart[f]))]) for f in SECRET if apart.get(f)]
+    if n.any():
+        kept = np.cumsum(n[::-1])[::-1]
+        limits.append(float(1 / (1 + np.exp(-(int(np.nonzero(kept >= recall * n.sum())[0].max()) * 70 / BINS - 35)))))
+    return min(limits, default=2.0)
+
+
+def measured(net: Network, apart: dict[str, list[str]]) -> dict[str, float]:
+    """The share of each family over the threshold: recall of secrets, false alarms of the clean ones."""
+    return {f: float((net.probability(codes(ws)) >= net.threshold).mean()) for f, ws in apart.items() if ws}
 
 
 def sampled(windows: DataFrame, col: str, most: int) -> list[str]:
@@ -354,21 +385,21 @@ def sampled(windows: DataFrame, col: str, most: int) -> list[str]:
 def secrets(docs: DataFrame, *, sample: int = 4000, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT's columns for every row of `docs`.
 
-    sample: the most pattern spans that the network is fitted on (of about 100 bytes each); all
-    held-out ones set the threshold, and all candidates are scored, over their whole length. The
-    threshold keeps `recall` whatever that costs in precision, which is logged. Null or empty text: no
-    spans (base_sha256 of the empty string). Null id: passed on. Repeated rows: each scanned. Spans that
+    sample: the most pattern spans that the network is fitted on (of about 100 bytes each), beside made-up
+    findings; all held-out ones and made-up findings of each family set the threshold (threshold()), and
+    all candidates are scored, over their whole length. The threshold keeps its recall whatever that costs
+    in precision; the shares of clean families over it are logged. Null or empty text: no spans (base_sha256 of the empty string). Null id: passed on. Repeated rows: each scanned. Spans that
     start together: in the order of KINDS. A score equal to the threshold counts. Very long texts:
     whole, in time that grows with their length. Empty table: no rows. Other columns, whatever their
     names, are not read.
     """
     small_batches(docs.sparkSession)
     rows = durable(found(docs, id_col, text_col), "secrets")
-    positive, negative = synthetic()
-    net = train(sampled(rows, "positive", sample) + positive, negative, recall=recall)
-    net.threshold = threshold(rows, net, positive, negative, recall)
-    test = [w for w in negative if held_out(w)]
-    logging.getLogger(__name__).info("secrets: threshold %.4f, precision of held-out training windows %.4f at %.4f, synthetic clean ones over the threshold %.4f", net.threshold, net.precision, recall, (net.probability(codes(test)) >= net.threshold).mean())
+    fit, apart = synthetic(), synthetic(APART, seed=77)
+    of = lambda families: [w for f in families for w in fit[f]]
+    net = train(sampled(rows, "positive", sample) + of(SECRET), of(CLEAN), recall=recall)
+    net.threshold = threshold(rows, net, apart, recall)
+    logging.getLogger(__name__).info("secrets: threshold %.4f; over it, by family: %s", net.threshold, measured(net, apart))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -781,15 +781,46 @@ def test_threshold_covers_all_held_out_spans(spark):
     rng = random.Random(5)
     texts = [f"token={''.join(rng.choice('abcdefgh') for _ in range(8))} {words(rng, 3)}" for _ in range(400)]
     rows = secrets.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    _, clean = secrets.synthetic(50)
     net = secrets.Network.new(4)
     net.shift = -6.0  # every probability far under a half
-    own = [w for r in rows.collect() for w in r.positive if secrets.held_out(w)]
-    p = net.probability(secrets.codes(own + secrets.elsewhere(own, clean)))
+    p = net.probability(secrets.codes([w for r in rows.collect() for w in r.positive if secrets.held_out(w)]))
     for recall in (0.9, 0.98, 1.0):
-        t = secrets.threshold(rows, net, [], clean, recall)
+        t = secrets.threshold(rows, net, {}, recall)
         assert (p >= t).mean() >= recall > (p >= t * 1.011).mean() - 1e-9 or recall == 1.0
         assert t < 0.5
+    apart = secrets.synthetic(40, 3)
+    t = secrets.threshold(rows, net, apart, 0.5)
+    assert all((net.probability(secrets.codes(apart[f])) >= t).mean() >= 0.95 for f in secrets.SECRET)
+    assert secrets.threshold(rows.limit(0), net, {}, 0.9) > 1
+
+
+def test_families_apart_are_found_and_left_alone():
+    """A network fitted on made-up findings, on others of the same families that it has not seen."""
+    fit, apart = secrets.synthetic(), secrets.synthetic(300, 4321)
+    net = secrets.train([w for f in secrets.SECRET for w in fit[f]], [w for f in secrets.CLEAN for w in fit[f]])
+    measure = secrets.synthetic(secrets.APART, 77)
+    net.threshold = min(float(np.sort(net.probability(secrets.codes(measure[f])))[int(0.05 * secrets.APART)]) for f in secrets.SECRET)
+    got = secrets.measured(net, apart)
+    assert all(got[f] >= 0.9 for f in secrets.SECRET), got
+    assert np.mean([got[f] for f in secrets.SECRET]) >= 0.95
+    assert all(got[f] <= 0.06 for f in secrets.CLEAN), got
+    assert np.mean([got[f] for f in secrets.CLEAN]) <= 0.02
+
+
+LONG_WORDS = """internationalization incomprehensibilities counterrevolutionary misunderstandings electroencephalogram responsibilities Donaudampfschifffahrtsgesellschaft
+Rechtsschutzversicherung Geschwindigkeitsbegrenzung Freundschaftsbezeugungen Sehenswürdigkeiten anticonstitutionnellement malheureusement responsabilidades extraordinariamente desafortunadamente""".split()
+
+
+def test_passphrases_and_identifiers_as_they_stand(spark):
+    rng = random.Random(77)
+    word = lambda: rng.choice("correct horse battery staple window garden yellow silver thunder marble copper velvet".split())
+    uuid = lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12))
+    phrases = [f"{words(rng, 4)} auth: {'-'.join(word() for _ in range(4))} {words(rng, 3)}" for _ in range(40)]
+    clean = [f"{words(rng, 4)} request {uuid()} {words(rng, 3)}" for _ in range(40)] + [f"the state-of-the-art {word()} {word()}" for _ in range(20)] + [f"{words(rng, 3)} {w} {words(rng, 3)}" for w in LONG_WORDS]
+    got = secret_spans(spark, phrases + clean)
+    assert sum(map(bool, got[:40])) >= 36
+    assert sum(map(bool, got[40:80])) <= 4
+    assert sum(map(bool, got[80:])) <= 4
 
 
 def test_network_learns_and_keeps_recall():
