@@ -11,6 +11,19 @@ from ..session import settled, table
 from .catalogue import POOL, RESULTS, asked, dim_of, query, vectors
 
 DRAWS = 500
+
+
+def rounded(df, names):
+    """Means and intervals to nine places, so that the order of sums doesn't show."""
+    return df.withColumns({c: F.round(c, 9) for c in names})
+
+
+def sql_rounded(names: list[str]) -> str:
+    return f"* REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in names)})"
+
+
+REPORT = ["paired_full_accuracy", "mean_delta_key", "mean_delta_irrel", "d", "d_low", "d_high", "d_decided", "full_minus_blind", "full_minus_blind_low", "full_minus_blind_high"]
+BOUNDS = ["estimate", "low", "high"]
 ROWS = f"""
 {RESULTS},
 rs AS (SELECT l_orderkey AS q, l_linenumber AS ln, CASE m[6] WHEN 'F' THEN 'complete' ELSE 'failed' END AS status, CASE m[5] WHEN 'A' THEN 'correct' WHEN 'R' THEN 'incorrect' ELSE 'uncertain' END AS verdict, m[4]::DOUBLE AS qty FROM u)"""
@@ -86,10 +99,10 @@ n AS (SELECT count(*) AS n_planned, count_if(construction_available)::BIGINT AS
 z AS (SELECT n.*, p0.estimate AS d, e0.low AS d_low, e0.high AS d_high, p1.estimate AS d_decided, p2.estimate AS full_minus_blind, e2.low AS full_minus_blind_low, e2.high AS full_minus_blind_high
   FROM n, (FROM pt WHERE k = 0) p0, (FROM es WHERE k = 0) e0, (FROM pt WHERE k = 1) p1, (FROM pt WHERE k = 2) p2, (FROM es WHERE k = 2) e2),
 j AS (SELECT *, coalesce(d >= 0.15 AND n_confirmed >= greatest(12, ceil(0.15 * n_planned)) AND confirmed_clusters >= 6, false) AS joint_signal FROM z)
-SELECT *, n_available >= 60 AND available_clusters >= 15 AS standard_sample, n_valid >= 36 AND valid_clusters >= 10 AS valid_intervention_count, coalesce(paired_full_accuracy >= 0.6 AND full_minus_blind >= 0.15, false) AS consumer_visual_entry,
+SELECT {sql_rounded(REPORT)}, n_available >= 60 AND available_clusters >= 15 AS standard_sample, n_valid >= 36 AND valid_clusters >= 10 AS valid_intervention_count, coalesce(paired_full_accuracy >= 0.6 AND full_minus_blind >= 0.15, false) AS consumer_visual_entry,
   joint_signal AND n_confirmed >= ceil(0.3 * n_planned) AS strong_joint_signal FROM j""")
 def intervention_report(spark, sf_dir):
-    return ex.intervention_report(settled(pairs(spark, sf_dir), "pairs"), DRAWS)
+    return rounded(ex.intervention_report(settled(pairs(spark, sf_dir), "pairs"), DRAWS), REPORT)
 
 
 # Methods: the first four lines
@@ -129,15 +142,15 @@ SELECT method, count(*) AS n_planned, sum(score)::BIGINT AS n_correct, avg(score
   count_if(coalesce(verdict = 'uncertain', false)) / count(*) AS uncertain_rate, avg(score) FILTER (verdict IS DISTINCT FROM 'uncertain') AS accuracy_decided, count_if(verdict IS DISTINCT FROM 'uncertain')::BIGINT AS n_decided,
   count_if(access)::BIGINT AS n_access_ann, avg(access::INT) AS access_ann, count_if(unknown)::BIGINT AS n_unknown_access_ann, avg(access::INT) FILTER (feasible) AS access_ann_feasible, count_if(coalesce(feasible, false))::BIGINT AS n_feasible_denominator,
   avg(score * (access AND legal)::INT) AS j_ann, count(tokens) AS n_known_costs, avg(tokens) AS mean_logical_tokens, sum(tokens)::DOUBLE AS total_logical_tokens_known, sum(calls)::DOUBLE AS total_logical_calls_known,
-  coalesce(sum(tokens) FILTER (latency > 0.5), 0)::DOUBLE AS total_physical_tokens_known, sum(calls)::DOUBLE AS total_physical_calls_known, avg(latency) AS mean_latency_s_known FROM mr GROUP BY method""")
+  coalesce(sum(tokens) FILTER (latency > 0.5), 0)::DOUBLE AS total_physical_tokens_known, sum(calls)::DOUBLE AS total_physical_calls_known, round(avg(latency), 9) AS mean_latency_s_known FROM mr GROUP BY method""")
 def method_table(spark, sf_dir):
-    return ex.method_table(method_rows(spark, sf_dir))
+    return rounded(ex.method_table(method_rows(spark, sf_dir)), ["mean_latency_s_known"])
 
 
-@query(f"WITH {CONTRASTS} SELECT * FROM co")
+@query(f"WITH {CONTRASTS} SELECT {sql_rounded(BOUNDS)} FROM co")
 def method_contrasts(spark, sf_dir):
     """Five differences of methods with intervals from one resampling."""
-    return ex.method_contrasts(method_rows(spark, sf_dir), "q", DRAWS)
+    return rounded(ex.method_contrasts(method_rows(spark, sf_dir), "q", DRAWS), BOUNDS)
 
 
 @query(f"""
@@ -145,12 +158,12 @@ WITH {CONTRASTS},
 n AS (SELECT count(DISTINCT q) AS n_planned, count(DISTINCT CASE WHEN feasible THEN q END) AS n_feasible, count(DISTINCT CASE WHEN feasible THEN cluster END) AS feasible_clusters, count(DISTINCT CASE WHEN feasible IS NULL THEN q END) AS n_unknown_feasibility,
   avg(tokens) FILTER (method = 'R1') AS t1, avg(tokens) FILTER (method = 'R2') AS t2, count_if(method IN ('R1', 'R2') AND tokens IS NULL) = 0 AND count(*) > 0 AS cost_complete,
   count_if(coalesce(tokens, 0) > 12288 OR coalesce(calls, 0) > CASE WHEN method IN ('R1', 'R2') THEN 2 ELSE 1 END)::BIGINT AS budget_violations FROM mr),
-g AS (SELECT *, CASE WHEN cost_complete AND t1 <> 0 AND t2 <> 0 THEN abs(t2 - t1) / least(t1, t2) END AS token_gap FROM n)
+g AS (SELECT *, CASE WHEN cost_complete AND t1 <> 0 AND t2 <> 0 THEN round(abs(t2 - t1) / least(t1, t2), 9) END AS token_gap FROM n)
 SELECT n_planned, n_feasible, feasible_clusters, n_unknown_feasibility, cost_complete, budget_violations, token_gap, coalesce(token_gap <= 0.05, false) AS token_fairness,
   n_feasible >= 24 AND feasible_clusters >= 8 AND sp.estimate >= 0.1 AND sp.net >= 4 AS read_space, m.estimate >= 0.05 AND m.net >= 4 AND m.gain_clusters >= 3 AND ac.estimate >= 0.1 AND z.estimate >= -0.02 AS combination_signal, m.positive AS interval_positive
 FROM g, (FROM co WHERE name = 'R2-R1') m, (FROM co WHERE name = 'R*-R1 feasible') sp, (FROM co WHERE name = 'access R2-R1 feasible') ac, (FROM co WHERE name = 'R2-R0') z""")
 def method_report(spark, sf_dir):
-    return ex.method_report(method_rows(spark, sf_dir), "q", DRAWS)
+    return rounded(ex.method_report(method_rows(spark, sf_dir), "q", DRAWS), ["token_gap"])
 
 
 @query(f"""
