@@ -14,7 +14,6 @@ import pytest
 
 from evloom.llm import decontamination as dc
 from evloom.llm import prefix_trie as pt
-from evloom.llm import queries
 from evloom.llm import vector_codes as vc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -229,15 +228,3 @@ def test_vector_codes_refuse_and_leave_out(spark):
     for rows in ([(1, [0.0] * 7, 1)], [(1, [0.0] * 8, 1), (2, [0.0] * 16, 1)], [(1, [1e9] * 8, 1)]):
         with pytest.raises(Exception, match="component"):
             vc.vector_codes(spark.createDataFrame(rows, schema)).count()
-
-
-@pytest.mark.parametrize("name", ["op11_decontamination", "op12_prefix_trie", "op13_vector_codes"])
-def test_query_equals_sql(spark, sf_dir, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    df = queries.QUERIES[name](spark, sf_dir)
-    found = con.execute(queries.ORACLE[name])
-    names = [d[0] for d in found.description]
-    assert sorted(names) == sorted(df.columns)
-    assert sorted((tuple(r) for r in found.fetchall()), key=key) == sorted(map(tuple, df.select(*names).collect()), key=key)
