@@ -153,10 +153,10 @@ class Network:
     PARTS = ((0, BEFORE), (BEFORE, BEFORE + OWN), (BEFORE + OWN, WIDTH))
 
     @classmethod
-    def new(cls, seed: int = 11, dim: int = 8, filters: int = 40) -> Network:
+    def new(cls, seed: int = 11, dim: int = 8, filters: int = 40, kind: type = np.float32) -> Network:
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-        return cls(rng.normal(0, 0.3, (128, dim)).astype(np.float32), draw(cls.KERNEL * dim, filters), np.zeros(filters, np.float32), draw(3 * filters), np.zeros(1, np.float32))
+        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(kind)
+        return cls(rng.normal(0, 0.3, (128, dim)).astype(kind), draw(cls.KERNEL * dim, filters), np.zeros(filters, kind), draw(3 * filters), np.zeros(1, kind))
 
     def forward(self, x: np.ndarray) -> tuple:
         e = np.pad(self.embed[x], ((0, 0), (2, 2), (0, 0)))

@@ -836,7 +836,7 @@ def test_network_learns_and_keeps_recall():
 
 
 def test_gradients_are_right():
-    net = secrets.Network.new(3)
+    net = secrets.Network.new(3, kind=np.float64)  # differences need double precision
     x, y, w = secrets.codes(["a1b2" * 18, "zz-9" * 18]), np.array([1.0, 0.0]), np.ones(2)
     loss = lambda: float((np.logaddexp(0, z := net.logits(x)) - y * z).mean())
     for p, g in zip([net.embed, net.conv, net.conv_bias, net.out, net.out_bias], net.gradients(x, y, w), strict=True):
