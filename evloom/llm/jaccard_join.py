@@ -8,10 +8,12 @@ classes are indexed. Relations between sets are used twice:
   Whether two entries may belong to linked sets depends on both alone, so blocks are compared, never
   entries; blocks of sizes that cannot meet are passed over by binary search, blocks whose position
   leaves too little by one comparison. A block that has been reached needs no comparison again, so a
-  long list gives a forest of its connections (at most two links an entry), not its pairs. What short
-  lists give are pairs; they are held against sketches (how many shingles of a set fall into each of
-  about n / 8 ranges of hashes; the lesser counts of two sets bound their intersection).
-* Answer skipping. What the forests connect is a group; links lie within groups only. In a group one
+  long list falls into stretches of what blocks connect, without its pairs. The sets of a stretch are
+  held against each other by sketches (how many shingles of a set fall into each of about n / 4 ranges
+  of hashes; the lesser counts of two sets bound their intersection), and again what has been reached
+  is not compared twice, so it gives a link a set at most. What short lists give are pairs; they are
+  held against sketches, too. So nothing is connected for sharing a frequent shingle alone.
+* Answer skipping. What these links connect is a group; links lie within groups only. In a group one
   set leads: its intersections are computed, and those of all other pairs are derived from them by
   what each set lacks of the leader and has besides (sums over small differences).
 
@@ -41,9 +43,11 @@ HOT, HOT_FROM = 1 << 19, 16
 COUNTED = 1 << 20
 #: Entries of a list, and sets and shingles of a group, that a task takes at a time; longer ones are
 #: cut into parts by hash, and every two parts meet in a task.
-LIST, TILE, TILE_SHINGLES = 1 << 16, 1 << 10, 1 << 20
+LIST, TILE, TILE_SHINGLES = 1 << 14, 1 << 10, 1 << 20
 #: Lists of up to so many entries are compared entry by entry, all lists of a batch at once.
 SHORT = 64
+#: Bytes of sketches compared at a time.
+PACE = 1 << 22
 #: The count of a sketch that stands for itself and all greater ones.
 MOST = 255
 #: Columns of a matrix of differences at a time; shingles in up to so many differences are counted in pairs.
@@ -98,7 +102,7 @@ def class_of(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """How many of a set's shingles fall into each of a power of two of equal ranges; MOST for MOST and more."""
-    bits = max(3, (len(s) // 8).bit_length())
+    bits = max(3, (len(s) // 4).bit_length())
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), MOST).astype(np.uint8).tobytes()
 
 
@@ -162,56 +166,54 @@ def dealt(rows: DataFrame, parts: Column) -> DataFrame:
     return rows.withColumn("at", F.explode(pairs)).select("*", "at.i", "at.j").drop("at")
 
 
-def forest(cid: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between entries of a list that connect all that may belong to linked sets, two an entry at most."""
+def reachable(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """For each entry of a list the number of the stretch that sizes and positions connect it with; -1: nothing."""
     order = np.lexsort((rest, n))
-    cid, n, rest = cid[order], n[order], rest[order]
+    n, rest = n[order], rest[order]
     begin = np.nonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (rest[1:] != rest[:-1])]))[0]
     size = np.diff(np.append(begin, len(n)))
-    bn, br, lead = n[begin], rest[begin], cid[begin]
-    own = meets(bn, br, bn, br, percent)  # the entries of such a block meet each other
-    inner = np.repeat(own, size)
-    a, b = [np.repeat(lead, size)[inner]], [cid[inner]]
-    one = own | (size == 1)
-    left, stack = np.arange(len(begin)), []
+    bn, br = n[begin], rest[begin]
+    own = meets(bn, br, bn, br, percent) & (size > 1)  # the entries of such a block meet each other
+    of, left, stack, root = np.where(own, np.arange(len(begin)), -1), np.arange(len(begin)), [], 0
     while len(left):
         if stack:
             p = stack.pop()
         else:
             p, left = left[0], left[1:]
+            root = p
         lo = np.searchsorted(bn[left], -(-bn[p] * percent // 100))
         hi = np.searchsorted(bn[left], bn[p] * 100 // percent, "right")
         near = left[lo:hi]
         hit = meets(bn[p], br[p], bn[near], br[near], percent)
-        if not hit.any():
-            continue
-        got = near[hit]
-        left = np.concatenate([left[:lo], near[~hit], left[hi:]])
-        stack.extend(got.tolist())
-        if not one[p]:
-            own_rows = cid[begin[p] : begin[p] + size[p]]
-            a.append(np.full(len(own_rows), lead[got[0]]))
-            b.append(own_rows)
-            one[p] = True
-        for g in got:
-            rows = cid[begin[g] : begin[g] + (1 if one[g] else size[g])]
-            a.append(np.full(len(rows), lead[p]))
-            b.append(rows)
-        one[got] = True
-    return np.concatenate(a), np.concatenate(b)
+        if hit.any():
+            got = near[hit]
+            left = np.concatenate([left[:lo], near[~hit], left[hi:]])
+            stack.extend(got.tolist())
+            of[p] = of[got] = root
+    out = np.empty(len(n), np.int64)
+    out[order] = np.repeat(of, size)
+    return out
 
 
 def connections(entries: DataFrame, long: DataFrame | None, percent: int) -> DataFrame:
-    """a, b, sure: distinct links between classes that connect all that may be linked: pairs of short
-    lists (not sure) and what connects long ones. entries: token, cid, n, pos; they cross the network
-    once, to their list (or to the pairs of its parts)."""
+    """a, b, long: distinct pairs of classes that meet in short lists (not long), and the members b of
+    stretches a of long lists; equal stretches of several lists are one, named by a hash of their members.
+    entries: token, cid, n, pos; they cross the network once, to their list (or to the pairs of its parts)."""
 
-    def links(x: np.ndarray, y: np.ndarray, sure: bool) -> pa.RecordBatch:
+    def links(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         ends = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y]
         ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
         new = np.concatenate([[True], (ends[1:] != ends[:-1]).any(1)]) if len(ends) else np.zeros(0, bool)
         ends = ends[new]
-        return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.full(len(ends), sure))], ["a", "b", "sure"])
+        return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.zeros(len(ends), bool))], ["a", "b", "long"])
+
+    def members(cid: np.ndarray, stretch: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((cid, stretch))[np.count_nonzero(stretch < 0) :]
+        cid, stretch = cid[order], stretch[order]
+        cuts = np.nonzero(np.diff(stretch))[0] + 1
+        names = np.array([class_of(x) for x in np.split(cid, cuts)], np.int64)
+        of = np.repeat(names, np.diff(np.concatenate([[0], cuts, [len(cid)]])))
+        return pa.record_batch([pa.array(of), pa.array(cid), pa.array(np.ones(len(cid), bool))], ["a", "b", "long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begin in groups(batches, ["token", "at"]):
@@ -230,10 +232,10 @@ def connections(entries: DataFrame, long: DataFrame | None, percent: int) -> Dat
                 if not len(at):
                     break
                 at = at[meets(m[at + lag], r[at + lag], m[at], r[at], percent)]
-                yield links(c[at], c[at + lag], False)
+                yield links(c[at], c[at + lag])
             for k in np.nonzero(size > SHORT)[0]:
                 at = slice(begin[k], begin[k] + size[k])
-                yield links(*forest(cid[at], n[at], rest[at], percent), True)
+                yield members(cid[at], reachable(n[at], rest[at], percent))
 
     both = (F.shiftleft("n", 32) + F.col("pos")).alias("both")
     if long is None:
@@ -242,8 +244,8 @@ def connections(entries: DataFrame, long: DataFrame | None, percent: int) -> Dat
         cut = dealt(entries.join(checked(long, 80), "token"), F.ceil(F.col("m") / LIST))
         rest = entries.join(checked(long, 80), "token", "left_anti")
         lists = rest.select("token", F.lit(0).cast("long").alias("at"), "cid", both).unionByName(cut.select("token", (F.shiftleft("i", 32) + F.col("j")).alias("at"), "cid", both))
-    found = lists.repartition("token", "at").sortWithinPartitions("token", "at").mapInArrow(run, "a long, b long, sure boolean")
-    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    found = lists.repartition("token", "at").sortWithinPartitions("token", "at").mapInArrow(run, "a long, b long, long boolean")
+    return found.distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -265,6 +267,57 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
+def spanned(n: np.ndarray, data: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ends of links, one a set at most, that connect all of the sets (ascending by size,
+    their sketches in `data` from `at` on) which sizes and sketches let link. What has been reached is
+    compared with what hasn't been only."""
+    wide = np.diff(at)
+    begin = np.nonzero(np.concatenate([[True], wide[1:] != wide[:-1]]))[0]  # the width grows with the size
+    end = np.append(begin[1:], len(n))
+    rows = [data[at[b] : at[e]].reshape(e - b, wide[b]) for b, e in zip(begin, end, strict=True)]
+    left, sizes, stack, out = np.arange(len(n)), n, [], []
+    while len(left):
+        if stack:
+            p = stack.pop()
+        else:
+            p, left, sizes = left[0], left[1:], sizes[1:]
+        lo, hi = np.searchsorted(sizes, -(-n[p] * percent // 100)), np.searchsorted(sizes, n[p] * 100 // percent, "right")
+        near, mine = left[lo:hi], data[at[p] : at[p + 1]]
+        most, plain = np.zeros(len(near), np.int64), mine.max() < MOST
+        for b, e, own in zip(begin, end, rows, strict=True):
+            x, y = np.searchsorted(near, [b, e])
+            step = max(1, PACE // own.shape[1])
+            for k in range(x, y, step):
+                some = near[k : min(y, k + step)] - b
+                # Of neighbours nothing is copied.
+                those = own[some[0] : some[-1] + 1] if some[-1] - some[0] + 1 == len(some) else own[some]
+                most[k : k + len(some)] = np.minimum(those, mine).sum(1, dtype=np.int64) if plain and len(mine) == own.shape[1] else bounds(mine[None, :], those)
+        hit = most >= needed(n[p], n[near], percent)
+        if hit.any():
+            got = near[hit]
+            left = np.concatenate([left[:lo], near[~hit], left[hi:]])
+            sizes = n[left]
+            stack.extend(got.tolist())
+            out.append((np.full(len(got), p), got))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def alike(stretches: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect all classes of a stretch (a, b) of a long list which their sketches let link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in groups(batches, ["a"]):
+            cid, n = rows.column("cid").to_numpy(), rows.column("n").to_numpy()
+            data, at = bytes_of(rows.column("sketch"))
+            every = np.frombuffer(data, np.uint8)
+            found = [(x + lo, y + lo) for lo, hi in zip(begin, np.append(begin[1:], len(n)), strict=True) for x, y in [spanned(n[lo:hi], every, at[lo : hi + 1], percent)]]
+            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+            yield pa.record_batch([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], ["a", "b"])
+
+    rows = stretches.select("a", F.col("b").alias("cid")).join(classes.select("cid", "n", "sketch"), "cid")
+    return rows.repartition("a").sortWithinPartitions("a", "n", "cid").mapInArrow(run, "a long, b long")
+
+
 def together(token: np.ndarray, member: np.ndarray, m: int) -> np.ndarray:
     """How many tokens every two of m members have in common (the diagonal doesn't count)."""
     order = np.lexsort((member, token))
@@ -403,7 +456,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     slim = durable(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.first("sketch").alias("sketch")), "classes")
     entries = classes.agg(F.min("n").alias("n"), F.first("prefix").alias("prefix")).select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     met = durable(connections(entries, long_lists(entries, hot, counts), percent), "connections")
-    edges = durable(met.where("sure").select("a", "b").unionByName(plausible(met.where("not sure"), slim, percent)), "plausible")
+    edges = durable(plausible(met.where("not long"), slim, percent).unionByName(alike(met.where("long"), slim, percent)).distinct(), "plausible")
     group = components(edges).select(F.col("node").alias("cid"), F.col("label").alias("comp"))
     members = durable(group.join(slim.drop("sketch"), "cid"), "members")
 

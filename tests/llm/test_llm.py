@@ -218,29 +218,68 @@ def test_connections_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert sum(seen) < 300 * 299 / 2 / 5
 
 
-def test_a_list_gives_a_forest_of_its_connections():
-    from evloom.llm.jaccard_join import forest, meets
+def roots(m, links):
+    root = list(range(m))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(m)]
+
+
+def test_a_list_falls_into_stretches_of_its_connections():
+    from evloom.llm.jaccard_join import meets, reachable
 
     rng = np.random.default_rng(5)
     for _ in range(200):
         m = int(rng.integers(2, 60))
         n = rng.integers(1, 60, m) if rng.random() < 0.5 else rng.integers(40, 48, m)
         rest = np.maximum(n - rng.integers(0, 9, m), 1)
-        a, b = forest(np.arange(m), n, rest, 85)
-        assert len(a) <= 2 * m + m
-        label = {}
-        for links in (zip(a.tolist(), b.tolist(), strict=True), [(i, j) for i in range(m) for j in range(i) if meets(n[i], rest[i], n[j], rest[j], 85)]):
-            root = list(range(m))
-
-            def find(i, root=root):
-                while root[i] != i:
-                    i = root[i]
-                return i
-
-            for i, j in links:
-                root[max(find(i), find(j))] = min(find(i), find(j))
-            label[len(label)] = [find(i) for i in range(m)]
-        assert label[0] == label[1]
+        got = reachable(n, rest, 85)
+        all_pairs = roots(m, [(i, j) for i in range(m) for j in range(i) if meets(n[i], rest[i], n[j], rest[j], 85)])
+        assert [got[i] == got[j] and got[i] >= 0 for i in range(m) for j in range(i)] == [all_pairs[i] == all_pairs[j] for i in range(m) for j in range(i)]
+
+
+def test_links_of_a_stretch_connect_what_sketches_let_link(monkeypatch):
+    from evloom.llm import jaccard_join as J
+
+    rng = np.random.default_rng(8)
+    for pace in (64, 1 << 22):
+        monkeypatch.setattr(J, "PACE", pace)
+        for _ in range(40):
+            sets = []
+            for _ in range(rng.integers(1, 6)):  # several families of near copies, sizes on both sides of a sketch's width
+                base = rng.integers(0, 1 << 64, int(rng.choice([1, 7, 60, 66, 130, 500])), dtype=np.uint64)
+                sets += [np.unique(np.concatenate([base[int(rng.integers(0, 1 + len(base) // 9)) :], rng.integers(0, 1 << 64, int(rng.integers(0, 4)), dtype=np.uint64)])) for _ in range(rng.integers(1, 9))]
+            sets.append(np.arange(3000, dtype=np.uint64))  # all in one range
+            sets.append(np.arange(5, 3000, dtype=np.uint64))
+            sets = sorted((x for x in sets if len(x)), key=len)
+            n, raw = np.array([len(x) for x in sets]), [J.sketch(x) for x in sets]
+            a, b = J.spanned(n, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]), 85)
+            assert len(a) < len(sets)
+            rows = [np.frombuffer(x, np.uint8)[None] for x in raw]
+            may = [(i, j) for i in range(len(n)) for j in range(i) if J.bounds(rows[i], rows[j])[0] >= J.needed(n[i], n[j], 85) and 100 * n[j] >= 85 * n[i]]
+            assert roots(len(n), zip(a.tolist(), b.tolist(), strict=True)) == roots(len(n), may)
+
+
+def test_groups_stay_small_where_frequent_shingles_are_not_known(spark, monkeypatch):
+    """Texts of one size with a passage in common make long lists, but no group: its share is too small."""
+    from evloom.llm import jaccard_join as J
+
+    rng = random.Random(12)
+    common = words(rng, 60, 10_000)
+    rows = [(i, f"{common} {words(rng, 60, 10**6)}") for i in range(300)] + list(enumerate(near_copies(rng, 40, 120, 4), 1000))
+    seen, components = [], J.components
+    monkeypatch.setattr(J, "components", lambda x: (seen.append((out := components(x)).groupBy("label").count().agg({"count": "max"}).first()[0]), out)[1])
+    monkeypatch.setattr(J, "SHORT", 4)
+    monkeypatch.setattr(J, "HOT", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert joined(df, 4, 85) == brute_components(rows, 4, 85)
+    assert seen[0] <= 40
 
 
 def test_sketches_bound_intersections():
