@@ -267,12 +267,12 @@ def test_links_of_a_stretch_connect_what_sketches_let_link(monkeypatch):
 
 
 def test_groups_stay_small_where_frequent_shingles_are_not_known(spark, monkeypatch):
-    """Texts of one size with a passage in common make long lists, but no group: its share is too small."""
+    """Texts of one size with a third in common make long lists, but no group: its share is too small."""
     from evloom.llm import jaccard_join as J
 
     rng = random.Random(12)
-    common = words(rng, 60, 10_000)
-    rows = [(i, f"{common} {words(rng, 60, 10**6)}") for i in range(300)] + list(enumerate(near_copies(rng, 40, 120, 4), 1000))
+    common = words(rng, 40, 10_000)
+    rows = [(i, f"{common} {words(rng, 80, 10**6)}") for i in range(300)] + list(enumerate(near_copies(rng, 40, 120, 4), 1000))
     seen, components = [], J.components
     monkeypatch.setattr(J, "components", lambda x: (seen.append((out := components(x)).groupBy("label").count().agg({"count": "max"}).first()[0]), out)[1])
     monkeypatch.setattr(J, "SHORT", 4)
