@@ -9,7 +9,7 @@ classes are indexed. Relations between sets are used twice:
   entries; blocks of sizes that cannot meet are passed over by binary search, blocks whose position
   leaves too little by one comparison. A block that has been reached needs no comparison again, so a
   long list falls into stretches of what blocks connect, without its pairs. The sets of a stretch are
-  held against each other by sketches (how many shingles of a set fall into each of about n / 8 ranges
+  held against each other by sketches (how many shingles of a set fall into each of about n / 8 ranges, 32 at least,
   of hashes; the lesser counts of two sets bound their intersection), and again what has been reached
   is not compared twice, so it gives a link a set at most. What short lists give are pairs; they are
   held against sketches, too. So nothing is connected for sharing a frequent shingle alone.
@@ -102,7 +102,7 @@ def class_of(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """How many of a set's shingles fall into each of a power of two of equal ranges; MOST for MOST and more."""
-    bits = max(3, (len(s) // 8).bit_length())
+    bits = max(5, (len(s) // 8).bit_length())
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), MOST).astype(np.uint8).tobytes()
 
 
