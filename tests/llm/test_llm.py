@@ -267,12 +267,12 @@ def test_links_of_a_stretch_connect_what_sketches_let_link(monkeypatch):
 
 
 def test_groups_stay_small_where_frequent_shingles_are_not_known(spark, monkeypatch):
-    """Texts of one size with a third in common make long lists, but no group: its share is too small."""
+    """Texts of one size with a passage in common make long lists, but no group: its share is too small."""
     from evloom.llm import jaccard_join as J
 
     rng = random.Random(12)
-    common = words(rng, 40, 10_000)
-    rows = [(i, f"{common} {words(rng, 80, 10**6)}") for i in range(300)] + list(enumerate(near_copies(rng, 40, 120, 4), 1000))
+    common = words(rng, 60, 10_000)
+    rows = [(i, f"{common} {words(rng, 60, 10**6)}") for i in range(300)] + list(enumerate(near_copies(rng, 40, 120, 4), 1000))
     seen, components = [], J.components
     monkeypatch.setattr(J, "components", lambda x: (seen.append((out := components(x)).groupBy("label").count().agg({"count": "max"}).first()[0]), out)[1])
     monkeypatch.setattr(J, "SHORT", 4)
@@ -958,6 +958,45 @@ def test_licenses_equal_brute_force():
     assert len(brute_licenses(every)) == len(lic.TEMPLATES)
 
 
+def test_each_template_holds_more_cues_than_words_may_differ():
+    for text in lic.TEMPLATES.values():
+        assert len(lic.CUE.findall(text)) > lic.DIFFER * len(lic.WORD.findall(text)) // 100
+        assert all(any(s in m[0].lower() for s in lic.STEMS) for m in lic.CUE.finditer(text))
+
+
+def license_file(parts):
+    return "The License\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join(textwrap.fill(lic.TEMPLATES[p], 78) for p in parts) + "\n"
+
+
+@pytest.mark.parametrize("name", sorted(lic.BODIES))
+def test_whole_licenses_are_told_from_those_that_lack_a_paragraph(name):
+    parts = lic.BODIES[name]
+    text = license_file(parts)
+    ((got, start, end, n, differ),) = lic.bodies(lic.scan(text)[1])
+    assert (got, n, differ) == (name, len(parts), 0)
+    assert WORDED.findall(text[start:end]) == [w for p in parts for w in WORDED.findall(lic.TEMPLATES[p])]
+    for lack in parts:
+        rest = [p for p in parts if p != lack]
+        ((got, _, _, n, differ),) = lic.bodies(lic.scan(license_file(rest))[1])
+        whole = [b for b, x in lic.BODIES.items() if list(x) == rest]  # BSD-3-Clause without its clause on names is BSD-2-Clause
+        least = min((sum(len(lic.WORD.findall(lic.TEMPLATES[p])) for p in x if p not in rest), b) for b, x in lic.BODIES.items() if set(rest) <= set(x))
+        assert (got, n, differ) == (least[1], len(rest), least[0])
+        assert not whole or (got, differ) == (whole[0], 0)
+
+
+def test_bodies_end_at_gaps_and_at_other_licenses(spark):
+    mit, isc = lic.BODIES["MIT"], lic.BODIES["ISC"]
+    far = license_file(mit[:2]) + words(random.Random(4), 900) + license_file(mit[2:])
+    assert [(k, n) for k, _, _, n, _ in lic.bodies(lic.scan(far)[1])] == [("MIT", 2), ("MIT", 1)]
+    two = license_file(mit) + license_file(isc) + license_file(mit)
+    assert [(k, n, d) for k, _, _, n, d in lic.bodies(lic.scan(two)[1])] == [("MIT", 3, 0), ("ISC", 2, 0), ("MIT", 3, 0)]
+    long = words(random.Random(5), 60_000) + "\n" + license_file(lic.BODIES["BSD-3-Clause"]) + words(random.Random(6), 60_000)
+    row = lic.licenses(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert (row.licenses, row.n_found, row.bodies.split(":")[3:]) == ("BSD-3-Clause", 5, ["5/5", "0"])
+    start, end = map(int, row.bodies.split(":")[1:3])
+    assert WORDED.findall(long[start:end]) == [w for p in lic.BODIES["BSD-3-Clause"] for w in WORDED.findall(lic.TEMPLATES[p])]
+
+
 def test_qda_equals_a_plain_one():
     rng = np.random.default_rng(2)
     x = [rng.normal(k, 1 + k, (300, DIM)) for k in (0, 1)]
