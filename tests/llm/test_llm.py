@@ -10,6 +10,7 @@ import subprocess
 import sys
 import textwrap
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -555,6 +556,28 @@ def proportions(seq, source, size):
     return {k: collections.Counter({s: sum(p.length for p in ps if source[p.doc_id] == s) for s in set(source.values())}) for k, ps in seq.items()}
 
 
+def test_packing_encodes_a_bounded_stretch_of_text_at_a_time():
+    from evloom.llm.packing import encoded
+
+    rng = random.Random(3)
+    texts = [words(rng, 400, 3000) for _ in range(3000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([f"s{k % 3}" for k in range(len(texts))]), pa.array(texts)], ["doc_id", "queue", "text"])
+    assert batch.column("text").nbytes > 6 << 20
+    ids, n = encoder(BYTE).ended(batch.column("text"), 0)  # units are known from here on
+    tracemalloc.start()
+    try:
+        out = list(encoded(iter([batch]), BYTE, 0, 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 << 20  # 55 MB in slices of 8 MB, 21 MB in slices of 2 MB
+    got = pa.Table.from_batches(out)
+    assert got["ids"].to_pylist() == ids.to_pylist() and got["n"].to_pylist() == n.tolist()
+    assert got["row_id"].to_pylist() == list(range(5 << 33, (5 << 33) + len(texts)))
+    for q in range(3):
+        assert got["before"].to_pylist()[q::3] == (np.cumsum(n[q::3]) - n[q::3]).tolist()
+
+
 def test_packing_holds_proportions_in_every_window(spark):
     rng = random.Random(8)
     names = ["a"] * 6 + ["b"] * 2 + ["c"]
