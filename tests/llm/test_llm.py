@@ -26,11 +26,12 @@ from evloom.llm import mixture as mix
 from evloom.llm import quality_qda as qda
 from evloom.llm import queries, secrets, token_files
 from evloom.llm import quality_rules as rules
-from evloom.llm.bpe import encoder
+from evloom.llm.bpe import Encoder, encoder
 from evloom.llm.exact_dedup import exact_dedup, keep_distinct
 from evloom.llm.jaccard_join import jaccard_join, keep_one
 from evloom.llm.packing import Deal, pack, sequences, stretches
 from evloom.llm.quality_qda import DIM, features, fold, keep_good, quality
+from evloom.llm.short_units import Units
 from evloom.llm.token_count import counter, token_counts, whole_tokens
 
 BYTE, WORDS = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/word_bpe_49k.json"
@@ -413,6 +414,36 @@ def test_encoder_equals_the_library(path):
         assert [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])][: len(few)] == [np.array(lib.encode(t or "", add_special_tokens=False).ids, enc.dtype).tobytes() for t in few]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_encoder_makes_no_strings_of_ordinary_units(path):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdéÀŒAZ09,.-") for _ in range(rng.randrange(1, 12))) for _ in range(40)) + rng.choice(["", ".\nNext"]) for _ in range(300)]
+    enc, lib = Encoder(path), Tokenizer.from_file(path)
+    assert enc.encode(texts) == [np.array(x.ids, enc.dtype).tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
+    strings = {u for t in texts for u in t.split()}
+    # All of them before; now those with letters whose lower case isn't made by adding 32.
+    assert len(enc.memory.known) <= (3 * sum("Œ" in u for u in strings) if enc.words else 0)
+    assert enc.units.n > 0.9 * len(strings)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_encoder_equals_the_library_when_little_is_remembered(path, monkeypatch):
+    rng = random.Random(6)
+    pick = [" ", " ", " ", "\n", "\n\n", "'s", "'", "a", "B", "ß", "É", "ſ", "ı", "İ", "×", "÷", "Ÿ", "€", "日", "\0", "1", "23", ".", ",-", "_", "word", "x" * 22, "é" * 11, "é" * 12, "Ab" * 11]
+    texts = ["".join(rng.choice(pick) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    lib = Tokenizer.from_file(path)
+    want = [np.array(x.ids, "<u2").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(Units, "KNOWN", 500)
+    monkeypatch.setattr(Units, "BITS", 9)  # so that most keys meet others on their way
+    monkeypatch.setattr(Units, "START", 64)
+    enc = Encoder(path)
+    for lo in (0, 1000, 1500, 0):
+        assert enc.encode(texts[lo : lo + 1000]) == want[lo : lo + 1000]
+    assert enc.units.n == 500
+    longest = " ".join(texts * 3)
+    assert enc.encode([longest, texts[0]]) == [np.array(lib.encode(longest, add_special_tokens=False).ids, "<u2").tobytes(), want[0]]
+
+
 def test_whole_tokens_are_one_token_alone():
     lib = Tokenizer.from_file(BYTE)
     found = sorted(whole_tokens(encoder(BYTE)))
