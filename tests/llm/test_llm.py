@@ -444,6 +444,13 @@ def test_encoder_equals_the_library_when_little_is_remembered(path, monkeypatch)
     assert enc.encode([longest, texts[0]]) == [np.array(lib.encode(longest, add_special_tokens=False).ids, "<u2").tobytes(), want[0]]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_encoder_refuses_what_is_no_utf8(path):
+    raw = b"a word\xc3x \x80"
+    with pytest.raises(ValueError, match="UTF"):
+        encoder(path).flat(pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(raw)], np.int32)), pa.py_buffer(raw)]))
+
+
 def test_whole_tokens_are_one_token_alone():
     lib = Tokenizer.from_file(BYTE)
     found = sorted(whole_tokens(encoder(BYTE)))
