@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_order
+from ..session import settled
 
 
 def stratified_take(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 17) -> DataFrame:
@@ -34,11 +35,16 @@ def first_per(rows: DataFrame, group: str, key: str, n: int, seed: int = 17) ->
 
 def global_rank(rows: DataFrame, order: list, partitions: int | None = None) -> DataFrame:
     """rank (from 1) in a total order, without one task that holds all rows: ranges are sorted apart,
-    counted, and shifted by the counts before them."""
+    counted, and shifted by the counts before them.
+
+    The ranges' bounds come from a sample that each plan draws for itself, so the rows are written with
+    their place and read again: counts and rows then tell of the same ranges.
+    """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     placed = placed.withColumn("_within", F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + 1).drop("_id")
+    placed = settled(placed, "ranges")
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row a partition
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = counts.select("_part", before.alias("_before"))  # as many rows as partitions: n at most
